@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact, quality, secrets, toxicity, wordpiece
+from . import bpe, decontaminate, exact, quality, secrets, simhash, toxicity, wordpiece
 from .common import table
 
 
@@ -22,6 +22,10 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = bpe.parse_ranks(bpe.read_ranks(vocabulary("byte_bpe_50k.tiktoken")))
     return wordpiece.count_tokens(table(spark, sf_dir, "documents"), ranks)
@@ -32,6 +36,10 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digests(secrets.scan(docs, secrets.train(docs)))
 
 
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -48,5 +56,5 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.owners(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality, op3_token_counts, op5_secret_scan, op8_byte_bpe, op9_toxicity, op10_exact_dedup)}
-SQL: dict[str, str] = {}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality, op2_decontamination, op3_token_counts, op5_secret_scan, op7_simhash, op8_byte_bpe, op9_toxicity, op10_exact_dedup)}
+SQL: dict[str, str] = {"op2_decontamination": decontaminate.LEAKS_SQL}
