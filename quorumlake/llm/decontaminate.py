@@ -24,14 +24,15 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
 
 
-def shingles(w: Column, size: Column, make) -> Column:
-    """make(words of a window) for every window of SHINGLE words; fewer words give none."""
-    window = lambda i: make(*(F.get(w, i + k) for k in range(SHINGLE)))
-    return F.when(size >= SHINGLE, F.transform(F.sequence(F.lit(0), size - SHINGLE), window)).otherwise(F.array())
+def shingles(text: Column, make) -> Column:
+    """make(words of a window) for every window of SHINGLE words; fewer words give none.
 
-
-def hashed(df: DataFrame) -> DataFrame:
-    return df.withColumn("w", words(F.col("text"))).withColumn("h", shingles(F.col("w"), F.size("w"), F.xxhash64))
+    The words are the variable of an outer lambda: so they are split once for each text, even
+    where the optimizer copies this expression into a filter.
+    """
+    window = lambda w: lambda i: make(*(F.get(w, i + k) for k in range(SHINGLE)))
+    each = lambda w: F.when(F.size(w) >= SHINGLE, F.transform(F.sequence(F.lit(0), F.size(w) - SHINGLE), window(w)))
+    return F.coalesce(F.transform(F.array(words(text)), each)[0], F.array())
 
 
 def bounded(df: DataFrame, rows: int) -> DataFrame:
@@ -49,18 +50,19 @@ def leaks(docs: DataFrame, items: DataFrame, threshold: float = 0.8, id_col: str
     spark = docs.sparkSession
     docs = texts(docs, id_col, text_col).where("doc_id is not null")
     items = items.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce("text", F.lit("")).alias("text")).where("item_id is not null").dropDuplicates()
-    signed = hashed(items).select("item_id", "w", F.array_sort(F.array_distinct("h")).alias("h")).where(F.size("h") > 0)
+    signed = items.select("item_id", F.array_sort(F.array_distinct(shingles(F.col("text"), F.xxhash64))).alias("h")).where(F.size("h") > 0)
     n = F.size("h")
     partition = F.floor(F.log2(n)).cast("int")
     # a document with ceil(threshold * n) of the n lacks n - ceil(threshold * n) at most: one more meets it
     bottom = n - F.ceil(F.lit(threshold) * n - 1e-9).cast("int") + 1
     sketch = cut(signed.select("item_id", partition.alias("size_class"), F.explode(F.slice("h", F.lit(1), bottom)).alias("h")))
-    searched = hashed(docs).select("doc_id", F.explode("h").alias("h"))
+    # outer: a plain explode would have the array computed once more, to filter by its size
+    searched = docs.select("doc_id", F.explode_outer(shingles(F.col("text"), F.xxhash64)).alias("h"))
     met = searched.join(bounded(sketch.select("h", "item_id"), sketch.count()), "h").select("doc_id", "item_id").distinct()
     met = cut(met)
     wanted = met.select("doc_id").distinct()
     text = lambda *w: F.concat_ws(" ", *w)
-    exact = lambda df: df.withColumn("w", words(F.col("text"))).withColumn("s", F.array_distinct(shingles(F.col("w"), F.size("w"), text)))
+    exact = lambda df: df.withColumn("s", F.array_distinct(shingles(F.col("text"), text)))
     n_met = met.count()
     found = exact(docs.join(bounded(wanted, n_met), "doc_id", "left_semi")).select("doc_id", F.col("s").alias("has"))
     asked = exact(items).select("item_id", F.col("s").alias("asked"))
@@ -73,10 +75,10 @@ def leaks(docs: DataFrame, items: DataFrame, threshold: float = 0.8, id_col: str
 
 #: The same pairs over the tables, for DuckDB.
 LEAKS_SQL = """
-with d as (select doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{L}\\p{N}]+'), w -> w <> '') as w from documents),
-  i as (select item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{L}\\p{N}]+'), w -> w <> '') as w from benchmark),
-  ds as (select distinct doc_id, unnest(list_transform(range(1, len(w) - 3), k -> array_to_string(w[k:k + 4], ' '))) as s from d where len(w) >= 5),
-  s as (select distinct item_id, unnest(list_transform(range(1, len(w) - 3), k -> array_to_string(w[k:k + 4], ' '))) as s from i where len(w) >= 5),
+with d as (select doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{L}\\p{N}]+'), lambda w: w <> '') as w from documents),
+  i as (select item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{L}\\p{N}]+'), lambda w: w <> '') as w from benchmark),
+  ds as (select distinct doc_id, unnest(list_transform(range(1, len(w) - 3), lambda k: array_to_string(w[k:k + 4], ' '))) as s from d where len(w) >= 5),
+  s as (select distinct item_id, unnest(list_transform(range(1, len(w) - 3), lambda k: array_to_string(w[k:k + 4], ' '))) as s from i where len(w) >= 5),
   n as (select item_id, count(*) as n_shingles from s group by item_id),
   m as (select doc_id, item_id, count(*) as n_shared from ds join s using (s) group by doc_id, item_id)
 select doc_id, item_id, n_shingles, n_shared, n_shared::double / n_shingles as containment from m join n using (item_id) where n_shared >= 0.8 * n_shingles - 1e-9
