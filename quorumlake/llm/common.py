@@ -40,6 +40,14 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def numbered(docs: DataFrame) -> tuple[DataFrame, str]:
+    """The table with a row number that its stored files determine, and that column's name, which is free."""
+    name = "row__"
+    while name in docs.columns:
+        name += "_"
+    return docs.withColumn(name, F.monotonically_increasing_id()), name
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -16,15 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, pieces, shuffle_width
-
-
-def numbered(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, str]:
-    """The table with a row number that its stored files determine, under a name that is free."""
-    name = "row__"
-    while name in docs.columns:
-        name += "_"
-    return docs.withColumn(name, F.monotonically_increasing_id()), name
+from .common import cut, numbered, pieces, shuffle_width
 
 
 def lines(rows: DataFrame) -> DataFrame:
@@ -64,7 +56,7 @@ def repeated_runs(docs: DataFrame, min_words: int = 10, id_col: str = "doc_id",
     """The numbered table; (row, runs array of (idx, lines)) of the later copies; the row number's name."""
     spark = docs.sparkSession
     width = shuffle_width(spark)
-    table, name = numbered(docs, id_col, text_col)
+    table, name = numbered(docs)
     source = table.select(F.col(name).alias("row"), F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
     found = lines(source)
     repeated = cut(found.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1").select("h1", "h2")).withColumn("id", F.monotonically_increasing_id())
@@ -128,7 +120,7 @@ def repeated_runs(docs: DataFrame, min_words: int = 10, id_col: str = "doc_id",
 
 
 def dedup_lines(docs: DataFrame, min_words: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """All columns of the table, the text without later copies of repeated runs, and ``dedup__`` (n_lines, n_deleted, n_runs).
+    """All columns of the table, the text without later copies of repeated runs, and ``dedup__`` (n_lines, n_deleted, n_runs, share of characters kept).
 
     Lines end at line feeds. Of equal runs the one in the smallest id stays, of these the first row's, of these the
     first in the text; a null id counts as smallest. A null text has no lines and stays null; an
@@ -137,25 +129,25 @@ def dedup_lines(docs: DataFrame, min_words: int = 10, id_col: str = "doc_id", te
     """
     table, runs, name = repeated_runs(docs, min_words, id_col, text_col)
 
-    @F.pandas_udf("text string, n_lines int, n_deleted int, n_runs int")
+    @F.pandas_udf("text string, n_lines int, n_deleted int, n_runs int, share double")
     def apply(text: pd.Series, runs: pd.Series) -> pd.DataFrame:
         out = []
         for t, found in zip(text, runs, strict=True):
             if t is None:
-                out.append((None, 0, 0, 0))
+                out.append((None, 0, 0, 0, 1.0))
                 continue
             parts = t.split("\n")
             if found is None:
-                out.append((t, len(parts), 0, 0))
+                out.append((t, len(parts), 0, 0, 1.0))
                 continue
             gone = sorted({i for x in found for i in range(x["idx"], x["idx"] + x["m"])})
             drop = set(gone)
             left = "\n".join([x for i, x in enumerate(parts) if i not in drop])
-            out.append((left, len(parts), len(gone), sum(i - 1 not in drop for i in gone)))
-        return pd.DataFrame(out, columns=["text", "n_lines", "n_deleted", "n_runs"])
+            out.append((left, len(parts), len(gone), sum(i - 1 not in drop for i in gone), len(left) / max(1, len(t))))
+        return pd.DataFrame(out, columns=["text", "n_lines", "n_deleted", "n_runs", "share"])
 
     runs = runs.select(F.col("row").alias("run_row__"), F.col("runs").alias("runs__"))
     joined = table.join(runs.hint("shuffle_hash"), F.col(name) == F.col("run_row__"), "left")
     done = joined.withColumn("dedup__", apply(F.col(f"`{text_col}`"), F.col("runs__")))
     rest = [F.col("dedup__.text").alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns]
-    return done.select(*rest, F.struct("dedup__.n_lines", "dedup__.n_deleted", "dedup__.n_runs").alias("dedup__"))
+    return done.select(*rest, F.struct("dedup__.n_lines", "dedup__.n_deleted", "dedup__.n_runs", "dedup__.share").alias("dedup__"))

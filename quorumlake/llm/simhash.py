@@ -16,7 +16,7 @@ from itertools import combinations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column_bytes, cut, pieces, shuffle_width, texts
+from .common import column_bytes, cut, numbered, pieces, shuffle_width
 from .components import components
 
 BITS = 3
@@ -60,8 +60,8 @@ def fingerprint(text: bytes, shingle: int = 3) -> int:
     return int.from_bytes(np.packbits(2 * total > n).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, fp (the fingerprint's bits as a signed long) of every whole text; null counts as empty."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
+    """row, doc_id, fp (the fingerprint's bits as a signed long) of every whole text; null counts as empty."""
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np
@@ -69,9 +69,11 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
         for batch in pieces(batches):
             found = np.array([fingerprint(x) for x in column_bytes(batch, "text")], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(2), batch.column(0), pa.array(found.view(np.int64))], names=["row", "doc_id", "fp"])
 
-    return texts(docs, id_col, text_col).mapInArrow(run, "doc_id long, fp long")
+    row = F.col(f"`{row_col}`") if row_col else F.lit(0).cast("long")
+    source = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"), row.alias("row"))
+    return source.mapInArrow(run, "row long, doc_id long, fp long")
 
 
 def near(a, b):
@@ -172,15 +174,30 @@ def links(classes: DataFrame) -> DataFrame:
     return index.repartition(shuffle_width(classes.sparkSession), "slot", "key").sortWithinPartitions("slot", "key", "fp").mapInArrow(run, "a long, b long")
 
 
+def _components(docs: DataFrame, id_col: str, text_col: str, row_col: str | None = None) -> DataFrame:
+    """row, doc_id, fp, component_id of every row."""
+    found = cut(fingerprints(docs, id_col, text_col, row_col))
+    classes = found.groupBy("fp").agg(F.min("doc_id").alias("rep"))
+    reached = components(links(classes.where("rep is not null"))).withColumnRenamed("node", "rep")
+    named = classes.join(reached, "rep", "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
+    return found.join(named, "fp")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id (least doc_id that links reach) for every row.
 
     A null or empty text has fingerprint zero and links like any other; repeated rows give a row each in
-    the same component; a null id never is a component's name unless no other is there; an empty table
-    gives an empty one; other columns are left out.
+    the same component; a null id names a component only where no row of its fingerprint has another; an
+    empty table gives an empty one; other columns are left out.
     """
-    found = cut(fingerprints(docs, id_col, text_col))
-    classes = found.groupBy("fp").agg(F.min("doc_id").alias("rep"))
-    reached = components(links(classes.where("rep is not null"))).withColumnRenamed("node", "rep")
-    named = classes.join(reached, "rep", "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
-    return found.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    found = _components(docs, id_col, text_col)
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The table with one row of each component: that of the least id, of repeated rows the first. Null ids stay."""
+    table, name = numbered(docs)
+    found = _components(table, id_col, text_col, name).where("doc_id is not null")
+    stays = found.where("doc_id = component_id").groupBy("component_id").agg(F.min("row").alias("stays"))
+    gone = found.join(stays, "component_id").where("row <> stays").select(F.col("row").alias("gone__"))
+    return table.join(gone.hint("shuffle_hash"), F.col(name) == F.col("gone__"), "left_anti").drop(name)

@@ -11,6 +11,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -156,6 +157,30 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, n_voters: in
     return dict(zip(names, weights.tolist(), strict=True)), float(bias)
 
 
+def scorer(model: tuple[dict[str, float], float]):
+    """A function from a text to its score."""
+    import math
+
+    weights, bias = model
+    find = re.compile(WORD).findall
+    weights = {f: w for f, w in weights.items() if abs(w) > 1e-6}
+
+    class Known(dict):
+        def __missing__(self, word: str) -> tuple:
+            if len(self) >= 400_000:
+                self.clear()
+            self[word] = out = tuple(f for f in features(word) if f in weights)
+            return out
+
+    known = Known().__getitem__
+
+    def of(text: str) -> float:
+        on = set().union(*map(known, set(find(text.lower()))))
+        return 1 / (1 + math.exp(-max(-30.0, min(30.0, bias + sum(weights[f] for f in sorted(on))))))
+
+    return of
+
+
 def score(docs: DataFrame, model: tuple[dict[str, float], float], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, score, predicted of every whole text.
 
@@ -166,27 +191,24 @@ def score(docs: DataFrame, model: tuple[dict[str, float], float], id_col: str =
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator) -> Iterator:
-        import math
-
         import pyarrow as pa
 
-        weights, bias = shared.value
-        find = re.compile(WORD).findall
-        weights = {f: w for f, w in weights.items() if abs(w) > 1e-6}
-
-        class Known(dict):
-            def __missing__(self, word: str) -> tuple:
-                if len(self) >= 400_000:
-                    self.clear()
-                self[word] = out = tuple(f for f in features(word) if f in weights)
-                return out
-
-        known = Known().__getitem__
+        of = scorer(shared.value)
         for batch in pieces(batches):
-            out = []
-            for text in batch.column(1):
-                on = set().union(*map(known, set(find(text.as_py().lower()))))
-                out.append(1 / (1 + math.exp(-max(-30.0, min(30.0, bias + sum(weights[f] for f in sorted(on)))))))
+            out = [of(text.as_py()) for text in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.float64()), pa.array([int(x >= 0.5) for x in out], pa.int32())], names=["doc_id", "score", "predicted"])
 
     return texts(docs, id_col, text_col).mapInArrow(run, "doc_id long, score double, predicted int")
+
+
+def drop_toxic(docs: DataFrame, model: tuple[dict[str, float], float], threshold: float = 0.5, text_col: str = "text") -> DataFrame:
+    """The rows, with all their columns, whose text scores below the threshold. No shuffle."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    @F.pandas_udf("double")
+    def scored(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        of = scorer(shared.value)
+        for text in parts:
+            yield text.map(lambda x: of(x or "")).astype(float)
+
+    return docs.where(scored(F.col(f"`{text_col}`")) < threshold)
