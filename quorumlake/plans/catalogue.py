@@ -587,3 +587,94 @@ def _(spark, d):
 def _(spark, d):
     metrics = M.table(spark, d, "events").select(F.col("event_type").alias("name"), ((F.col("event_id") % 2) * 0).alias("value"))
     return gates.idle(metrics, ["click", "view"])
+
+
+# session state machines, replayed in order
+
+
+def _events(spark, d):
+    return M.table(spark, d, "events").select("event_id", "user_id", "event_type", F.floor("value").cast("long").alias("v"))
+
+
+@query("R05_attribution")
+def _(spark, d):
+    from ..streaming import machines, replay
+
+    k = F.col("seq") % 4
+    n = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")) - 1
+    events = _events(spark, d).withColumn("seq", n.cast("long")).select(
+        F.col("user_id").alias("request"), "seq", F.lit(1024).cast("long").alias("prompt_tokens"), F.floor(F.col("seq") / 4).cast("long").alias("preemptions"),
+        F.when(k == 0, "admitted").when(k == 1, "restore_finalized").when(k == 2, "prompt_step_completed").otherwise("preempted").alias("event"),
+        (F.col("v") % 3 * 64).alias("local_tokens"), F.lit(256).cast("long").alias("external_tokens"), (F.col("v") % 3 * 64 + 256).alias("valid_prefix_tokens"),
+        F.lit(128).cast("long").alias("start_token"), F.lit(1024).cast("long").alias("end_token"), F.lit(True).alias("success"), F.lit(False).alias("stale"),
+    ).withColumn("preemptions", F.when(F.col("event") == "preempted", F.col("preemptions") + 1).otherwise(F.col("preemptions")))
+    return replay.replay(events, "request", machines.ATTRIBUTION)
+
+
+@query("R01_snapshot_planner")
+def _(spark, d):
+    from ..streaming import machines, replay
+
+    k = F.col("event_id") % 5
+    what = F.when(k == 0, "begin").when(k < 3, "offer").when(k == 3, "written").otherwise("commit")
+    events = _events(spark, d).select((F.col("user_id") % 16).alias("worker"), F.col("event_id").alias("seq"), what.alias("event"), F.col("user_id").alias("request"), F.concat(F.lit("d"), F.col("user_id")).alias("digest"), F.when(k == 0, 8192).otherwise(F.col("event_id") % 3 * 4096).cast("long").alias("tokens"), F.lit(0).cast("long").alias("batch"))
+    return replay.replay(events, "worker", machines.PLANNER)
+
+
+@query("R07_shadow_admission")
+def _(spark, d):
+    from ..streaming import machines, replay
+
+    trace = _events(spark, d).select(F.lit(0).cast("long").alias("cache"), F.col("event_id").alias("seq"), F.col("user_id").alias("item"))
+    return replay.replay(trace, "cache", machines.admission_machine(8, 40, 512))
+
+
+@query("R10_rank_reports")
+def _(spark, d):
+    from ..streaming import machines, replay
+
+    n = F.row_number().over(Window.partitionBy(F.col("user_id") % 4).orderBy("event_id"))
+    late = F.when(n % 10 == 0, n + 1).when((n % 10 == 1) & (n > 1), n - 1).otherwise(n)
+    events = _events(spark, d).select((F.col("user_id") % 4).alias("rank"), n.cast("long").alias("sequence"), late.cast("long").alias("seq"), F.lit("g").alias("generation"), F.array(F.col("user_id")).alias("added"), F.array(F.col("user_id") - 5).alias("removed"))
+    return replay.replay(events, "rank", machines.REPORTS)
+
+
+@query("R04_block_leases")
+def _(spark, d):
+    from ..streaming import machines, replay
+
+    events = _events(spark, d).select((F.col("user_id") % 8).alias("pool"), F.col("event_id").alias("seq"), F.when(F.col("event_id") % 3 == 0, "release").otherwise("reserve").alias("event"), F.floor(F.col("event_id") / 6).cast("long").alias("lease"), F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: F.col("v") + i).alias("blocks"))
+    return replay.replay(events, "pool", machines.LEASES)
+
+
+@query("H07_heat_slots")
+def _(spark, d):
+    from ..functions import hashing
+
+    return M.roots(spark, d).select("storage_key", "digest", hashing.heat_slot(F.col("storage_key"), F.col("digest"), 4096).alias("slot"))
+
+
+@query("H04_storage_keys", """select c_custkey, sha256('{"chunk_tokens":' || (c_custkey % 4 * 256)::varchar || ',"target":"' || c_mktsegment || '","tp_degree":' || (c_nationkey % 4)::varchar || '}') as storage_key from customer""")
+def _(spark, d):
+    from ..functions import hashing
+
+    fields = F.struct((F.col("c_custkey") % 4 * 256).alias("chunk_tokens"), F.col("c_mktsegment").alias("target"), (F.col("c_nationkey") % 4).alias("tp_degree"))
+    return M.table(spark, d, "customer").select("c_custkey", hashing.canonical_digest(fields).alias("storage_key"))
+
+
+@query("H22_human_bytes", "with s as (select doc_id, n_chars * 700 as b from documents) select doc_id, b >= 1048576 as big from s")
+def _(spark, d):
+    from ..functions import hashing
+
+    docs = M.table(spark, d, "documents").select("doc_id", (F.col("n_chars") * 700).alias("b"))
+    return docs.select("doc_id", hashing.human_bytes(F.col("b")).endswith("MiB").alias("big"))
+
+
+@query("P13_payload_integrity", "select doc_id, doc_id % 4 <> 1 as ok from documents")
+def _(spark, d):
+    from ..functions import hashing
+
+    k, content = F.col("doc_id") % 4, F.col("text").cast("binary")
+    sha = F.when(k == 0, F.sha2(content, 256)).when(k == 1, F.sha2(F.concat(content, F.lit("x").cast("binary")), 256))
+    crc = F.when(k == 2, F.crc32(content))
+    return M.table(spark, d, "documents").select("doc_id", hashing.payload_matches(content, sha, crc).alias("ok"))
