@@ -3,8 +3,8 @@
 Three patterns give the base spans. Two first-order Markov models over the characters that
 tokens are made of, one of random strings and one of ordinary identifiers, score every long
 token outside them; where the log-likelihood ratio is high, a span of kind ``markov`` is added.
-Labelled samples train the models: the values of base spans are random strings, all other
-runs of token characters are ordinary. Transition counts are taken over all documents.
+Labelled samples train the models: strings drawn at random and the values of base spans are random;
+identifiers put together from words and all other runs of token characters are ordinary. Transition counts are taken over all documents.
 """
 
 from __future__ import annotations
@@ -91,6 +91,34 @@ def transition_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     return texts(docs, id_col, text_col).mapInArrow(run, "label int, code int, n long").groupBy("label", "code").agg(F.sum("n").alias("n"))
 
 
+#: Words of the labelled ordinary identifiers: fixed values.
+IDENTIFIER_WORDS = ("access", "account", "build", "cache", "client", "config", "count", "data", "default", "error", "file", "handler", "index", "key", "manager", "message", "name", "number", "password", "path", "request", "reset", "response", "secret", "server", "session", "size", "state", "string", "test", "token", "type", "update", "user", "value", "version")
+
+
+def labelled_samples(n: int = 4000, seed: int = 0):
+    """Transition counts of ``n`` labelled strings of each class: keys drawn at random, and identifiers put together from words."""
+    import random
+
+    import numpy as np
+
+    rnd, table, counts = random.Random(seed), state_table(), np.zeros((2, STATES * STATES))
+    letters = ALPHABET[:62]
+
+    def identifier() -> str:
+        words = rnd.choices(IDENTIFIER_WORDS, k=rnd.randrange(2, 6))
+        style = rnd.randrange(5)
+        if style == 0:
+            words = [words[0], *map(str.title, words[1:])]
+        out = ("", "_", "-", "/", "_")[style].join(words)
+        return (out.upper() if style == 4 else out) + rnd.choice(("", "", "_v2", "01", "-2024"))
+
+    keys = ["".join(rnd.choices(letters + rnd.choice(("", "", "", "+/", "-_")), k=32)) for _ in range(n)]
+    for label, strings in enumerate(([identifier() for _ in range(n)], keys)):
+        states = table[np.frombuffer(("\x00" + "\x00".join(strings)).encode(), np.uint8)]
+        counts[label] = np.bincount(states[:-1] * STATES + states[1:], minlength=STATES * STATES)
+    return counts
+
+
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"):
     """Log-likelihood ratio of each transition, random over ordinary: a table of the alphabet's size squared."""
     import numpy as np
@@ -98,9 +126,11 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"):
     counts = np.zeros((2, STATES * STATES))
     for row in transition_counts(docs, id_col, text_col).toLocalIterator():  # at most 2 * STATES ** 2 rows
         counts[row.label, row.code] = row.n
-    counts = counts.reshape(2, STATES, STATES)[:, :, 1:]  # tokens have token characters only
-    counts[0] += 0.1
-    counts[1] += 1.0  # there are few labelled random strings: nearer to uniform
+    counts[0] = np.maximum(counts[0] - 2, 0)  # what stands in the corpus once or twice may be a secret's
+    counts[1] *= min(1.0, 30_000 / max(1.0, counts[1].sum()))  # found values weigh a quarter at most
+    counts = (counts + labelled_samples()).reshape(2, STATES, STATES)[:, :, 1:]  # tokens have token characters only
+    single = counts.sum(axis=1, keepdims=True) + 0.5
+    counts = counts + 50 * single / single.sum(axis=2, keepdims=True)  # rare states back off to single characters
     logs = np.log(counts) - np.log(counts.sum(axis=2, keepdims=True))
     ratio = np.zeros((STATES, STATES))
     ratio[:, 1:] = logs[1] - logs[0]

@@ -1,0 +1,329 @@
+"""Each operator against a brute-force version, and on odd inputs."""
+
+import hashlib
+import random
+import re
+
+import pytest
+from pyspark.sql import functions as F
+
+from quorumlake.llm import bpe, decontaminate, exact, linededup, quality, secrets, simhash, suffix, toxicity, wordpiece
+from quorumlake.llm.queries import vocabulary
+
+SCHEMA = "doc_id long, text string, lang string, source string, row long, fp long, h long, row__ long"
+
+
+def table(spark, texts, start=0):
+    """(doc_id, text) rows with extra columns whose names operators use inside."""
+    rows = [(*(x if isinstance(x, tuple) else (start + i, x)), "en", "s", 1, 2, 3, 4) for i, x in enumerate(texts)]
+    return spark.createDataFrame(rows, SCHEMA).coalesce(1)
+
+
+LONG = "lorem ipsum dolor sit amet, consectetur " * 6000
+ODD = [None, "", "   \n\t ", "one", "one", "two words", "naïve café 中文 🙂", "x" * 100_000, LONG, (7, "one"), (7, "one"), (None, "one")]
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    return table(spark, ODD)
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return table(spark, [])
+
+
+def ranks():
+    return bpe.read_ranks(vocabulary("byte_bpe_50k.tiktoken"))
+
+
+def labels(spark, rows):
+    return spark.createDataFrame(rows, "doc_id long, quality int, toxic int")
+
+
+def operators(spark):
+    import public_tokenizers
+
+    none = labels(spark, [])
+    items = spark.createDataFrame([(1, "one two three four five six"), (2, None), (3, "")], "item_id long, text string")
+    return {
+        "quality": (lambda d: quality.classify(d, quality.fit(d, none)), True),
+        "leaks": (lambda d: decontaminate.leaks(d, items), False),
+        "count_tokens": (lambda d: wordpiece.count_tokens(d, [b" one", b"o"]), True),
+        "dedup_lines": (linededup.dedup_lines, True),
+        "secrets": (lambda d: secrets.digests(secrets.scan(d, secrets.train(d))), True),
+        "remove_repeats": (suffix.remove_repeats, True),
+        "near_duplicates": (simhash.near_duplicates, True),
+        "encode": (lambda d: bpe.encode_documents(d, ranks(), public_tokenizers.PATTERN), True),
+        "encode_digests": (lambda d: bpe.encode_digests(d, ranks(), public_tokenizers.PATTERN), True),
+        "toxicity": (lambda d: toxicity.score(d, toxicity.fit(d, none)), True),
+        "owners": (exact.owners, True),
+    }
+
+
+@pytest.mark.parametrize("name", ["quality", "leaks", "count_tokens", "dedup_lines", "secrets", "remove_repeats", "near_duplicates", "encode", "encode_digests", "toxicity", "owners"])
+def test_odd_inputs(spark, odd, empty, name):
+    run, per_row = operators(spark)[name]
+    found = run(odd).collect()
+    if per_row:
+        assert sorted(str(r.doc_id) for r in found) == sorted(str(r.doc_id) for r in odd.collect())
+    assert run(empty).collect() == []
+
+
+def test_bpe_equals_the_library(spark):
+    import public_tokenizers
+    import tiktoken
+
+    data = ranks()
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.parse_ranks(data), special_tokens={})
+    rnd = random.Random(4)
+    texts = ["".join(rnd.choice(a) for _ in range(n)) for a in ("ab", "aab \n", "héllo wörld ", "0123 ,.!", "中 a🙂") for n in (1, 7, 300)] + ["a" * 3000, LONG, "<|endoftext|>"]
+    docs = table(spark, texts)
+    found = {r.doc_id: r for r in bpe.encode_documents(docs, data, public_tokenizers.PATTERN).collect()}
+    digests = {r.doc_id: r for r in bpe.encode_digests(docs, data, public_tokenizers.PATTERN).collect()}
+    for i, text in enumerate(texts):
+        ids = library.encode_ordinary(text)
+        assert found[i].ids == ids and bytes(found[i].decoded) == text.encode()
+        assert digests[i].n_tokens == len(ids)
+        assert digests[i].ids_sha256 == hashlib.sha256(b"".join(x.to_bytes(4, "little") for x in ids)).hexdigest()
+
+
+def test_bpe_merges_of_falling_rank():
+    """A merge may make a pair of lower rank; then the others of its bucket must wait."""
+    pieces = [bytes([i]) for i in range(256)] + [b"bc", b"abab", b"cab", b"ab", b"ca", b"abc"]
+    table = {p: i for i, p in enumerate(pieces)}
+    encoder = bpe.Encoder(table, r"[\s\S]+", bpe.pair_table(table))
+
+    def plain(text):
+        parts = [bytes([x]) for x in text]
+        while True:
+            at = min(((table[a + b], i) for i, (a, b) in enumerate(zip(parts, parts[1:], strict=False)) if a + b in table), default=None)
+            if at is None:
+                return [table[p] for p in parts]
+            parts[at[1] : at[1] + 2] = [parts[at[1]] + parts[at[1] + 1]]
+
+    rnd = random.Random(1)
+    words = list({"".join(rnd.choice("abc") for _ in range(rnd.randrange(1, 30))).encode() for _ in range(300)})
+    for word, packed in zip(words, encoder.merge(words), strict=True):
+        want = [table[word]] if word in table else plain(word)
+        assert list(memoryview(packed).cast("I")) == want
+
+
+def test_token_counts_equal_greedy_cutting():
+    rnd = random.Random(2)
+    for _ in range(20):
+        vocabulary_ = {bytes(rnd.choice(b"abc") for _ in range(rnd.randrange(1, 6))) for _ in range(8)}
+        automaton = wordpiece.build_automaton(vocabulary_)
+        for _ in range(50):
+            word = bytes(rnd.choice(b"abc") for _ in range(rnd.randrange(0, 15)))
+            at = n = 0
+            while at < len(word):
+                end = max((e for e in range(at + 1, len(word) + 1) if word[at:e] in vocabulary_), default=None)
+                if end is None:
+                    n = 1
+                    break
+                at, n = end, n + 1
+            assert wordpiece.count_pieces(word, automaton) == n
+
+
+def test_line_runs_equal_brute_force(spark):
+    rnd = random.Random(3)
+    pool = ["a b", "c", "", "d e f g", "x " * 12, "y " * 5, "q r s"] + [f"u{i} v{i}" for i in range(3)]
+    docs = [(rnd.randrange(40), "\n".join(rnd.choice(pool) for _ in range(rnd.randrange(1, 30)))) for _ in range(30)]
+    seen, want = set(), []
+    for _, lines in sorted(((d, t.split("\n")) for d, t in docs), key=lambda x: x[0]):
+        gone = set()
+        for i in range(len(lines)):
+            n = 0
+            for j in range(i, len(lines)):
+                n += len(lines[j].split())
+                if n >= 10:
+                    run = tuple(lines[i : j + 1])
+                    if run in seen:
+                        gone |= set(range(i, j + 1))
+                    seen.add(run)
+                    break
+        want.append("\n".join(x for i, x in enumerate(lines) if i not in gone))
+    assert sorted(r.text for r in linededup.dedup_lines(table(spark, docs), 10).collect()) == sorted(want)
+
+
+def test_secret_spans(spark):
+    noise = random.Random(6)
+    plain = " ".join("".join(noise.choice(["ther", "ing", "an", "sto", "ed", "re"]) for _ in range(noise.randrange(1, 8))) for _ in range(4000))
+    key = "".join(noise.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(40))
+    texts = [plain, f'x Api_Key = "{key[:30]}" y', "AKIA" + "Q2" * 8 + " AKIAQ2", "deadbeef" * 4 + " abc", "password: short", f"see {key} here", "ſecret=abcdefgh", 'secret: aaaaaa token="bbbbbbb"']
+    docs = table(spark, texts)
+    found = {r.doc_id: r for r in secrets.digests(secrets.scan(docs, secrets.train(docs))).collect()}
+    counts = {i: (r.n_assign, r.n_access, r.n_hex) for i, r in found.items()}
+    assert counts == {0: (0, 0, 0), 1: (1, 0, 0), 2: (0, 1, 0), 3: (0, 0, 1), 4: (0, 0, 0), 5: (0, 0, 0), 6: (0, 0, 0), 7: (2, 0, 0)}
+    assert found[0].spans == "" and found[5].spans == "markov:4:44" and found[2].spans == "access:0:20"
+    assert found[3].base_sha256 == hashlib.sha256(b"hex:0:32").hexdigest()
+    assert found[0].base_sha256 == hashlib.sha256(b"").hexdigest()
+
+
+def test_suffix_array_is_sorted():
+    import numpy as np
+
+    rnd = random.Random(1)
+    for _ in range(100):
+        pieces = [bytes(rnd.choice(b"abc") for _ in range(rnd.randrange(1, 40))) for _ in range(rnd.randrange(1, 6))]
+        text = (np.frombuffer(b"\xff".join([*pieces, b""]), np.uint8) + np.uint8(1)).tobytes()
+
+        def key(i, text=text):
+            end = text.index(0, i)
+            return [(c, 0) for c in text[i:end]] + [(0, end)]
+
+        assert suffix.suffix_array(text)[0].tolist() == sorted(range(len(text)), key=key)
+
+
+@pytest.mark.parametrize("array_bytes", [2 << 20, 2000])
+def test_repeated_bytes_equal_brute_force(spark, monkeypatch, array_bytes):
+    monkeypatch.setattr(suffix, "ARRAY_BYTES", array_bytes)
+    rnd = random.Random(9)
+    base = ["".join(rnd.choice("abcdé ") for _ in range(300)) for _ in range(4)] + ["ab" * 150, "hot line " * 9]
+    cut = lambda x: x[(a := rnd.randrange(0, 200)) : a + rnd.randrange(20, 260)]
+    part = lambda: cut(rnd.choice(base)) if rnd.random() < 0.6 else "".join(rnd.choice("abcdefgh") for _ in range(rnd.randrange(120)))
+    docs = [(rnd.randrange(35), "".join(part() for _ in range(rnd.randrange(6)))) for _ in range(40)]
+    seen, want = set(), []
+    for _, text in sorted(docs, key=lambda x: x[0]):
+        raw = text.encode()
+        gone = [False] * len(raw)
+        for i in range(len(raw) - 99):
+            if raw[i : i + 100] in seen:
+                gone[i : i + 100] = [True] * 100
+            seen.add(raw[i : i + 100])
+        runs = len(re.findall("1+", "".join("01"[g] for g in gone)))
+        want.append((len(raw), sum(gone), runs, bytes(x for x, g in zip(raw, gone, strict=True) if not g)))
+    found = suffix.remove_repeats(table(spark, docs)).collect()
+    assert sorted((r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in found) == sorted(want)
+
+
+def test_fingerprints_and_components_equal_brute_force(spark):
+    import xxhash
+
+    rnd = random.Random(5)
+    word = lambda: "".join(rnd.choice("abcde") for _ in range(rnd.randrange(2, 6)))
+    base = [[word() for _ in range(60)] for _ in range(6)]
+    texts = ["", " \x0b", "One two", "one TWO", "É x y z"]
+    for _ in range(120):
+        words = list(rnd.choice(base))
+        for _ in range(rnd.randrange(3)):
+            words[rnd.randrange(len(words))] = word()
+        texts.append(" ".join(words))
+
+    def fingerprint(text):
+        words = re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text))
+        if not words:
+            return 0
+        shingles = [" ".join(words[i : i + 3]) for i in range(len(words) - 2)] or [" ".join(words)]
+        hashes = [xxhash.xxh64_intdigest(x.encode(), 42) for x in shingles]
+        return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+    fps = [fingerprint(t) for t in texts]
+    component = list(range(len(fps)))
+    for _ in fps:
+        component = [min(component[j] for j in range(len(fps)) if (fps[i] ^ fps[j]).bit_count() <= 3) for i in range(len(fps))]
+    found = {r.doc_id: (r.fingerprint, r.component_id) for r in simhash.near_duplicates(table(spark, texts)).collect()}
+    assert found == {i: (f"{fps[i]:016x}", component[i]) for i in range(len(fps))}
+
+
+def test_crowded_lists_connect_all_links(monkeypatch):
+    import numpy as np
+
+    rnd = random.Random(7)
+    monkeypatch.setattr(simhash, "CROWDED", 30)
+    for free in (64, 32, 12):
+        seeds = [rnd.getrandbits(64) for _ in range(4)]
+        fps = np.array(sorted({rnd.choice(seeds) ^ sum(1 << rnd.randrange(free) for _ in range(rnd.randrange(6))) & ((1 << free) - 1) for _ in range(200)}), np.uint64)
+
+        def classes(pairs, n=len(fps)):
+            up = list(range(n))
+
+            def find(x):
+                while up[x] != x:
+                    x = up[x]
+                return x
+
+            for a, b in pairs:
+                up[find(int(a))] = find(int(b))
+            roots = [find(x) for x in range(n)]
+            return [roots.index(x) for x in roots]
+
+        links = [(i, j) for i in range(len(fps)) for j in range(i) if (int(fps[i]) ^ int(fps[j])).bit_count() <= 3]
+        assert classes(simhash.spanning(fps)) == classes(links)
+
+
+def test_covering_sets():
+    from itertools import combinations
+
+    sets = [set(s) for s in simhash.covering()]
+    assert all(any(s <= set(x) for s in sets) for x in combinations(range(8), 5))
+
+
+def test_exact_owners(spark):
+    texts = ["Same", "sAME", "other", None, "", "Éa", "éa", (9, "same"), (9, "same"), (4, "z")]
+    docs = table(spark, texts)
+    found = exact.owners(docs).collect()
+    fold = lambda t: "".join(c.lower() if "A" <= c <= "Z" else c for c in t or "")
+    rows = [(x if isinstance(x, tuple) else (i, x)) for i, x in enumerate(texts)]
+    want = [(i, max(j for j, u in rows if fold(u) == fold(t)), sum(fold(u) == fold(t) for _, u in rows), hashlib.sha256(fold(t).encode()).hexdigest()) for i, t in rows]
+    assert sorted((r.doc_id, r.keep_id, r.group_size, r.text_sha256) for r in found) == sorted(want)
+    assert sum(r.kept for r in found) == len({w[3] for w in want})
+
+
+def test_trie_spills_by_subtree():
+    rnd = random.Random(8)
+    keys = [bytes(rnd.choice(b"ab") for _ in range(rnd.randrange(0, 40))) for _ in range(600)]
+    trie = exact.SpillingTrie(4000, lambda a, b: a + b)
+    for key in keys:
+        trie.insert(key, 1)
+    found = list(trie.items())
+    assert dict(found) == {k: keys.count(k) for k in keys} and len(found) == len(set(keys))
+
+
+def test_leaks_equal_the_sets(spark):
+    rnd = random.Random(10)
+    word = lambda: rnd.choice(["alpha", "beta", "Gamma", "delta", "eps"])
+    items = [(i, " ".join(word() for _ in range(n))) for i, n in enumerate([3, 5, 6, 12, 30, 60])]
+    texts = []
+    for _ in range(60):
+        _, text = rnd.choice(items)
+        words = text.split()
+        for _ in range(rnd.randrange(3)):
+            words[rnd.randrange(len(words))] = "odd"
+        texts.append(" ".join([*(word() for _ in range(rnd.randrange(40))), ", ".join(words), *(word() for _ in range(rnd.randrange(9)))]))
+    shingles = lambda t: {tuple(w[i : i + 5]) for w in [re.findall(r"[a-z]+", t.lower())] for i in range(len(w) - 4)}
+    want = {(d, i): len(s & shingles(t)) for i, x in items for s in [shingles(x)] if s for d, t in enumerate(texts) if len(s & shingles(t)) >= 0.8 * len(s)}
+    found = decontaminate.leaks(table(spark, texts), spark.createDataFrame(items, "item_id long, text string"))
+    assert {(r.doc_id, r.item_id): r.n_shared for r in found.collect()} == want
+
+
+def test_toxicity_on_held_out_rows(spark):
+    rnd = random.Random(11)
+    words = ["".join(rnd.choice(["ba", "de", "ko", "mi", "ru"]) for _ in range(3)) for _ in range(60)]
+    rows, marks = [], []
+    for i in range(600):
+        toxic = i % 5 == 1
+        text = [rnd.choice(words) for _ in range(40)]
+        if toxic:
+            for _ in range(3):
+                text[rnd.randrange(40)] = "grobzak" + rnd.choice(["en", "a", "olu", "ist"])
+        rows.append(" ".join(text))
+        marks.append((i, 1, int(toxic)))
+    docs = table(spark, rows)
+    found = toxicity.score(docs, toxicity.fit(docs, labels(spark, marks))).withColumn("out", toxicity.held_out()).where("out").collect()
+    assert len(found) > 60 and sum(r.predicted == marks[r.doc_id][2] for r in found) >= 0.98 * len(found)
+    kept = toxicity.drop_toxic(docs, toxicity.fit(docs, labels(spark, marks)))
+    assert kept.columns == docs.columns and 450 <= kept.count() <= 500
+
+
+def test_quality_shrinks_sparse_sites(spark):
+    rnd = random.Random(12)
+    good = lambda: " ".join(rnd.choice(["the", "river", "runs", "down", "to", "a", "quiet", "sea"]) for _ in range(50)) + "."
+    bad = lambda: " ".join(rnd.choice(["BUY!!", "NOW$$", "###", "FREE!!"]) for _ in range(50))
+    rows = [(i, bad() if i % 4 == 0 else good(), "en", "big" if i < 380 else f"s{i}", 1, 2, 3, 4) for i in range(400)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    found = quality.classify(docs, quality.fit(docs, labels(spark, [(i, int(i % 4 != 0), 0) for i in range(0, 400, 2)]))).collect()
+    assert sum(r.kept == (r.doc_id % 4 != 0) for r in found) >= 396
+    rate = {r.host: r.host_rate for r in found}
+    assert 0.7 < rate["big"] < 0.8 and all(0.3 < x < 0.95 for x in rate.values())
