@@ -1 +1,2 @@
 
+"""Registered queries."""

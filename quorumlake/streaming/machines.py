@@ -198,3 +198,95 @@ LEASES = Machine(block_leases, "seq", "seq long, lease long, what string")
 
 def admission_machine(window: int = 1024, main: int = 65_536, halve_after: int = 8192) -> Machine:
     return Machine(admission(window, main, halve_after), "seq", "seq long, reason string")
+
+
+def chunk_ledger(state: dict, event: dict) -> list[dict]:
+    """Published contexts and their chunks. A context that gives a chunk another size is rejected as a whole.
+
+    Emits after each accepted event the bytes that only this context holds, and the ledger's total.
+    """
+    sizes, users, contexts = (state.setdefault(x, {}) for x in ("sizes", "users", "contexts"))
+    name, say = event["context"], lambda what, own=None: [{"seq": event["seq"], "context": event["context"], "what": what, "marginal_bytes": own, "total_bytes": sum(sizes.values())}]
+    if event["event"] == "remove":
+        for chunk in contexts.pop(name, []):
+            users[chunk] -= 1
+            if not users[chunk]:
+                del users[chunk], sizes[chunk]
+        return say("removed")
+    given = list(zip(event["chunks"], event["bytes"], strict=True))
+    named = dict(given)
+    if name in contexts or any(named[c] != b or sizes.get(c, b) != b for c, b in given):
+        return say("rejected")
+    contexts[name] = sorted(named)
+    for chunk, size in named.items():
+        sizes[chunk] = size
+        users[chunk] = users.get(chunk, 0) + 1
+    return say("published", sum(b for c, b in named.items() if users[c] == 1))
+
+
+def receiver(state: dict, event: dict) -> list[dict]:
+    """Replicated transactions: begin, put, commit, abort, in generations; idle ones expire.
+
+    Events carry their time, so a replay expires what a timer would. A repeated frame with the same digest is inert.
+    """
+    open_, last = state.setdefault("open", {}), state.setdefault("generations", {})
+    say = lambda what, name=None: {"seq": event["seq"], "transaction": name or event["transaction"], "what": what}
+    out = []
+    for name in [n for n, t in open_.items() if event["at"] - t["at"] >= WINDOW_SECONDS]:
+        del open_[name]
+        out.append(say("expired", name))
+    name, generation = event["transaction"], event["generation"]
+    if generation < last.get(name, 0):
+        return [*out, say("stale")]
+    now = open_.get(name)
+    if event["event"] == "begin":
+        if now and now["generation"] == generation:
+            return [*out, say("duplicate")]
+        last[name] = generation
+        open_[name] = {"generation": generation, "at": event["at"], "frames": {}}
+        return [*out, say("ok")]
+    if not now or now["generation"] != generation:
+        return [*out, say("rejected")]
+    now["at"] = event["at"]
+    if event["event"] == "put":
+        known = now["frames"].get(str(event["frame"]))
+        if known is None and event["intact"]:
+            now["frames"][str(event["frame"])] = event["digest"]
+            return [*out, say("ok")]
+        if known == event["digest"] and event["intact"]:
+            return [*out, say("duplicate")]
+        del open_[name]
+        return [*out, say("aborted")]
+    del open_[name]
+    whole = event["event"] == "commit" and sorted(map(int, now["frames"])) == list(range(event["frame"]))
+    return [*out, say("committed" if whole else "aborted")]
+
+
+def cohort_admission(flights: int, members: int, cap_bytes: int):
+    """Admission of reads to flights by evidence under caps on flights, members and bytes."""
+
+    def step(state: dict, event: dict) -> list[dict]:
+        open_, name = state.setdefault("flights", {}), str(event["evidence"])
+        say = lambda what: [{"seq": event["seq"], "load": event["load"], "what": what}]
+        one = open_.get(name)
+        if event["event"] == "finish":
+            return say("finished") if open_.pop(name, None) else say("unknown")
+        if one is None:
+            if len(open_) >= flights or sum(x["bytes"] for x in open_.values()) + event["bytes"] > cap_bytes:
+                return say("independent")
+            open_[name] = {"members": 1, "bytes": event["bytes"]}
+            return say("leader")
+        if one["members"] >= members:
+            return say("independent")
+        one["members"] += 1
+        return say("member")
+
+    return step
+
+
+LEDGER = Machine(chunk_ledger, "seq", "seq long, context long, what string, marginal_bytes long, total_bytes long")
+RECEIVER = Machine(receiver, "seq", "seq long, transaction long, what string")
+
+
+def cohort_machine(flights: int = 8, members: int = 16, cap_bytes: int = 1 << 30) -> Machine:
+    return Machine(cohort_admission(flights, members, cap_bytes), "seq", "seq long, load long, what string")

@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from quorumlake.plans import catalogue
+from quorumlake.plans import catalogue, storage  # noqa: F401  storage registers its queries
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 

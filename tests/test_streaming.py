@@ -53,3 +53,28 @@ def test_stream_equals_replay(spark, tmp_path):
     query = stream(source, "pool", machines.LEASES).writeStream.format("memory").queryName("leases").outputMode("append").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
     query.awaitTermination(120)
     assert sorted(map(tuple, spark.table("leases").collect())) == want
+
+
+def test_ledger_rejects_a_conflict_as_a_whole():
+    events = [
+        {"event": "publish", "context": 1, "chunks": ["d", "e"], "bytes": [100, 200]},
+        {"event": "publish", "context": 2, "chunks": ["e", "d"], "bytes": [50, 999]},
+        {"event": "publish", "context": 3, "chunks": ["d", "0"], "bytes": [100, 300]},
+        {"event": "remove", "context": 3},
+    ]
+    found = [(x["what"], x["marginal_bytes"], x["total_bytes"]) for x in play(machines.chunk_ledger, events)]
+    assert found == [("published", 300, 300), ("rejected", None, 300), ("published", 300, 600), ("removed", None, 300)]
+
+
+def test_receiver_handles_duplicates_staleness_and_expiry():
+    put = {"event": "put", "digest": "x", "intact": True}
+    events = [
+        {"event": "begin", "at": 0, "generation": 2}, put | {"at": 1, "frame": 0, "generation": 2}, put | {"at": 2, "frame": 0, "generation": 2}, {"event": "begin", "at": 3, "generation": 1},
+        put | {"at": 4, "frame": 1, "generation": 2}, {"event": "commit", "at": 5, "frame": 2, "generation": 2}, {"event": "begin", "at": 6, "generation": 3}, {"event": "commit", "at": 60, "frame": 0, "generation": 3},
+    ]
+    assert [x["what"] for x in play(machines.receiver, events, transaction=1)] == ["ok", "ok", "duplicate", "stale", "ok", "committed", "ok", "expired", "rejected"]
+
+
+def test_cohorts_respect_their_caps():
+    events = [{"event": "load", "load": i, "evidence": e, "bytes": 10} for i, e in enumerate("aabca")] + [{"event": "finish", "load": 9, "evidence": "a"}, {"event": "load", "load": 10, "evidence": "c", "bytes": 10}]
+    assert [x["what"] for x in play(machines.cohort_admission(2, 2, 100), events)] == ["leader", "member", "leader", "independent", "independent", "finished", "leader"]
