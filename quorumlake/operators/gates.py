@@ -46,3 +46,34 @@ def idle(metrics: DataFrame, names: list[str]) -> DataFrame:
     """Whether all the named metrics, summed over their labels, are zero; null if one is absent."""
     sums = metrics.where(F.col("name").isin(names)).groupBy("name").agg(F.sum("value").alias("value"))
     return sums.agg(F.when(F.count("*") == len(names), F.bool_and(F.col("value") == 0)).alias("idle"))
+
+
+def matrix_decision(cells: DataFrame) -> DataFrame:
+    """From (mode, depth, block_rate, p95): whether depth 3 is useful, and which mode wins.
+
+    Depth 3 is useful if depth 2 blocks more than half a percent and depth 3 halves that; the managed mode wins at 0.9 of the p95 or less.
+    """
+    at = lambda mode, depth, column: F.max(F.when((F.col("mode") == mode) & (F.col("depth") == depth), F.col(column)))
+    wide = cells.agg(*(at(m, k, c).alias(f"{m}_{k}_{c}") for m in ("managed", "pinned") for k in (2, 3) for c in ("block_rate", "p95")))
+    useful = lambda m: (F.col(f"{m}_2_block_rate") > 0.005) & (F.col(f"{m}_3_block_rate") <= F.col(f"{m}_2_block_rate") / 2)
+    depth = lambda m: F.when(useful(m), 3).otherwise(2)
+    p95 = lambda m: F.when(useful(m), F.col(f"{m}_3_p95")).otherwise(F.col(f"{m}_2_p95"))
+    return wide.select(depth("managed").alias("managed_depth"), depth("pinned").alias("pinned_depth"), F.when(p95("managed") <= 0.9 * p95("pinned"), "managed").otherwise("pinned").alias("winner"))
+
+
+def probe_cells(records: DataFrame) -> DataFrame:
+    """Probe records summed to cells of mode and depth: totals, maxima, and whether all four ranks are there once."""
+    return records.groupBy("mode", "depth").agg(F.count("*").alias("records"), F.sum("blocks").alias("blocks"), F.max("p95").alias("p95"), ((F.count_distinct("rank") == 4) & (F.count("*") == 4)).alias("complete"))
+
+
+def group_topology(groups: DataFrame) -> DataFrame:
+    """Digest of a layout's groups in order, and whether each group has one policy."""
+    per = groups.groupBy("layout", "grp").agg(F.count_distinct("policy").alias("policies"), F.min("policy").alias("policy"), F.count("*").alias("layers"))
+    listed = F.array_sort(F.collect_list(F.struct("grp", "layers", "policy")))
+    return per.groupBy("layout").agg(F.sha2(F.to_json(listed).cast("binary"), 256).alias("topology"), F.bool_and(F.col("policies") == 1).alias("uniform"))
+
+
+def resolve_alias(name: Column, aliases: dict[str, str]) -> Column:
+    """The profile that a name stands for, else the name."""
+    pairs = [F.lit(x) for pair in aliases.items() for x in pair]
+    return F.coalesce(F.create_map(*pairs)[name], name)

@@ -233,3 +233,26 @@ def _(events):
     from ..streaming import machines
 
     return events.select((F.col("user_id") % 2).alias("host"), F.col("event_id").alias("seq"), F.when(F.col("event_id") % 5 == 0, "finish").otherwise("load").alias("event"), F.col("event_id").alias("load"), (F.col("user_id") % 12).cast("string").alias("evidence"), (F.col("v") % 50).alias("bytes")), machines.cohort_machine(4, 4, 120)
+
+
+@query("A11_probe_cells", "with r as (select l_returnflag as mode, l_linenumber as depth, l_suppkey % 4 as rank, (l_partkey % 50)::bigint as blocks, l_quantity as p95 from lineitem where l_orderkey % 500 = 1) select mode, depth, count(*) as records, sum(blocks)::bigint as blocks, max(p95) as p95, count(distinct rank) = 4 and count(*) = 4 as complete from r group by mode, depth")
+def _(spark, d):
+    from ..operators import gates
+
+    records = M.table(spark, d, "lineitem").where("l_orderkey % 500 = 1").select(F.col("l_returnflag").alias("mode"), F.col("l_linenumber").alias("depth"), (F.col("l_suppkey") % 4).alias("rank"), (F.col("l_partkey") % 50).alias("blocks"), F.col("l_quantity").alias("p95"))
+    return gates.probe_cells(records)
+
+
+@query("P19_group_topology", """with g as (select l_orderkey as layout, l_suppkey % 3 as grp, count(distinct l_returnflag) as k, min(l_returnflag) as policy, count(*) as layers from lineitem group by 1, 2)
+select layout, sha256('[' || string_agg('{"grp":' || grp || ',"layers":' || layers || ',"policy":"' || policy || '"}', ',' order by grp) || ']') as topology, bool_and(k = 1) as uniform from g group by layout""")
+def _(spark, d):
+    from ..operators import gates
+
+    return gates.group_topology(M.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("layout"), (F.col("l_suppkey") % 3).alias("grp"), F.col("l_returnflag").alias("policy")))
+
+
+@query("H25_profile_alias", "select c_custkey, case c_mktsegment when 'BUILDING' then 'base' when 'MACHINERY' then 'large' else c_mktsegment end as profile from customer")
+def _(spark, d):
+    from ..operators import gates
+
+    return M.table(spark, d, "customer").select("c_custkey", gates.resolve_alias(F.col("c_mktsegment"), {"BUILDING": "base", "MACHINERY": "large"}).alias("profile"))
