@@ -50,3 +50,36 @@ def human_bytes(n: Column) -> Column:
     for k, unit in enumerate(("KiB", "MiB", "GiB", "TiB"), 1):
         out = F.when(n >= 1 << 10 * k, F.concat(F.bround(n / float(1 << 10 * k), 1).cast("string"), F.lit(f" {unit}"))).otherwise(out)
     return out
+
+
+def packed_positions(positions: Column) -> Column:
+    """Positions as unsigned 32-bit little-endian integers; null if one is out of range."""
+    swap = lambda h: F.concat(F.substring(h, 7, 2), F.substring(h, 5, 2), F.substring(h, 3, 2), F.substring(h, 1, 2))
+    fits = F.forall(positions, lambda x: (x >= 0) & (x < 1 << 32))
+    return F.when(fits, F.unhex(F.array_join(F.transform(positions, lambda x: swap(F.lpad(F.hex(x), 8, "0"))), "")))
+
+
+def unpacked_positions(content: Column) -> Column:
+    """The inverse of ``packed_positions``; null unless the bytes are whole integers."""
+    n = F.octet_length(content)
+    byte = lambda at: F.conv(F.hex(F.substring(content, at, F.lit(1))), 16, 10).cast("long")
+    one = lambda i: byte(4 * i + 1) + byte(4 * i + 2) * 256 + byte(4 * i + 3) * 65536 + byte(4 * i + 4) * 16777216
+    whole = F.when(n > 0, F.transform(F.sequence(F.lit(0), F.floor(n / 4).cast("int") - 1), one)).otherwise(F.array().cast("array<bigint>"))
+    return F.when(n % 4 == 0, whole)
+
+
+def scope_fingerprint(value: Column) -> Column:
+    """SHA-256 of a value's JSON; null and the string "null" differ."""
+    quoted = F.regexp_extract(F.to_json(F.struct(value.alias("v"))), r'^\{"v":(.*)\}$', 1)
+    return F.sha2(F.when(value.isNull(), "null").otherwise(quoted).cast("binary"), 256)
+
+
+def boundary_token(digest: Column, boundary: Column) -> Column:
+    """Name that a digest and a boundary give together."""
+    return F.sha2(F.concat_ws(":", digest, boundary.cast("string")).cast("binary"), 256)
+
+
+def self_checksum_ok(document: Column, field: str = "checksum") -> Column:
+    """Whether a JSON object's checksum, its last field, is the SHA-256 of the object without it."""
+    rest = F.regexp_replace(document, rf',"{field}":"[0-9a-f]{{64}}"\}}$', "}")
+    return F.coalesce(F.sha2(rest.cast("binary"), 256) == F.get_json_object(document, f"$.{field}"), F.lit(False))

@@ -256,3 +256,83 @@ def _(spark, d):
     from ..operators import gates
 
     return M.table(spark, d, "customer").select("c_custkey", gates.resolve_alias(F.col("c_mktsegment"), {"BUILDING": "base", "MACHINERY": "large"}).alias("profile"))
+
+
+@_machine("E03_revisioned_set", "owner")
+def _(events):
+    from ..streaming import machines
+
+    kind = F.element_at(F.array(*map(F.lit, ("union", "union", "difference", "symmetric"))), (F.col("event_id") % 4 + 1).cast("int"))
+    return events.select((F.col("user_id") % 4).alias("owner"), F.col("event_id").alias("seq"), kind.alias("event"), F.array(F.col("v") % 30, F.col("user_id") % 30).alias("items")), machines.REVISIONS
+
+
+@_machine("R13_replica_sender", "peer")
+def _(events):
+    from ..streaming import machines
+
+    kind = F.when(F.col("event_id") % 97 == 0, "lost").when(F.col("event_id") % 97 == 5, "joined").when(F.col("event_id") % 3 == 0, "credit").otherwise("send")
+    return events.select((F.col("user_id") % 4).alias("peer"), F.col("event_id").alias("seq"), kind.alias("event"), F.when(kind == "credit", F.floor(F.col("event_id") / 6)).otherwise(F.col("v") * 1000).cast("long").alias("n")), machines.SENDER
+
+
+@_machine("R14_timed_leases", "host")
+def _(events):
+    from ..streaming import machines
+
+    return events.select((F.col("user_id") % 2).alias("host"), F.col("event_id").alias("seq"), F.col("event_id").alias("at"), F.when(F.col("event_id") % 9 == 0, "release").otherwise("request").alias("event"), (F.col("user_id") % 20).alias("digest")), machines.lease_machine(25)
+
+
+@query("H15_packed_positions", "with p as (select o_orderkey, range(o_orderkey % 4, o_orderkey % 23, 4) as p from orders) select o_orderkey, array_to_string(list_transform(p, lambda x: printf('%02x%02x0000', x & 255, x >> 8)), '') as packed, true as same from p")
+def _(spark, d):
+    from ..operators import pages
+
+    key = F.col("o_orderkey")
+    rows = M.table(spark, d, "orders").select("o_orderkey", pages.owned_positions(key % 23, 4, key % 4).alias("p")).withColumn("b", hashing.packed_positions(F.col("p")))
+    return rows.select("o_orderkey", F.lower(F.hex("b")).alias("packed"), (hashing.unpacked_positions(F.col("b")) == F.col("p")).alias("same"))
+
+
+@query("H06_scope_fingerprints", "select doc_id, case when doc_id % 5 = 0 then sha256('null') else sha256('\"' || source || '\"') end as fingerprint, sha256(sha256(text) || ':' || n_chars) as token from documents")
+def _(spark, d):
+    value = F.when(F.col("doc_id") % 5 != 0, F.col("source"))
+    return M.table(spark, d, "documents").select("doc_id", hashing.scope_fingerprint(value).alias("fingerprint"), hashing.boundary_token(F.sha2("text", 256), F.col("n_chars")).alias("token"))
+
+
+@query("H09_self_checksums", "select c_custkey, c_custkey % 7 <> 0 as ok from customer")
+def _(spark, d):
+    body = F.to_json(F.struct(F.col("c_custkey").alias("id"), F.col("c_name").alias("name")))
+    sealed = F.concat(F.expr("substring({0}, 1, length({0}) - 1)".format("body")), F.lit(',"checksum":"'), F.sha2(F.col("body").cast("binary"), 256), F.lit('"}'))
+    rows = M.table(spark, d, "customer").withColumn("body", body).withColumn("doc", sealed)
+    damaged = F.when(F.col("c_custkey") % 7 == 0, F.regexp_replace("doc", '"name":"', '"name":"x')).otherwise(F.col("doc"))
+    return rows.select("c_custkey", hashing.self_checksum_ok(damaged).alias("ok"))
+
+
+@query("K15_event_json", """select event_id, '{"at_ns":' || at_ns || ',"key":' || key || ',"kind":"' || kind || '","staged":' || staged || '}' as json from writes""", "writes")
+def _(spark, d):
+    return M.writes(spark, d).select("event_id", F.to_json(F.struct("at_ns", "key", "kind", "staged")).alias("json"))
+
+
+@query("S13_snapshot_plan", 'with g as (select l_orderkey as layout, l_suppkey % 3 as grp, l_partkey as layer, sum(l_quantity * 4096)::bigint as bytes from lineitem group by 1, 2, 3) select layout, grp, layer, bytes, (sum(bytes) over (partition by layout order by grp, layer) - bytes)::bigint as "offset" from g')
+def _(spark, d):
+    layers = M.table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("layout"), (F.col("l_suppkey") % 3).alias("grp"), F.col("l_partkey").alias("layer")).agg(F.sum(F.col("l_quantity") * 4096).cast("long").alias("bytes"))
+    over = Window.partitionBy("layout").orderBy("grp", "layer").rowsBetween(Window.unboundedPreceding, 0)
+    return layers.withColumn("offset", F.sum("bytes").over(over) - F.col("bytes"))
+
+
+@query("T14_prompt_cohort", "select i as prompt, sha256(repeat('token ' || i || ' ', 64)) as digest, length(repeat('token ' || i || ' ', 64)) as chars from range(1000) t(i)")
+def _(spark, d):
+    text = F.expr("repeat(concat('token ', id, ' '), 64)")
+    return spark.range(1000).select(F.col("id").alias("prompt"), F.sha2(text.cast("binary"), 256).alias("digest"), F.length(text).cast("long").alias("chars"))
+
+
+@query("E05_finished_unleased", "select distinct l_orderkey as request from lineitem where l_linestatus = 'F' except select l_orderkey from lineitem where l_linestatus = 'O'")
+def _(spark, d):
+    rows = M.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("request"), "l_linestatus")
+    return rows.where("l_linestatus = 'F'").select("request").subtract(rows.where("l_linestatus = 'O'").select("request"))
+
+
+@query("Z22_range_blocks", "with r as (select o_orderkey as request, o_orderkey % 5 * 100 as a, o_orderkey % 5 * 100 + 256 as b from orders) select request, array_to_string(list_transform(range(a // 64, (b + 63) // 64), lambda i: request % 10 + i * 2), ',') as blocks from r")
+def _(spark, d):
+    from ..operators import pages
+
+    key, start = F.col("o_orderkey"), F.col("o_orderkey") % 5 * 100
+    table = F.transform(F.sequence(F.lit(0), F.lit(20)), lambda i: key % 10 + i * 2)
+    return M.table(spark, d, "orders").select(key.alias("request"), F.array_join(pages.range_blocks(table, start, start + 256, 64).cast("array<string>"), ",").alias("blocks"))

@@ -290,3 +290,68 @@ RECEIVER = Machine(receiver, "seq", "seq long, transaction long, what string")
 
 def cohort_machine(flights: int = 8, members: int = 16, cap_bytes: int = 1 << 30) -> Machine:
     return Machine(cohort_admission(flights, members, cap_bytes), "seq", "seq long, load long, what string")
+
+
+def revisions(state: dict, event: dict) -> list[dict]:
+    """A set whose revision grows only with a real change; adding and removing sets at a time."""
+    held = set(state.setdefault("held", []))
+    items = set(event["items"])
+    new = {"union": held | items, "difference": held - items, "intersection": held & items, "symmetric": held ^ items}[event["event"]]
+    if new != held:
+        state.update(held=sorted(new), revision=state.get("revision", 0) + 1)
+    return [{"seq": event["seq"], "revision": state.get("revision", 0), "n_held": len(new)}]
+
+
+def sender(window: int = 32, window_bytes: int = 64 << 20):
+    """Frames in flight under a window of frames and bytes and an absolute credit; without a peer it stays local."""
+
+    def step(state: dict, event: dict) -> list[dict]:
+        if not state:
+            state.update(sent=0, credit=0, flying={}, local=False)
+        flying, say = state["flying"], lambda what: [{"seq": event["seq"], "what": what, "in_flight": len(flying)}]
+        kind = event["event"]
+        if kind == "credit":
+            if event["n"] <= state["credit"]:
+                return say("replayed")  # credits are absolute and only grow
+            state["credit"] = event["n"]
+            for k in [k for k in flying if int(k) < event["n"] - window]:
+                del flying[k]
+            return say("credit")
+        if kind in ("lost", "joined"):
+            state["local"] = kind == "lost"
+            flying.clear()
+            return say(kind)
+        if state["local"]:
+            return say("local_only")
+        if state["sent"] >= state["credit"] or len(flying) >= window or sum(flying.values()) + event["n"] > window_bytes:
+            return say("blocked")
+        flying[str(state["sent"])] = event["n"]
+        state["sent"] += 1
+        return say("sent")
+
+    return step
+
+
+def timed_leases(ttl: int):
+    """Single flights by digest; a lease that isn't renewed in time goes, and the next request leads anew."""
+
+    def step(state: dict, event: dict) -> list[dict]:
+        leases, name = state.setdefault("leases", {}), str(event["digest"])
+        for k in [k for k, at in leases.items() if event["at"] - at >= ttl]:
+            del leases[k]
+        known = name in leases
+        if event["event"] == "release":
+            leases.pop(name, None)
+            return [{"seq": event["seq"], "digest": event["digest"], "role": "released" if known else "unknown"}]
+        leases[name] = event["at"]
+        return [{"seq": event["seq"], "digest": event["digest"], "role": "follower" if known else "leader"}]
+
+    return step
+
+
+REVISIONS = Machine(revisions, "seq", "seq long, revision long, n_held long")
+SENDER = Machine(sender(), "seq", "seq long, what string, in_flight long")
+
+
+def lease_machine(ttl: int) -> Machine:
+    return Machine(timed_leases(ttl), "seq", "seq long, digest long, role string")
