@@ -83,3 +83,26 @@ def self_checksum_ok(document: Column, field: str = "checksum") -> Column:
     """Whether a JSON object's checksum, its last field, is the SHA-256 of the object without it."""
     rest = F.regexp_replace(document, rf',"{field}":"[0-9a-f]{{64}}"\}}$', "}")
     return F.coalesce(F.sha2(rest.cast("binary"), 256) == F.get_json_object(document, f"$.{field}"), F.lit(False))
+
+
+def media_identity(features: Column, tokens: Column) -> Column:
+    """Digest of the ordered media features (modality, identifier, offset, length) that begin before ``tokens``."""
+    used = F.filter(features, lambda x: x["offset"] < tokens)
+    return F.sha2(F.to_json(F.transform(used, lambda x: F.struct(x["identifier"].alias("identifier"), x["length"].alias("length"), x["modality"].alias("modality"), x["offset"].alias("offset")))).cast("binary"), 256)
+
+
+def dotted(document: Column, path: str) -> Column:
+    """The text at a dotted path of a JSON document; a missing one is null."""
+    return F.get_json_object(document, f"$.{path}")
+
+
+def rounded(value: Column, digits: int) -> Column:
+    """Half to even, as reports round."""
+    return F.bround(value, digits)
+
+
+def encode_frame(header: Column, payload: Column) -> Column:
+    """Eight hex digits of the header's and of the payload's length, the JSON header, the payload."""
+    head = F.to_json(header).cast("binary")
+    size = lambda x: F.lower(F.lpad(F.hex(F.octet_length(x)), 8, "0")).cast("binary")
+    return F.concat(size(head), size(payload), head, payload)

@@ -137,3 +137,38 @@ def cohorts(loads: DataFrame, members: int = 16) -> DataFrame:
     """Role of each load in its evidence's cohort, and the cohort's number where one is full."""
     n = F.row_number().over(Window.partitionBy("evidence").orderBy("arrival", "load")) - 1
     return loads.withColumn("n", n).select("load", "evidence", F.floor(F.col("n") / members).cast("long").alias("cohort"), F.when(F.col("n") % members == 0, "leader").otherwise("member").alias("role"))
+
+
+def materialise(live: DataFrame, pieces: DataFrame) -> DataFrame:
+    """Pages of a snapshot from the live ranges of its stages; rows (root, layer, stage, page, payload)."""
+    return pieces.join(live, ["root", "layer", "stage"]).where((F.col("page") >= F.col("start")) & (F.col("page") < F.col("live_end"))).select("root", "layer", "page", "payload")
+
+
+def finish_stores(results: DataFrame, held: DataFrame) -> DataFrame:
+    """Held after store results: committed ones are added, evicted and failed ones are not held."""
+    gone = results.where("outcome <> 'committed'").select("digest")
+    return held.select("digest").union(results.where("outcome = 'committed'").select("digest")).distinct().join(gone, "digest", "left_anti")
+
+
+def startup_quorum(reports: DataFrame, ranks: int) -> DataFrame:
+    """Handshake rows (transport, rank, digest) that count: the transport's rank is the reported one and is in range."""
+    return reports.where((F.col("transport") == F.col("rank")) & F.col("rank").between(0, ranks - 1)).select("rank", "digest").distinct()
+
+
+def surviving_aliases(aliases: DataFrame, stored: DataFrame) -> DataFrame:
+    """Aliases whose key is still stored."""
+    return aliases.join(stored, ["storage_key", "digest"], "left_semi")
+
+
+def report_pages(held: DataFrame, page: int = 64) -> DataFrame:
+    """A rank's checkpoint in pages of ``page`` digests, with the count of pages and of digests."""
+    n = F.row_number().over(Window.partitionBy("rank").orderBy("digest")) - 1
+    total = F.count("*").over(Window.partitionBy("rank"))
+    return held.distinct().select("rank", "digest", n.alias("n"), total.alias("held")).groupBy("rank", F.floor(F.col("n") / page).cast("long").alias("page"), "held").agg(F.count("*").alias("digests"), F.min("digest").alias("first")).withColumn("pages", F.ceil(F.col("held") / page))
+
+
+def capture_plan(sources: DataFrame, align: int = 1) -> DataFrame:
+    """Offsets of each source's pages in a capture, by group and source; tails begin after the reused pages."""
+    size = (F.col("pages") - F.col("reused")) * F.col("bytes_per_page")
+    over = Window.partitionBy("capture").orderBy("grp", "source").rowsBetween(Window.unboundedPreceding, 0)
+    return sources.withColumn("size", F.ceil(size / align) * align).withColumn("begin", F.sum("size").over(over) - F.col("size")).select("capture", "grp", "source", "begin", "size")

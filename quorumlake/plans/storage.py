@@ -336,3 +336,47 @@ def _(spark, d):
     key, start = F.col("o_orderkey"), F.col("o_orderkey") % 5 * 100
     table = F.transform(F.sequence(F.lit(0), F.lit(20)), lambda i: key % 10 + i * 2)
     return M.table(spark, d, "orders").select(key.alias("request"), F.array_join(pages.range_blocks(table, start, start + 256, 64).cast("array<string>"), ",").alias("blocks"))
+
+
+@_machine("S15_frame_decoder", "link")
+def _(events):
+    from ..streaming import machines
+
+    frame = hashing.encode_frame(F.struct(F.col("event_id").alias("id")), F.repeat(F.lit("x"), (F.col("v") % 20).cast("int")).cast("binary"))
+    text = F.lower(F.hex(frame))
+    halves = F.array(F.substring(text, 1, 14), F.substring(text, F.lit(15), F.length(text)))
+    pieces = events.select((F.col("user_id") % 4).alias("link"), "event_id", F.posexplode(halves).alias("half", "piece"))
+    return pieces.select("link", (F.col("event_id") * 2 + F.col("half")).alias("seq"), "piece"), machines.FRAMES
+
+
+@query("S12_materialise_snapshot", "with s as (select root, layer, stage, \"start\" as a, least(\"end\", coalesce(min(\"start\") over (partition by root, layer order by stage rows between 1 following and unbounded following), \"end\")) as live, \"end\" as e from st), p as (select *, unnest(range(a, e)) as page from s) select root, layer, page, stage * 1000 + page as payload from p where page < live".replace("with s as", "with st as (select l_orderkey as root, l_suppkey % 3 as layer, row_number() over (partition by l_orderkey, l_suppkey % 3 order by l_partkey, l_suppkey, l_linenumber, l_extendedprice, l_discount, l_tax, l_shipdate) as stage, (l_partkey % 40)::bigint as \"start\", (l_partkey % 40 + l_quantity % 8)::bigint as \"end\" from lineitem), s as"))
+def _(spark, d):
+    from ..operators import structures
+    from .catalogue import _stages
+
+    stages = _stages(spark, d).withColumn("end", F.col("start") + (F.col("end") - F.col("start")) % 8)
+    pieces = stages.where("`end` > start").select("root", "layer", "stage", F.explode(F.sequence("start", F.col("end") - 1)).alias("page")).withColumn("payload", F.col("stage") * 1000 + F.col("page"))
+    return S.materialise(structures.overlay(stages), pieces)
+
+
+@query("Z12_finish_stores", "with r as (select event_id as digest, case event_id % 3 when 0 then 'committed' when 1 then 'evicted' else 'error' end as outcome from events), h as (select o_orderkey as digest from orders) select digest from (select digest from h union select digest from r where outcome = 'committed') where digest not in (select digest from r where outcome <> 'committed')")
+def _(spark, d):
+    outcome = F.element_at(F.array(*map(F.lit, ("committed", "evicted", "error"))), (F.col("event_id") % 3 + 1).cast("int"))
+    return S.finish_stores(M.table(spark, d, "events").select(F.col("event_id").alias("digest"), outcome.alias("outcome")), M.roots(spark, d))
+
+
+@query("Z14_startup_quorum", "select distinct (l_suppkey % 5)::int as rank, l_orderkey as digest from lineitem where l_suppkey % 5 = l_partkey % 5 and l_suppkey % 5 < 4")
+def _(spark, d):
+    reports = M.table(spark, d, "lineitem").select((F.col("l_partkey") % 5).cast("int").alias("transport"), (F.col("l_suppkey") % 5).cast("int").alias("rank"), F.col("l_orderkey").alias("digest"))
+    return S.startup_quorum(reports, 4)
+
+
+@query("R11_report_pages", 'with d as (select distinct rank, digest from held), n as (select *, row_number() over (partition by rank order by digest) - 1 as n, count(*) over (partition by rank) as held from d) select rank, n // 64 as page, held, count(*) as digests, min(digest) as first, (held + 63) // 64 as pages from n group by rank, n // 64, held', "held")
+def _(spark, d):
+    return S.report_pages(M.held(spark, d))
+
+
+@query("T13_capture_plan", "with s as (select l_orderkey as capture, l_suppkey % 3 as grp, l_partkey as source, max(l_quantity)::bigint as pages, min(l_quantity)::bigint // 2 as reused from lineitem group by 1, 2, 3), z as (select *, ((pages - reused) * 100 + 63) // 64 * 64 as size from s) select capture, grp, source, (sum(size) over (partition by capture order by grp, source) - size)::bigint as begin, size from z")
+def _(spark, d):
+    rows = M.table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("capture"), (F.col("l_suppkey") % 3).alias("grp"), F.col("l_partkey").alias("source")).agg(F.max("l_quantity").cast("long").alias("pages"), F.floor(F.min("l_quantity") / 2).cast("long").alias("reused"))
+    return S.capture_plan(rows.withColumn("bytes_per_page", F.lit(100)), 64)

@@ -355,3 +355,27 @@ SENDER = Machine(sender(), "seq", "seq long, what string, in_flight long")
 
 def lease_machine(ttl: int) -> Machine:
     return Machine(timed_leases(ttl), "seq", "seq long, digest long, role string")
+
+
+def frames(state: dict, event: dict) -> list[dict]:
+    """Frames out of a byte stream that comes in pieces of any size (hex text in ``piece``); a bad length ends the stream."""
+    if state.get("broken"):
+        return []
+    data = state.get("rest", "") + event["piece"]
+    out = []
+    while len(data) >= 32:
+        try:
+            head, body = (int(bytes.fromhex(data[a : a + 16]), 16) for a in (0, 16))
+        except ValueError:
+            state["broken"] = True
+            return [*out, {"seq": event["seq"], "header": None, "payload_bytes": None}]
+        end = 32 + 2 * (head + body)
+        if len(data) < end:
+            break
+        out.append({"seq": event["seq"], "header": bytes.fromhex(data[32 : 32 + 2 * head]).decode(), "payload_bytes": body})
+        data = data[end:]
+    state["rest"] = data
+    return out
+
+
+FRAMES = Machine(frames, "seq", "seq long, header string, payload_bytes long")
