@@ -10,7 +10,7 @@ from quorumlake.llm.common import shared_folder, table
 from quorumlake.llm.queries import vocabulary
 
 #: A document that line dedup leaves with a smaller share of its characters was a copy in the main and goes.
-LEAST_SHARE = 1 / 3
+LEAST_SHARE = 1 / 5
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
