@@ -101,10 +101,10 @@ class SpillingTrie:
 
     def __init__(self, limit: int, merge, skip: int = 0):
         self.limit, self.merge, self.skip = limit, merge, skip
-        self.trie, self.files = Trie(), {}
+        self.trie, self.files, self.before = Trie(), {}, b""
 
     def insert(self, key: bytes, value) -> None:
-        rest = key[self.skip :]
+        self.before, rest = key[: self.skip], key[self.skip :]  # all keys of one trie begin alike
         if rest and rest[0] in self.files:
             pickle.dump((key, value), self.files[rest[0]])
             return
@@ -114,12 +114,13 @@ class SpillingTrie:
             top = max(sizes, key=sizes.get)
             out = self.files[top] = tempfile.TemporaryFile()
             for found, held in self.trie.items(top):
-                pickle.dump((key[: self.skip] + found, held), out)
+                pickle.dump((self.before + found, held), out)
             del self.trie.root.children[top]
             self.trie.size -= sizes[top]
 
     def items(self) -> Iterator[tuple[bytes, object]]:
-        yield from self.trie.items()
+        for key, value in self.trie.items():
+            yield self.before + key, value
         self.trie = None
         for top in list(self.files):
             with self.files.pop(top) as f:
