@@ -17,11 +17,11 @@ from pyspark.sql import DataFrame
 from .common import column_bytes, pieces, texts
 
 #: Pre-tokens whose ids a task remembers; the memory starts anew when it is full.
-REMEMBERED = 600_000
+REMEMBERED = 250_000
 #: A longer pre-token is encoded anew in each batch that has it.
 REMEMBERED_CHARS = 64
 #: Bytes of text that are split and encoded together.
-TOGETHER = 6 << 20
+TOGETHER = 3 << 20
 
 
 def read_ranks(path: str) -> bytes:

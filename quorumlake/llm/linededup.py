@@ -12,9 +12,9 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import cut, numbered, pieces, shuffle_width
 
@@ -67,7 +67,7 @@ def repeated_runs(docs: DataFrame, min_words: int = 10, id_col: str = "doc_id",
         import numpy as np
         import pyarrow as pa
 
-        for batch in pieces(batches):
+        for batch in pieces(batches, 2 << 20):
             out = [int(needed(np.array(i), np.array(w), min_words)[0].max(initial=0)) for i, w in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.int32())], names=["row", "doc_id", "idx", "words", "l0", "need"])
 
@@ -81,7 +81,7 @@ def repeated_runs(docs: DataFrame, min_words: int = 10, id_col: str = "doc_id",
             import numpy as np
             import pyarrow as pa
 
-            for batch in pieces(batches):
+            for batch in pieces(batches, 2 << 20):
                 for row, idx, rank in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                     idx, rank = np.array(idx), np.array(rank, np.int64)
                     after = np.full(len(idx), -1, np.int64)
@@ -100,7 +100,7 @@ def repeated_runs(docs: DataFrame, min_words: int = 10, id_col: str = "doc_id",
         import numpy as np
         import pyarrow as pa
 
-        for batch in pieces(batches):
+        for batch in pieces(batches, 2 << 20):
             for row in batch.to_pylist():
                 idx = np.array(row["idx"])
                 need, _ = needed(idx, np.array(row["words"]), min_words)
@@ -129,25 +129,35 @@ def dedup_lines(docs: DataFrame, min_words: int = 10, id_col: str = "doc_id", te
     """
     table, runs, name = repeated_runs(docs, min_words, id_col, text_col)
 
-    @F.pandas_udf("text string, n_lines int, n_deleted int, n_runs int, share double")
-    def apply(text: pd.Series, runs: pd.Series) -> pd.DataFrame:
-        out = []
-        for t, found in zip(text, runs, strict=True):
-            if t is None:
-                out.append((None, 0, 0, 0, 1.0))
-                continue
-            parts = t.split("\n")
-            if found is None:
-                out.append((t, len(parts), 0, 0, 1.0))
-                continue
-            gone = sorted({i for x in found for i in range(x["idx"], x["idx"] + x["m"])})
-            drop = set(gone)
-            left = "\n".join([x for i, x in enumerate(parts) if i not in drop])
-            out.append((left, len(parts), len(gone), sum(i - 1 not in drop for i in gone), len(left) / max(1, len(t))))
-        return pd.DataFrame(out, columns=["text", "n_lines", "n_deleted", "n_runs", "share"])
-
     runs = runs.select(F.col("row").alias("run_row__"), F.col("runs").alias("runs__"))
     joined = table.join(runs.hint("shuffle_hash"), F.col(name) == F.col("run_row__"), "left")
-    done = joined.withColumn("dedup__", apply(F.col(f"`{text_col}`"), F.col("runs__")))
-    rest = [F.col("dedup__.text").alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns]
-    return done.select(*rest, F.struct("dedup__.n_lines", "dedup__.n_deleted", "dedup__.n_runs", "dedup__.share").alias("dedup__"))
+    place = docs.columns.index(text_col)
+    width = len(docs.columns)
+
+    def apply(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in pieces(batches, 4 << 20):
+            out = []
+            for text, found in zip(batch.column(place), batch.column(width), strict=True):
+                text, found = text.as_py(), found.as_py()
+                if text is None:
+                    out.append((None, 0, 0, 0, 1.0))
+                    continue
+                parts = text.split("\n")
+                if not found:
+                    out.append((text, len(parts), 0, 0, 1.0))
+                    continue
+                drop = {i for x in found for i in range(x["idx"], x["idx"] + x["m"])}
+                left = "\n".join([x for i, x in enumerate(parts) if i not in drop])
+                out.append((left, len(parts), len(drop), sum(i - 1 not in drop for i in drop), len(left) / max(1, len(text))))
+            columns = batch.columns[:width]
+            columns[place] = pa.array([x[0] for x in out], columns[place].type)
+            numbers = [pa.array([x[k] for x in out], kind) for k, kind in ((1, pa.int32()), (2, pa.int32()), (3, pa.int32()), (4, pa.float64()))]
+            counts = pa.StructArray.from_arrays(numbers, names=["n_lines", "n_deleted", "n_runs", "share"])
+            yield pa.RecordBatch.from_arrays([*columns, counts], names=[*docs_columns, "dedup__"])
+
+    docs_columns = docs.columns
+    counts = T.StructType.fromDDL("n_lines int, n_deleted int, n_runs int, share double")
+    schema = T.StructType([*(T.StructField(f.name, f.dataType) for f in docs.schema), T.StructField("dedup__", counts)])
+    return joined.select(*(F.col(f"`{c}`") for c in docs.columns), "runs__").mapInArrow(apply, schema)

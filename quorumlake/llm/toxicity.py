@@ -11,7 +11,6 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -226,11 +225,13 @@ def score(docs: DataFrame, model: tuple[dict[str, float], float], id_col: str =
 def drop_toxic(docs: DataFrame, model: tuple[dict[str, float], float], threshold: float = 0.5, text_col: str = "text") -> DataFrame:
     """The rows, with all their columns, whose text scores below the threshold. No shuffle."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    place = docs.columns.index(text_col)
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
 
-    @F.pandas_udf("double")
-    def scored(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         of = scorer(shared.value)
-        for text in parts:
-            yield text.map(lambda x: of(x or "")).astype(float)
+        for batch in pieces(batches):
+            yield batch.filter(pa.array([of(text.as_py() or "") < threshold for text in batch.column(place)], pa.bool_()))
 
-    return docs.where(scored(F.col(f"`{text_col}`")) < threshold)
+    return docs.mapInArrow(run, docs.schema)
