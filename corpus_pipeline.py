@@ -9,8 +9,8 @@ from quorumlake.llm import bpe, decontaminate, linededup, simhash, toxicity
 from quorumlake.llm.common import shared_folder, table
 from quorumlake.llm.queries import vocabulary
 
-#: A document that line dedup leaves with a smaller share of its characters was a copy in the main and goes.
-LEAST_SHARE = 1 / 5
+#: A document of which line dedup leaves a smaller share, next to what it had from other documents, was a copy in the main and goes.
+LEAST_SHARE = 0.3
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -53,7 +53,7 @@ def needed(idx, words, min_words: int):
 
 
 def repeated_runs(docs: DataFrame, min_words: int = 10, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame, str]:
-    """The numbered table; (row, runs array of (idx, lines)) of the later copies; the row number's name."""
+    """The numbered table; (row, runs array of (idx, lines, whether the first copy is in another row)) of the later copies; the row number's name."""
     spark = docs.sparkSession
     width = shuffle_width(spark)
     table, name = numbered(docs)
@@ -116,11 +116,14 @@ def repeated_runs(docs: DataFrame, min_words: int = 10, id_col: str = "doc_id",
     run = cut(state.mapInArrow(starts, "row long, doc_id long, idx int, m int, a long, b long"))
     first = run.groupBy("m", "a", "b").agg(F.min(F.struct("doc_id", "row", "idx")).alias("first"), F.count("*").alias("n")).where("n > 1").select("m", "a", "b", "first")
     later = run.join(first, ["m", "a", "b"]).where("row <> first.row or idx <> first.idx")
-    return table, later.groupBy("row").agg(F.collect_list(F.struct("idx", "m")).alias("runs")), name
+    other = (F.col("row") != F.col("first.row")).alias("other")
+    return table, later.groupBy("row").agg(F.collect_list(F.struct("idx", "m", other)).alias("runs")), name
 
 
 def dedup_lines(docs: DataFrame, min_words: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """All columns of the table, the text without later copies of repeated runs, and ``dedup__`` (n_lines, n_deleted, n_runs, share of characters kept).
+    """All columns of the table, the text without later copies of repeated runs, and ``dedup__`` (n_lines, n_deleted, n_runs, share).
+
+    ``share`` is what stays, over that and what went as a copy from another row: repeats within a text don't count.
 
     Lines end at line feeds. Of equal runs the one in the smallest id stays, of these the first row's, of these the
     first in the text; a null id counts as smallest. A null text has no lines and stays null; an
@@ -149,8 +152,10 @@ def dedup_lines(docs: DataFrame, min_words: int = 10, id_col: str = "doc_id", te
                     out.append((text, len(parts), 0, 0, 1.0))
                     continue
                 drop = {i for x in found for i in range(x["idx"], x["idx"] + x["m"])}
+                foreign = {i for x in found if x["other"] for i in range(x["idx"], x["idx"] + x["m"])}
                 left = "\n".join([x for i, x in enumerate(parts) if i not in drop])
-                out.append((left, len(parts), len(drop), sum(i - 1 not in drop for i in drop), len(left) / max(1, len(text))))
+                share = len(left) / max(1, len(left) + sum(len(parts[i]) + 1 for i in foreign))
+                out.append((left, len(parts), len(drop), sum(i - 1 not in drop for i in drop), share))
             columns = batch.columns[:width]
             columns[place] = pa.array([x[0] for x in out], columns[place].type)
             numbers = [pa.array([x[k] for x in out], kind) for k, kind in ((1, pa.int32()), (2, pa.int32()), (3, pa.int32()), (4, pa.float64()))]
