@@ -9,7 +9,7 @@ from quorumlake.llm import bpe, decontaminate, linededup, simhash, toxicity
 from quorumlake.llm.common import shared_folder, table
 from quorumlake.llm.queries import vocabulary
 
-#: A document of which line dedup leaves a smaller share, next to what it had from other documents, was a copy in the main and goes.
+#: A document of which line dedup leaves a smaller share, next to what it had from other documents, goes if it is a verified near copy of one that stays.
 LEAST_SHARE = 0.3
 
 
@@ -18,9 +18,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later copies of repeated runs go, and documents of which they were the larger part."""
-    done = linededup.dedup_lines(docs).where((F.col("dedup__.n_deleted") == 0) | (F.col("dedup__.share") >= LEAST_SHARE))
-    return done.drop("dedup__").withColumn("n_chars", F.length("text").cast("long"))
+    """Later copies of repeated runs go, and documents of which no word or only a near copy's own words are left."""
+    return linededup.drop_copies(docs, LEAST_SHARE).drop("dedup__").withColumn("n_chars", F.length("text").cast("long"))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -53,7 +53,7 @@ def needed(idx, words, min_words: int):
 
 
 def repeated_runs(docs: DataFrame, min_words: int = 10, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame, str]:
-    """The numbered table; (row, runs array of (idx, lines, whether the first copy is in another row)) of the later copies; the row number's name."""
+    """The numbered table; (row, runs array of (idx, lines, whether the first copy is in another row, that row)) of the later copies; the row number's name."""
     spark = docs.sparkSession
     width = shuffle_width(spark)
     table, name = numbered(docs)
@@ -117,13 +117,15 @@ def repeated_runs(docs: DataFrame, min_words: int = 10, id_col: str = "doc_id",
     first = run.groupBy("m", "a", "b").agg(F.min(F.struct("doc_id", "row", "idx")).alias("first"), F.count("*").alias("n")).where("n > 1").select("m", "a", "b", "first")
     later = run.join(first, ["m", "a", "b"]).where("row <> first.row or idx <> first.idx")
     other = (F.col("row") != F.col("first.row")).alias("other")
-    return table, later.groupBy("row").agg(F.collect_list(F.struct("idx", "m", other)).alias("runs")), name
+    return table, later.groupBy("row").agg(F.collect_list(F.struct("idx", "m", other, F.col("first.row").alias("source"))).alias("runs")), name
 
 
 def dedup_lines(docs: DataFrame, min_words: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """All columns of the table, the text without later copies of repeated runs, and ``dedup__`` (n_lines, n_deleted, n_runs, share).
+    """All columns of the table, the text without later copies of repeated runs, and ``dedup__`` (n_lines, n_deleted, n_runs, share, row, blank, source, sources).
 
     ``share`` is what stays, over that and what went as a copy from another row: repeats within a text don't count.
+    ``row`` is the row's number, ``sources`` are those of the other rows with first copies, ``source`` is the one of them
+    that most text was copied from, the first of equals; ``blank`` says that deletions left no word.
 
     Lines end at line feeds. Of equal runs the one in the smallest id stays, of these the first row's, of these the
     first in the text; a null id counts as smallest. A null text has no lines and stays null; an
@@ -145,24 +147,68 @@ def dedup_lines(docs: DataFrame, min_words: int = 10, id_col: str = "doc_id", te
             for text, found in zip(batch.column(place), batch.column(width), strict=True):
                 text, found = text.as_py(), found.as_py()
                 if text is None:
-                    out.append((None, 0, 0, 0, 1.0))
+                    out.append((None, 0, 0, 0, 1.0, False, None, []))
                     continue
                 parts = text.split("\n")
                 if not found:
-                    out.append((text, len(parts), 0, 0, 1.0))
+                    out.append((text, len(parts), 0, 0, 1.0, False, None, []))
                     continue
                 drop = {i for x in found for i in range(x["idx"], x["idx"] + x["m"])}
-                foreign = {i for x in found if x["other"] for i in range(x["idx"], x["idx"] + x["m"])}
+                copied = {}
+                for x in found:
+                    if x["other"]:
+                        copied.setdefault(x["source"], set()).update(range(x["idx"], x["idx"] + x["m"]))
+                foreign = set().union(*copied.values())
+                source = min(copied, key=lambda r: (-sum(len(parts[i]) + 1 for i in copied[r]), r), default=None)
                 left = "\n".join([x for i, x in enumerate(parts) if i not in drop])
                 share = len(left) / max(1, len(left) + sum(len(parts[i]) + 1 for i in foreign))
-                out.append((left, len(parts), len(drop), sum(i - 1 not in drop for i in drop), share))
+                out.append((left, len(parts), len(drop), sum(i - 1 not in drop for i in drop), share, not left.strip(), source, sorted(copied)))
             columns = batch.columns[:width]
             columns[place] = pa.array([x[0] for x in out], columns[place].type)
-            numbers = [pa.array([x[k] for x in out], kind) for k, kind in ((1, pa.int32()), (2, pa.int32()), (3, pa.int32()), (4, pa.float64()))]
-            counts = pa.StructArray.from_arrays(numbers, names=["n_lines", "n_deleted", "n_runs", "share"])
+            kinds = (pa.int32(), pa.int32(), pa.int32(), pa.float64(), pa.bool_(), pa.int64(), pa.list_(pa.int64()))
+            numbers = [pa.array([x[k] for x in out], kind) for k, kind in enumerate(kinds, 1)]
+            numbers.insert(4, batch.column(width + 1))
+            counts = pa.StructArray.from_arrays(numbers, names=["n_lines", "n_deleted", "n_runs", "share", "row", "blank", "source", "sources"])
             yield pa.RecordBatch.from_arrays([*columns, counts], names=[*docs_columns, "dedup__"])
 
     docs_columns = docs.columns
-    counts = T.StructType.fromDDL("n_lines int, n_deleted int, n_runs int, share double")
+    counts = T.StructType.fromDDL("n_lines int, n_deleted int, n_runs int, share double, row long, blank boolean, source long, sources array<long>")
     schema = T.StructType([*(T.StructField(f.name, f.dataType) for f in docs.schema), T.StructField("dedup__", counts)])
-    return joined.select(*(F.col(f"`{c}`") for c in docs.columns), "runs__").mapInArrow(apply, schema)
+    return joined.select(*(F.col(f"`{c}`") for c in docs.columns), "runs__", F.col(name)).mapInArrow(apply, schema)
+
+
+def shingles(text: str, n: int = 5) -> set[tuple]:
+    words = text.split()
+    return {tuple(words[i : i + n]) for i in range(max(1, len(words) - n + 1))}
+
+
+def drop_copies(docs: DataFrame, least_share: float, near: float = 0.8, min_words: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``dedup_lines`` without those that deletions left no word of, and without verified near copies.
+
+    A near copy keeps a share below ``least_share``, and its whole text has a Jaccard of ``near`` at least, over
+    shingles of five words, with the whole text of its source, a row that stays. A row that holds the first copy of what
+    other rows lost is never dropped as a near copy. So each word of the table stays, but for a near copy's own.
+    """
+    done = cut(dedup_lines(docs, min_words, id_col, text_col))
+    empty = (F.col("dedup__.n_deleted") > 0) & F.col("dedup__.blank")
+    judged = done.select("dedup__.*", empty.alias("empty"))
+    holders = judged.select(F.explode("sources").alias("row")).distinct()
+    suspects = judged.where(~F.col("empty") & (F.col("n_deleted") > 0) & (F.col("share") < least_share)).select("row", "source").join(holders, "row", "left_anti")
+    pairs = cut(suspects.join(judged.where(~F.col("empty")).select(F.col("row").alias("source")), "source"))
+    table, name = numbered(docs)
+    whole = table.select(F.col(name).alias("row"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
+    both = pairs.join(whole, "row").join(whole.select(F.col("row").alias("source"), F.col("text").alias("first")), "source").select("row", "text", "first")
+
+    def compare(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in pieces(batches, 4 << 20):
+            out = []
+            for row, text, first in zip(batch.column(0), batch.column(1), batch.column(2), strict=True):
+                a, b = shingles(text.as_py()), shingles(first.as_py())
+                if len(a & b) >= near * len(a | b):
+                    out.append(row.as_py())
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.int64())], names=["copy__"])
+
+    copies = both.mapInArrow(compare, "copy__ long")
+    return done.where(~empty).join(copies.hint("shuffle_hash"), F.col("dedup__.row") == F.col("copy__"), "left_anti")
