@@ -56,7 +56,7 @@ def suggested(train: DataFrame, n_voters: int, n_features: int) -> tuple[list[st
                 label = int(bool(label))
                 rows[label] += 1
                 counts[label].update({f for w in set(find(text.as_py().lower())) for f in features(w)})
-        names = [*(x for x in counts[1]), *(x for x, n in counts[0].items() if n > 1 and x not in counts[1]), ""]
+        names = [*(counts[0] | counts[1]), ""]
         both = [[*(c[x] for x in names[:-1]), r] for c, r in zip(counts, rows, strict=True)]
         for at in range(0, len(names), 50_000):
             yield pa.RecordBatch.from_arrays([pa.array(names[at : at + 50_000]), *(pa.array(x[at : at + 50_000], pa.int64()) for x in both)], names=["feature", "clean", "toxic"])

@@ -317,6 +317,15 @@ def test_toxicity_on_held_out_rows(spark):
     assert kept.columns == docs.columns and 450 <= kept.count() <= 500
 
 
+def test_toxicity_counts_do_not_depend_on_tasks(spark):
+    rnd = random.Random(12)
+    rows = [" ".join(f"w{chr(97 + rnd.randrange(26))}{chr(97 + rnd.randrange(8))}q" for _ in range(6)) for _ in range(200)]
+    marks = [(i, 1, int(i % 4 == 0)) for i in range(200)]
+    train = toxicity.training_rows(table(spark, rows), labels(spark, marks), 20_000)
+    whole, spread = (toxicity.suggested(train.repartition(n), 400, 2000) for n in (1, 20))
+    assert whole == spread
+
+
 def test_quality_shrinks_sparse_sites(spark):
     rnd = random.Random(12)
     good = lambda: " ".join(rnd.choice(["the", "river", "runs", "down", "to", "a", "quiet", "sea"]) for _ in range(50)) + "."
