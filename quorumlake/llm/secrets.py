@@ -119,16 +119,20 @@ def labelled_samples(n: int = 4000, seed: int = 0):
     return counts
 
 
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"):
-    """Log-likelihood ratio of each transition, random over ordinary: a table of the alphabet's size squared."""
+#: Transitions that each class's corpus counts weigh, whatever the size of the corpus, beside the labelled samples.
+CORPUS_WEIGHT = (1_500_000, 30_000)
+
+
+def log_ratio(counts):
+    """Log-likelihood ratio of each transition, random over ordinary, from the corpus's counts (label, code).
+
+    Both classes' corpus counts are brought to a fixed weight first, so the ratio doesn't depend on the corpus's size.
+    """
     import numpy as np
 
-    counts = np.zeros((2, STATES * STATES))
-    for row in transition_counts(docs, id_col, text_col).toLocalIterator():  # at most 2 * STATES ** 2 rows
-        counts[row.label, row.code] = row.n
-    counts[0] = np.maximum(counts[0] - 2, 0)  # what stands in the corpus once or twice may be a secret's
-    counts[1] *= min(1.0, 30_000 / max(1.0, counts[1].sum()))  # found values weigh a quarter at most
-    counts = (counts + labelled_samples()).reshape(2, STATES, STATES)[:, :, 1:]  # tokens have token characters only
+    inside = np.array(counts, float).reshape(2, STATES, STATES)[:, :, 1:]  # tokens have token characters only
+    total = np.maximum(inside.sum(axis=(1, 2), keepdims=True), 1e-9)
+    counts = inside / total * np.array(CORPUS_WEIGHT)[:, None, None] + labelled_samples().reshape(2, STATES, STATES)[:, :, 1:]
     single = counts.sum(axis=1, keepdims=True) + 0.5
     counts = counts + 50 * single / single.sum(axis=2, keepdims=True)  # rare states back off to single characters
     logs = np.log(counts) - np.log(counts.sum(axis=2, keepdims=True))
@@ -137,6 +141,16 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"):
     return ratio
 
 
+def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"):
+    """The log-likelihood ratios of ``log_ratio`` over all documents: a table of the alphabet's size squared."""
+    import numpy as np
+
+    counts = np.zeros((2, STATES * STATES))
+    for row in transition_counts(docs, id_col, text_col).toLocalIterator():  # at most 2 * STATES ** 2 rows
+        counts[row.label, row.code] = row.n
+    return log_ratio(counts)
+
+
 def scan(docs: DataFrame, ratio, min_length: int = 16, min_score: float = 14.0, min_mean: float = 0.6, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and secrets, an array of (kind, start, end) in code points, end exclusive, by start and then kind.
 

@@ -161,6 +161,21 @@ def test_secret_spans(spark):
     assert found[0].base_sha256 == hashlib.sha256(b"").hexdigest()
 
 
+def test_secret_scores_do_not_depend_on_the_corpus_size(spark, sf_dir, monkeypatch):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    counted, ratios = secrets.transition_counts(docs).persist(), []
+    for scale in (1, 50, 3000):
+        monkeypatch.setattr(secrets, "transition_counts", lambda *_, k=scale: counted.withColumn("n", F.col("n") * k))
+        ratios.append(secrets.train(docs))
+    counted.unpersist()
+    assert abs(ratios[0] - ratios[1]).max() < 1e-9 and abs(ratios[0] - ratios[2]).max() < 1e-9
+    rnd = random.Random(8)
+    keys = ["".join(rnd.choices(secrets.ALPHABET[:62], k=40)) for _ in range(20)]
+    names = ["requestHandlerFactory", "DEFAULT_SESSION_SIZE", "MAX_CONNECTION_RETRIES", "get_user_account_by_name"]
+    found = secrets.scan(table(spark, [f"see {x} here" for x in names + keys]), ratios[2]).collect()
+    assert [r.doc_id for r in found if not r.secrets] == [0, 1, 2, 3]
+
+
 def test_suffix_array_is_sorted():
     import numpy as np
 
