@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut
+
 
 def chain_segments(descriptors: DataFrame, per_segment: int = 16) -> DataFrame:
     """A root's ordered descriptors (digest, idx, chunk) cut into segments that name their parent."""
@@ -14,23 +16,25 @@ def chain_segments(descriptors: DataFrame, per_segment: int = 16) -> DataFrame:
     return cut.select("digest", name.alias("segment"), F.when(F.col("n") > 0, F.concat_ws("/", F.col("digest"), F.col("n") - 1)).alias("parent"), (F.col("n") * per_segment).alias("first_index"), F.transform("d", lambda x: x["chunk"]).alias("chunks"))
 
 
-def walk_chains(segments: DataFrame, tails: DataFrame, depth: int = 64) -> DataFrame:
+def walk_chains(segments: DataFrame, tails: DataFrame) -> DataFrame:
     """Segments reached from each tail (root, segment) with their distance; ends at a missing parent or a cycle.
 
-    All tails walk together, one equi-join for each step, until none has a parent left.
+    All tails walk together by pointer doubling, so a chain takes rounds by the logarithm of its length. Round k adds what lies
+    2 ** k steps behind what was reached; a segment that a tail has reached before isn't added, which ends cycles.
     """
-    links = segments.select("segment", "parent")
-    now = tails.join(links, "segment").select("root", "segment", "parent", F.lit(0).alias("steps"))
-    parts = [now]
-    for k in range(1, depth):
-        now = now.where("parent is not null").select("root", F.col("parent").alias("segment")).join(links, "segment").select("root", "segment", "parent", F.lit(k).alias("steps"))
-        if now.isEmpty():
-            break
-        parts.append(now)
-    out = parts[0]
-    for x in parts[1:]:
-        out = out.unionAll(x)
-    return out.select("root", "segment", "steps")
+    links = segments.select("segment", "parent").distinct()
+    key = ["root", "tail", "segment"]
+    reached = cut(tails.join(links.select("segment"), "segment", "left_semi").select("root", F.col("segment").alias("tail"), "segment", F.lit(0).alias("steps")).distinct())
+    jumps = cut(links.join(links.select(F.col("segment").alias("parent")).distinct(), "parent", "left_semi").select("segment", F.col("parent").alias("to")))
+    hops = 1
+    while True:
+        further = reached.join(jumps, "segment").select("root", "tail", F.col("to").alias("segment"), (F.col("steps") + hops).alias("steps"))
+        new = cut(further.groupBy(key).agg(F.min("steps").alias("steps")).join(reached.select(key), key, "left_anti").select(*key, "steps"))
+        if new.isEmpty():
+            return reached.select("root", "segment", "steps")
+        reached = reached.unionAll(new)
+        jumps = cut(jumps.join(jumps.select(F.col("segment").alias("to"), F.col("to").alias("next")), "to").select("segment", F.col("next").alias("to")).distinct())
+        hops *= 2
 
 
 def extend(base: DataFrame, tail: DataFrame, chunk_tokens: int) -> DataFrame:

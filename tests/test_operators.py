@@ -125,6 +125,15 @@ def test_chain_walk_ends_at_a_missing_parent(spark):
     assert rows(structures.walk_chains(segments, tail), "steps") == [("r", "r/2", 0), ("r", "r/1", 1), ("r", "r/0", 2)]
 
 
+def test_chain_walk_has_no_depth_limit_and_ends_cycles(spark):
+    links = [(f"s{i}", f"s{i - 1}" if i else None) for i in range(150)] + [("a", "b"), ("b", "c"), ("c", "d"), ("d", "b")]
+    segments = spark.createDataFrame(links, "segment string, parent string")
+    tails = spark.createDataFrame([("long", "s149"), ("ring", "a"), ("two", "s1"), ("two", "s0"), ("none", "x")], "root string, segment string")
+    found = rows(structures.walk_chains(segments, tails), "root", "steps", "segment")
+    want = [("long", f"s{149 - k}", k) for k in range(150)] + [("ring", x, k) for k, x in enumerate("abcd")]
+    assert found == [*want, ("two", "s0", 0), ("two", "s1", 0), ("two", "s0", 1)]
+
+
 @pytest.mark.parametrize("degree", [1, 2, 4])
 def test_shards_partition_positions(spark, degree):
     ranks = spark.range(degree).select(pages.owned_positions(F.lit(10), degree, F.col("id")).alias("p"))
