@@ -1,9 +1,8 @@
-"""Operator 2: benchmark decontamination by size-partitioned MinHash containment search. DataFrame functions only.
+"""Operator 2: benchmark decontamination by MinHash containment search. DataFrame functions only.
 
-Items are partitioned by size (powers of two of their number of distinct five-word shingles). An item's
-MinHash sketch is its bottom-k hashes, k such that a document which contains the threshold
-share of the shingles must contain one of the k: per partition as many as its largest item
-needs, less what a smaller item can spare. A long document needs no sketch of its own: all its shingles, window by
+An item's MinHash sketch is its bottom-k hashes, k such that a document which contains the threshold
+share of the item's distinct five-word shingles must contain one of the k. Its own size sets k for each item; the lookup is
+by hash alone and isn't partitioned by size. A long document needs no sketch of its own: all its shingles, window by
 window, look the sketches up. Candidates are verified by exact containment of shingles as text.
 """
 
