@@ -22,30 +22,85 @@ def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     return docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """A new path in the folder that the cluster shares; a local one is set only where none is."""
+#: Paths of the intermediate tables that this process wrote; ``discard`` deletes them.
+MADE: list[str] = []
+
+
+def shared_base(spark: SparkSession) -> str:
+    """The folder that the cluster shares. A local one is made only where none is named and the driver runs the tasks itself."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        known = spark.sparkContext._jsc.sc().getCheckpointDir()
-        base = known.get() if known.isDefined() else tempfile.mkdtemp(prefix="quorumlake-")
-    return f"{base.rstrip('/')}/q-{uuid.uuid4().hex}"
+    if base:
+        return base.rstrip("/")
+    known = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if known.isDefined():
+        return known.get().rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="quorumlake-"))
+    return spark.sparkContext._jsc.sc().getCheckpointDir().get().rstrip("/")
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """A new path in the shared folder."""
+    MADE.append(path := f"{shared_base(spark)}/q-{uuid.uuid4().hex}")
+    return path
+
+
+def discard(spark: SparkSession, keep: int = 0) -> None:
+    """Deletes the intermediate tables but for the first ``keep``; what still reads them must have been stored before."""
+    jvm = spark.sparkContext._jvm
+    while len(MADE) > keep:
+        path = jvm.org.apache.hadoop.fs.Path(MADE.pop())
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def cut(df: DataFrame) -> DataFrame:
     """The same rows from files in the shared folder, with the lineage cut: survives the loss of any executor."""
     spark = df.sparkSession
-    context = spark.sparkContext
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(os.path.dirname(shared_folder(spark)))
+    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+        spark.sparkContext.setCheckpointDir(shared_base(spark))
     return df.checkpoint(eager=True)
 
 
-def numbered(docs: DataFrame) -> tuple[DataFrame, str]:
-    """The table with a row number that its stored files determine, and that column's name, which is free."""
-    name = "row__"
-    while name in docs.columns:
+def stored(df: DataFrame) -> DataFrame:
+    """The same rows from Parquet files in the shared folder: columns that a reader doesn't need aren't read."""
+    df.write.parquet(path := shared_folder(df.sparkSession))
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def free(columns: list[str], name: str) -> str:
+    """``name``, with closing underscores until no column has it (names differ by more than case)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
         name += "_"
-    return docs.withColumn(name, F.monotonically_increasing_id()), name
+    return name
+
+
+def numbered(docs: DataFrame) -> tuple[DataFrame, str]:
+    """The table with a row number, and that column's name, which is free.
+
+    It is written once, so each reader sees the same numbers, however the tasks of a later scan are cut.
+    """
+    name = free(docs.columns, "row__")
+    return stored(docs.withColumn(name, F.monotonically_increasing_id())), name
+
+
+def join_hot(left: DataFrame, right: DataFrame, keys: list[str], spread: list[str]) -> DataFrame:
+    """Inner join with a ``right`` (cut or stored) of one row for each key, whose column ``n`` counts the key's rows in ``left``.
+
+    A key with more than a quarter of a task's even share is dealt over several tasks by the columns ``spread``,
+    and its right row goes to each of them. There are at most four such keys for each task: that bounds the broadcast.
+    """
+    tasks = shuffle_width(right.sparkSession)
+    total = right.agg(F.sum("n")).first()[0] or 0
+    share = max(64, total // (4 * tasks))
+    parts, part = free([*left.columns, *right.columns], "parts__"), free([*left.columns, *right.columns], "part__")
+    hot = right.where(F.col("n") > share).select(*keys, F.least(F.ceil(F.col("n") / share), F.lit(4 * tasks)).cast("int").alias(parts))
+    if hot.isEmpty():
+        return left.join(right.drop("n"), keys)
+    dealt = left.join(F.broadcast(hot), keys, "left").withColumn(part, F.coalesce(F.pmod(F.xxhash64(*spread), F.col(parts)), F.lit(0)).cast("int")).drop(parts)
+    copies = right.join(F.broadcast(hot), keys, "left").withColumn(part, F.explode(F.sequence(F.lit(0), F.coalesce(F.col(parts), F.lit(1)) - 1))).drop(parts, "n")
+    return dealt.join(copies, [*keys, part]).drop(part)
 
 
 def shuffle_width(spark: SparkSession) -> int:

@@ -67,4 +67,4 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality, op2_decontamination, op3_token_counts, op4_line_dedup, op5_secret_scan, op6_suffix_dedup, op7_simhash, op8_byte_bpe, op9_toxicity, op10_exact_dedup)}
-SQL: dict[str, str] = {"op2_decontamination": decontaminate.LEAKS_SQL}
+SQL: dict[str, str] = {"op2_decontamination": decontaminate.LEAKS_SQL, "op10_exact_dedup": exact.OWNERS_SQL}

@@ -242,30 +242,34 @@ def test_fingerprints_and_components_equal_brute_force(spark):
     assert found == {i: (f"{fps[i]:016x}", component[i]) for i in range(len(fps))}
 
 
-def test_crowded_lists_connect_all_links(monkeypatch):
+def test_crowded_lists_connect_all_links(spark, monkeypatch):
     import numpy as np
 
     rnd = random.Random(7)
     monkeypatch.setattr(simhash, "CROWDED", 30)
-    for free in (64, 32, 12):
-        seeds = [rnd.getrandbits(64) for _ in range(4)]
-        fps = np.array(sorted({rnd.choice(seeds) ^ sum(1 << rnd.randrange(free) for _ in range(rnd.randrange(6))) & ((1 << free) - 1) for _ in range(200)}), np.uint64)
 
-        def classes(pairs, n=len(fps)):
-            up = list(range(n))
+    def classes(pairs, n):
+        up = list(range(n))
 
-            def find(x):
-                while up[x] != x:
-                    x = up[x]
-                return x
+        def find(x):
+            while up[x] != x:
+                x = up[x]
+            return x
 
-            for a, b in pairs:
-                up[find(int(a))] = find(int(b))
-            roots = [find(x) for x in range(n)]
-            return [roots.index(x) for x in roots]
+        for a, b in pairs:
+            up[find(int(a))] = find(int(b))
+        roots = [find(x) for x in range(n)]
+        return [roots.index(x) for x in roots]
 
-        links = [(i, j) for i in range(len(fps)) for j in range(i) if (int(fps[i]) ^ int(fps[j])).bit_count() <= 3]
-        assert classes(simhash.spanning(fps)) == classes(links)
+    for free in (64, 32, 12):
+        seeds = [rnd.getrandbits(64) for _ in range(4)]
+        fps = sorted({rnd.choice(seeds) ^ sum(1 << rnd.randrange(free) for _ in range(rnd.randrange(6))) & ((1 << free) - 1) for _ in range(200)})
+        links = [(i, j) for i in range(len(fps)) for j in range(i) if (fps[i] ^ fps[j]).bit_count() <= 3]
+        if free == 12:  # over CROWDED with five bytes fixed: neighbours are looked up
+            one = [x for x in fps if x >> 12 == fps[0] >> 12]
+            assert classes(simhash.spanning(np.array(one, np.uint64)), len(one)) == classes([(i, j) for i, j in links if i < len(one) and j < len(one)], len(one))
+        rows = spark.createDataFrame([(x - (1 << 64) if x >> 63 else x, i) for i, x in enumerate(fps)], "fp long, rep long")
+        assert classes([(r.a, r.b) for r in simhash.links(rows).collect()], len(fps)) == classes(links, len(fps))
 
 
 def test_covering_sets():
@@ -275,8 +279,10 @@ def test_covering_sets():
     assert all(any(s <= set(x) for s in sets) for x in combinations(range(8), 5))
 
 
-def test_exact_owners(spark):
-    texts = ["Same", "sAME", "other", None, "", "Éa", "éa", (9, "same"), (9, "same"), (4, "z")]
+@pytest.mark.parametrize("trie_bytes", [64 << 20, 4000])
+def test_exact_owners(spark, monkeypatch, trie_bytes):
+    monkeypatch.setattr(exact, "TRIE_BYTES", trie_bytes)
+    texts = ["Same", "sAME", "other", None, "", "Éa", "éa", (9, "same"), (9, "same"), (4, "z"), "x" * 120_000, "X" * 120_000, "x" * 120_001, "x" * 5000 + "y"]
     docs = table(spark, texts)
     found = exact.owners(docs).collect()
     fold = lambda t: "".join(c.lower() if "A" <= c <= "Z" else c for c in t or "")
@@ -288,12 +294,16 @@ def test_exact_owners(spark):
 
 def test_trie_spills_by_subtree():
     rnd = random.Random(8)
+    long = "".join(rnd.choice("ab") for _ in range(3000)).encode()
     keys = [bytes(rnd.choice(b"ab") for _ in range(rnd.randrange(0, 40))) for _ in range(600)]
-    trie = exact.SpillingTrie(4000, lambda a, b: a + b)
-    for key in keys:
-        trie.insert(key, 1)
-    found = list(trie.items())
-    assert dict(found) == {k: keys.count(k) for k in keys} and len(found) == len(set(keys))
+    keys += [long[: rnd.randrange(3000)] + rnd.choice([b"", b"x", b"yz"]) for _ in range(60)] + [long * 3] * 3 + [b"q" * 9000]
+    for limit in (4000, 400, None):
+        trie = exact.Trie(lambda a, b: a + b, limit)
+        for key in keys:
+            trie.insert(key, 1)
+        assert (limit is None) == (not trie.files)
+        found = list(trie.items())
+        assert dict(found) == {k: keys.count(k) for k in keys} and len(found) == len(set(keys))
 
 
 def test_leaks_equal_the_sets(spark):
