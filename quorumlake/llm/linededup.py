@@ -2,10 +2,11 @@
 
 Lines that occur once end every repeated run, so only the others get an ID and a place in the array. Each round
 ranks all suffixes by twice as many lines: a range-partitioned sort of the distinct pairs of
-ranks names the pairs in order. Two ranks of the last power of two below m, one at the start and one that ends with
-line m, name the interval of suffixes whose common prefix has m lines at least. A run counts from
-``min_words`` words on; of an interval of such runs all but the earliest copy are deleted, and
-overlapping deletions make up the maximal runs. Rounds stop when ranks reach the longest run needed.
+ranks names the pairs in order. A suffix's ranks by 1, 2, 4, ... lines are its key: sorting by them gives the suffix array,
+and the levels at which neighbours agree tell their common prefix. A run counts from ``min_words`` words on, so each
+suffix needs a number of lines, and neighbours whose common prefix has as many lie in one interval. Of an interval all but
+the earliest copy are deleted, and overlapping deletions make up the maximal runs. Rounds stop when
+ranks reach the longest run needed: deeper ranks can't change a deletion.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, numbered, pieces, shuffle_width
+from .common import cut, free, join_hot, numbered, pieces, shuffle_width
 
 
 def lines(rows: DataFrame) -> DataFrame:
@@ -53,15 +54,15 @@ def needed(idx, words, min_words: int):
 
 
 def repeated_runs(docs: DataFrame, min_words: int = 10, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame, str]:
-    """The numbered table; (row, runs array of (idx, lines, whether the first copy is in another row, that row)) of the later copies; the row number's name."""
+    """The numbered table; (row, runs array of (idx, m lines)) of the later copies; the row number's name."""
     spark = docs.sparkSession
     width = shuffle_width(spark)
     table, name = numbered(docs)
     source = table.select(F.col(name).alias("row"), F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
     found = lines(source)
-    repeated = cut(found.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1").select("h1", "h2")).withColumn("id", F.monotonically_increasing_id())
+    repeated = cut(found.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1")).withColumn("id", F.monotonically_increasing_id())
     sequence = F.array_sort(F.collect_list(F.struct("idx", "id", "words")))
-    state = found.join(repeated, ["h1", "h2"]).groupBy("row").agg(F.first("doc_id").alias("doc_id"), sequence.alias("s")).select("row", "doc_id", F.col("s.idx").alias("idx"), F.col("s.words").alias("words"), F.col("s.id").alias("l0"))
+    state = join_hot(found, repeated, ["h1", "h2"], ["row", "idx"]).groupBy("row").agg(F.first("doc_id").alias("doc_id"), sequence.alias("s")).select("row", "doc_id", F.col("s.idx").alias("idx"), F.col("s.words").alias("words"), F.col("s.id").alias("l0"))
 
     def longest(batches: Iterator) -> Iterator:
         import numpy as np
@@ -90,13 +91,14 @@ def repeated_runs(docs: DataFrame, min_words: int = 10, id_col: str = "doc_id",
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(idx), row)), pa.array(np.arange(len(idx), dtype=np.int32)), pa.array(rank), pa.array(after)], names=["row", "p", "r", "after"])
 
         pair = state.where(F.col("need") >= 2 * span).select("row", "idx", f"l{level}").mapInArrow(pairs, "row long, p int, r long, after long")
-        distinct = pair.groupBy("r", "after").agg(F.count("*").alias("n")).select("r", "after")
+        distinct = pair.groupBy("r", "after").agg(F.count("*").alias("n"))
         named = cut(distinct.repartitionByRange(width, "r", "after").sortWithinPartitions("r", "after").withColumn("rank", F.monotonically_increasing_id()))
         level += 1
-        ranked = pair.join(named, ["r", "after"]).groupBy("row").agg(F.array_sort(F.collect_list(F.struct("p", "rank"))).alias("x")).select("row", F.col("x.rank").alias(f"l{level}"))
+        ranked = join_hot(pair, named, ["r", "after"], ["row", "p"]).groupBy("row").agg(F.array_sort(F.collect_list(F.struct("p", "rank"))).alias("x")).select("row", F.col("x.rank").alias(f"l{level}"))
         state = cut(state.join(ranked, "row", "left"))
 
     def starts(batches: Iterator) -> Iterator:
+        """Of each suffix that a run may begin at its ranks by 1, 2, 4, ... lines within the lines it needs, and the rank that ends with them."""
         import numpy as np
         import pyarrow as pa
 
@@ -106,38 +108,83 @@ def repeated_runs(docs: DataFrame, min_words: int = 10, id_col: str = "doc_id",
                 need, _ = needed(idx, np.array(row["words"]), min_words)
                 at = np.flatnonzero(need)
                 m = need[at]
-                power = np.floor(np.log2(m)).astype(int)
-                a, b = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
-                for t in np.unique(power):
-                    rank, which = np.array(row[f"l{t}"], np.int64), power == t
-                    a[which], b[which] = rank[at[which]], rank[at[which] + m[which] - (1 << t)]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), row["row"])), pa.array([row["doc_id"]] * len(at), pa.int64()), pa.array(idx[at].astype(np.int32)), pa.array(m.astype(np.int32)), pa.array(a), pa.array(b)], names=["row", "doc_id", "idx", "m", "a", "b"])
+                power = np.frexp(m)[1] - 1  # of the last power of two up to m
+                sizes = power + 2
+                begin = np.concatenate(([0], np.cumsum(sizes)))
+                key = np.zeros(begin[-1], np.int64)
+                for t in range(int(power.max(initial=-1)) + 1):
+                    rank, which = np.array(row[f"l{t}"], np.int64), power >= t
+                    key[begin[:-1][which] + t] = rank[at[which]]
+                    last = power == t
+                    key[begin[1:][last] - 1] = rank[at[last] + m[last] - (1 << t)]
+                yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(begin, pa.int32()), pa.array(key)), pa.array(np.full(len(at), row["row"])), pa.array([row["doc_id"]] * len(at), pa.int64()), pa.array(idx[at].astype(np.int32)), pa.array(m.astype(np.int32))], names=["key", "row", "doc_id", "idx", "m"])
+
+    place = ["key", "m", "doc_id", "row", "idx"]
+    run = cut(state.mapInArrow(starts, "key array<long>, row long, doc_id long, idx int, m int"))
+    array = cut(run.repartitionByRange(width, *place).sortWithinPartitions(*place))
+
+    def final(batches: Iterator) -> Iterator:
+        """The last suffix of each part of the array."""
+        import pyarrow as pa
+        from pyspark import TaskContext
 
-    run = cut(state.mapInArrow(starts, "row long, doc_id long, idx int, m int, a long, b long"))
-    first = run.groupBy("m", "a", "b").agg(F.min(F.struct("doc_id", "row", "idx")).alias("first"), F.count("*").alias("n")).where("n > 1").select("m", "a", "b", "first")
-    later = run.join(first, ["m", "a", "b"]).where("row <> first.row or idx <> first.idx")
-    other = (F.col("row") != F.col("first.row")).alias("other")
-    return table, later.groupBy("row").agg(F.collect_list(F.struct("idx", "m", other, F.col("first.row").alias("source"))).alias("runs")), name
+        last = None
+        for batch in batches:
+            if batch.num_rows:
+                last = batch.slice(batch.num_rows - 1)
+        if last is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), last.column(0), last.column(4)], names=["part", "key", "m"])
 
+    # one row for each part, whose number is the shuffle's
+    before = {r.part: (list(r.key), r.m) for r in array.mapInArrow(final, "part int, key array<long>, m int").collect()}
+
+    def intervals(batches: Iterator) -> Iterator:
+        """The suffixes whose common prefix with the one before them has the lines that they need: later copies."""
+        import numpy as np
+        import pyarrow as pa
+        from pyspark import TaskContext
+
+        part = TaskContext.get().partitionId()
+        key, m = before[max(x for x in before if x < part)] if any(x < part for x in before) else ([], 0)
+        for batch in pieces(batches, 4 << 20):
+            n = batch.num_rows
+            if not n:
+                continue
+            column, need = batch.column(0), batch.column(4).to_numpy()
+            ends = np.cumsum(np.concatenate(([len(key)], column.value_lengths().to_numpy())))
+            flat = np.concatenate((np.array(key, np.int64), column.flatten().to_numpy()))
+            need_before = np.concatenate(([m], need[:-1]))
+            size = np.diff(ends)
+            size_before = np.concatenate(([len(key)], size[:-1]))
+            same = (need == need_before) & (size == size_before)  # a shorter key is a prefix that needs fewer lines
+            at = np.flatnonzero(same)
+            for t in range(int(size.max())):  # level by level, down to the rank that ends with the last line needed
+                open_ = at[size[at] > t]
+                differ = open_[flat[ends[open_] + t] != flat[ends[open_] - size_before[open_] + t]]
+                same[differ] = False
+                at = at[same[at]]
+            key, m = flat[ends[-2] :].tolist(), int(need[-1])
+            yield pa.RecordBatch.from_arrays([batch.column(i).filter(pa.array(same)) for i in (1, 3, 4)], names=["row", "idx", "m"])
+
+    later = array.select("key", "row", "doc_id", "idx", "m").mapInArrow(intervals, "row long, idx int, m int")
+    return table, later.groupBy("row").agg(F.collect_list(F.struct("idx", "m")).alias("runs")), name
 
-def dedup_lines(docs: DataFrame, min_words: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """All columns of the table, the text without later copies of repeated runs, and ``dedup__`` (n_lines, n_deleted, n_runs, share, row, blank, source, sources).
 
-    ``share`` is what stays, over that and what went as a copy from another row: repeats within a text don't count.
-    ``row`` is the row's number, ``sources`` are those of the other rows with first copies, ``source`` is the one of them
-    that most text was copied from, the first of equals; ``blank`` says that deletions left no word.
+def dedup_lines(docs: DataFrame, min_words: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """All columns of the table, the text without later copies of repeated runs, and last ``dedup__`` (n_lines, n_deleted, n_runs).
 
     Lines end at line feeds. Of equal runs the one in the smallest id stays, of these the first row's, of these the
     first in the text; a null id counts as smallest. A null text has no lines and stays null; an
-    empty text is one empty line; repeated rows are copies of each other; an empty table gives an empty one. The
-    table is read several times and must give the same rows in the same partitions each time.
+    empty text is one empty line; repeated rows are copies of each other; an empty table gives an empty one. If a column
+    has the name ``dedup__``, the added one gets another underscore.
     """
     table, runs, name = repeated_runs(docs, min_words, id_col, text_col)
-
-    runs = runs.select(F.col("row").alias("run_row__"), F.col("runs").alias("runs__"))
-    joined = table.join(runs.hint("shuffle_hash"), F.col(name) == F.col("run_row__"), "left")
+    run_row, run_list = free(table.columns, "run_row__"), free(table.columns, "runs__")
+    runs = runs.select(F.col("row").alias(run_row), F.col("runs").alias(run_list))
+    joined = table.join(runs.hint("shuffle_hash"), F.col(name) == F.col(run_row), "left")
     place = docs.columns.index(text_col)
     width = len(docs.columns)
+    added = free(docs.columns, "dedup__")
 
     def apply(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -147,68 +194,29 @@ def dedup_lines(docs: DataFrame, min_words: int = 10, id_col: str = "doc_id", te
             for text, found in zip(batch.column(place), batch.column(width), strict=True):
                 text, found = text.as_py(), found.as_py()
                 if text is None:
-                    out.append((None, 0, 0, 0, 1.0, False, None, []))
+                    out.append((None, 0, 0, 0))
                     continue
                 parts = text.split("\n")
                 if not found:
-                    out.append((text, len(parts), 0, 0, 1.0, False, None, []))
+                    out.append((text, len(parts), 0, 0))
                     continue
                 drop = {i for x in found for i in range(x["idx"], x["idx"] + x["m"])}
-                copied = {}
-                for x in found:
-                    if x["other"]:
-                        copied.setdefault(x["source"], set()).update(range(x["idx"], x["idx"] + x["m"]))
-                foreign = set().union(*copied.values())
-                source = min(copied, key=lambda r: (-sum(len(parts[i]) + 1 for i in copied[r]), r), default=None)
                 left = "\n".join([x for i, x in enumerate(parts) if i not in drop])
-                share = len(left) / max(1, len(left) + sum(len(parts[i]) + 1 for i in foreign))
-                out.append((left, len(parts), len(drop), sum(i - 1 not in drop for i in drop), share, not left.strip(), source, sorted(copied)))
+                out.append((left, len(parts), len(drop), sum(i - 1 not in drop for i in drop)))
             columns = batch.columns[:width]
             columns[place] = pa.array([x[0] for x in out], columns[place].type)
-            kinds = (pa.int32(), pa.int32(), pa.int32(), pa.float64(), pa.bool_(), pa.int64(), pa.list_(pa.int64()))
-            numbers = [pa.array([x[k] for x in out], kind) for k, kind in enumerate(kinds, 1)]
-            numbers.insert(4, batch.column(width + 1))
-            counts = pa.StructArray.from_arrays(numbers, names=["n_lines", "n_deleted", "n_runs", "share", "row", "blank", "source", "sources"])
-            yield pa.RecordBatch.from_arrays([*columns, counts], names=[*docs_columns, "dedup__"])
+            counts = pa.StructArray.from_arrays([pa.array([x[k] for x in out], pa.int32()) for k in (1, 2, 3)], names=["n_lines", "n_deleted", "n_runs"])
+            yield pa.RecordBatch.from_arrays([*columns, counts], names=[*docs_columns, added])
 
     docs_columns = docs.columns
-    counts = T.StructType.fromDDL("n_lines int, n_deleted int, n_runs int, share double, row long, blank boolean, source long, sources array<long>")
-    schema = T.StructType([*(T.StructField(f.name, f.dataType) for f in docs.schema), T.StructField("dedup__", counts)])
-    return joined.select(*(F.col(f"`{c}`") for c in docs.columns), "runs__", F.col(name)).mapInArrow(apply, schema)
-
+    counts = T.StructType.fromDDL("n_lines int, n_deleted int, n_runs int")
+    schema = T.StructType([*(T.StructField(f.name, f.dataType) for f in docs.schema), T.StructField(added, counts)])
+    return joined.select(*(F.col(f"`{c}`") for c in docs.columns), F.col(run_list)).mapInArrow(apply, schema)
 
-def shingles(text: str, n: int = 5) -> set[tuple]:
-    words = text.split()
-    return {tuple(words[i : i + n]) for i in range(max(1, len(words) - n + 1))}
 
-
-def drop_copies(docs: DataFrame, least_share: float, near: float = 0.8, min_words: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``dedup_lines`` without those that deletions left no word of, and without verified near copies.
-
-    A near copy keeps a share below ``least_share``, and its whole text has a Jaccard of ``near`` at least, over
-    shingles of five words, with the whole text of its source, a row that stays. A row that holds the first copy of what
-    other rows lost is never dropped as a near copy. So each word of the table stays, but for a near copy's own.
-    """
-    done = cut(dedup_lines(docs, min_words, id_col, text_col))
-    empty = (F.col("dedup__.n_deleted") > 0) & F.col("dedup__.blank")
-    judged = done.select("dedup__.*", empty.alias("empty"))
-    holders = judged.select(F.explode("sources").alias("row")).distinct()
-    suspects = judged.where(~F.col("empty") & (F.col("n_deleted") > 0) & (F.col("share") < least_share)).select("row", "source").join(holders, "row", "left_anti")
-    pairs = cut(suspects.join(judged.where(~F.col("empty")).select(F.col("row").alias("source")), "source"))
-    table, name = numbered(docs)
-    whole = table.select(F.col(name).alias("row"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
-    both = pairs.join(whole, "row").join(whole.select(F.col("row").alias("source"), F.col("text").alias("first")), "source").select("row", "text", "first")
-
-    def compare(batches: Iterator) -> Iterator:
-        import pyarrow as pa
-
-        for batch in pieces(batches, 4 << 20):
-            out = []
-            for row, text, first in zip(batch.column(0), batch.column(1), batch.column(2), strict=True):
-                a, b = shingles(text.as_py()), shingles(first.as_py())
-                if len(a & b) >= near * len(a | b):
-                    out.append(row.as_py())
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.int64())], names=["copy__"])
-
-    copies = both.mapInArrow(compare, "copy__ long")
-    return done.where(~empty).join(copies.hint("shuffle_hash"), F.col("dedup__.row") == F.col("copy__"), "left_anti")
+def drop_copies(docs: DataFrame, min_words: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``dedup_lines`` without the added column and without those of which deletions left no word; all text that is left stays."""
+    done = dedup_lines(docs, min_words, id_col, text_col)
+    added = done.columns[-1]
+    left = (F.col(f"{added}.n_deleted") == 0) | F.coalesce(F.col(f"`{text_col}`"), F.lit("")).rlike(r"\S")
+    return done.where(left).drop(added)

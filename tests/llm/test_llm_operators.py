@@ -10,12 +10,12 @@ from pyspark.sql import functions as F
 from quorumlake.llm import bpe, decontaminate, exact, linededup, quality, secrets, simhash, suffix, toxicity, wordpiece
 from quorumlake.llm.queries import vocabulary
 
-SCHEMA = "doc_id long, text string, lang string, source string, row long, fp long, h long, row__ long"
+SCHEMA = "doc_id long, text string, lang string, source string, row long, fp long, h long, row__ long, runs__ long, run_row__ long, stays__ long"
 
 
 def table(spark, texts, start=0):
     """(doc_id, text) rows with extra columns whose names operators use inside."""
-    rows = [(*(x if isinstance(x, tuple) else (start + i, x)), "en", "s", 1, 2, 3, 4) for i, x in enumerate(texts)]
+    rows = [(*(x if isinstance(x, tuple) else (start + i, x)), "en", "s", 1, 2, 3, 4, 5, 6, 7) for i, x in enumerate(texts)]
     return spark.createDataFrame(rows, SCHEMA).coalesce(1)
 
 
@@ -355,7 +355,7 @@ def test_quality_shrinks_sparse_sites(spark):
     rnd = random.Random(12)
     good = lambda: " ".join(rnd.choice(["the", "river", "runs", "down", "to", "a", "quiet", "sea"]) for _ in range(50)) + "."
     bad = lambda: " ".join(rnd.choice(["BUY!!", "NOW$$", "###", "FREE!!"]) for _ in range(50))
-    rows = [(i, bad() if i % 4 == 0 else good(), "en", "big" if i < 380 else f"s{i}", 1, 2, 3, 4) for i in range(400)]
+    rows = [(i, bad() if i % 4 == 0 else good(), "en", "big" if i < 380 else f"s{i}", 1, 2, 3, 4, 5, 6, 7) for i in range(400)]
     docs = spark.createDataFrame(rows, SCHEMA)
     found = quality.classify(docs, quality.fit(docs, labels(spark, [(i, int(i % 4 != 0), 0) for i in range(0, 400, 2)]))).collect()
     assert sum(r.kept == (r.doc_id % 4 != 0) for r in found) >= 396
