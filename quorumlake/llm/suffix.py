@@ -2,12 +2,13 @@
 
 A suffix array over all bytes would move every text many times. So each task first picks, in every window of
 ``length`` bytes, the k-byte string of least hash: equal windows pick the same one, wherever they
-stand. The windows in a row that pick one place make a context of up to 2 * length - k bytes. Contexts
-meet by the picked string's hash; equal contexts are one from there on, and only where different
-contexts meet their bytes are fetched. These go into suffix arrays: the suffixes smaller than
-their successors are sorted directly, scanning the buckets induces the rest, and adjacent common
-prefixes of ``length`` bytes tell which windows are equal. A crowd of contexts too large for one
-array meets again by the hash of each whole window, in a table.
+stand. The windows in a row that pick one place make a context of up to 2 * length - k bytes. Hashes only bring
+together what may be equal: contexts that look alike are linked to the first of them, within each task before anything is
+shuffled, and the links in a row make extents of two texts; contexts that share the picked string but look different meet
+under it. The bytes of both kinds go into suffix arrays: the suffixes smaller than their successors are sorted directly,
+scanning the buckets induces the rest, and adjacent common prefixes of ``length`` bytes tell which
+windows are equal. What meets in more bytes than one array takes is sorted in parts; of what each part leaves,
+equal windows meet again in further arrays, until one array holds them.
 """
 
 from __future__ import annotations
@@ -17,15 +18,21 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces, shared_folder, shuffle_width
+from .common import numbered, pieces, shuffle_width, stored
 
 K = 32
-#: Bytes of contexts that one suffix array takes; what meets beyond is compared by whole windows.
-ARRAY_BYTES = 2 << 20
-#: Bytes of texts that are hashed together.
-TOGETHER = 1 << 20
+#: Bytes that one suffix array takes: places and ranks must fit 21 bits.
+ARRAY_BYTES = 1 << 20
+#: Bytes of texts that are hashed together, and of the texts of one such part: places must fit 24 bits.
+TOGETHER, PART_BYTES = 1 << 20, 8 << 20
+#: Contexts of a task that are merged at once.
+MERGED = 1_000_000
+#: Bytes of copies, and of their source, that are compared in one block.
+BLOCK_BYTES = 256 << 10
 #: Odd multipliers of the two polynomial hashes, modulo 2 ** 64.
 BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
+#: Stands for a null id: smaller than all others.
+NO_ID = -(1 << 63)
 
 
 class Hashes:
@@ -86,63 +93,113 @@ def contexts(data, stops, length: int, k: int, hashes):
     return grams[place[first]], whole, low, high - low
 
 
-def suffix_array(text: bytes):
-    """Suffix array by two-stage sorting. Byte 0 ends a piece, is smaller than all others, and of two the first is smaller.
+def _named(keys, bits: int):
+    """Dense ranks of uint64 keys of 64 - ``bits`` bits; ``bits`` hold a place."""
+    import numpy as np
+
+    order = np.sort(keys << np.uint64(bits) | np.arange(len(keys), dtype=np.uint64))
+    key = order >> np.uint64(bits)
+    rank = np.empty(len(keys), np.uint64)
+    rank[(order & np.uint64((1 << bits) - 1)).astype(np.int64)] = np.cumsum(np.concatenate(([False], key[1:] != key[:-1]))).astype(np.uint64)
+    return rank
 
-    A suffix of kind B is smaller than its successor; those are sorted directly. Within the bucket of a first
-    byte those of kind A come before. Scanning the array from the left, a suffix whose
-    predecessor in the text is of kind A puts that at the front of its bucket's free places.
+
+def names(data, depth: int):
+    """For a text of less than 2 ** 21 bytes: ranks of the 20 bytes from each place on, with ``depth`` zeros behind the end."""
+    import numpy as np
+
+    n = len(data)
+    padded = np.concatenate((data, np.zeros(5, np.uint8))).astype(np.uint64)
+    keys = np.zeros(n, np.uint64)
+    for i in range(5):
+        keys = keys << np.uint64(8) | padded[i : i + n]
+    rank = _named(keys, 21)
+    for span in (5, 10):
+        after = np.zeros(n, np.uint64)
+        after[: max(0, n - span)] = rank[span:] + np.uint64(1)
+        rank = _named(rank << np.uint64(21) | after, 21)
+    return np.concatenate((rank, np.zeros(depth, np.uint64)))
+
+
+def suffix_array(data, depth: int, name):
+    """Places in the order of their next ``depth`` bytes, by two-stage sorting.
+
+    A suffix of kind B is smaller than its successor; those are sorted directly, by the names of 20 bytes at a time. Within
+    the bucket of a first byte those of kind A come before. Scanning the array from the left, a suffix
+    whose predecessor in the text is of kind A puts that at the front of its bucket's free places.
     """
     import numpy as np
 
-    data = np.frombuffer(text, np.uint8)
     n = len(data)
-    differ = np.flatnonzero(np.append(data[1:] != data[:-1], True) | (data == 0))  # the next place that decides
-    at = differ[np.searchsorted(differ, np.arange(n))]
-    smaller = data[at] < data[np.minimum(at + 1, n - 1)]
-    smaller |= data == 0
-    ends = np.flatnonzero(data == 0)
-    end = ends[np.searchsorted(ends, np.arange(n))]
-    direct = np.flatnonzero(smaller)
-    order = sorted(range(len(direct)), key=[text[a:b] for a, b in zip(direct.tolist(), (end[direct] + 1).tolist(), strict=True)].__getitem__)
-    direct = direct[np.array(order, np.int64)]
-    sizes, kind_a = np.bincount(data, minlength=256), np.bincount(data[~smaller], minlength=256)
-    begin = np.cumsum(sizes) - sizes
-    out = np.full(n, -1, np.int64)
-    kind_b = sizes - kind_a
-    rank = np.arange(len(direct)) - np.repeat(np.cumsum(kind_b) - kind_b, kind_b)
-    out[np.repeat(begin + kind_a, kind_b) + rank] = direct
-    out, free, is_b = out.tolist(), begin.tolist(), smaller.tolist()
-    for i in range(n):
-        j = out[i] - 1
-        if j >= 0 and not is_b[j]:
-            c = text[j]
-            out[free[c]] = j
-            free[c] += 1
-    return np.array(out, np.int64), end
+    runs = np.flatnonzero(np.append(data[1:] != data[:-1], True))  # ends of runs of one byte
+    which = np.searchsorted(runs, np.arange(n))
+    end = runs[which]
+    begin = np.concatenate(([0], runs[:-1] + 1))[which]
+    smaller = (data[end] < data[np.minimum(end + 1, n - 1)]) | (data == 0)  # byte 0 ends a piece
+
+    place = np.uint64((1 << 21) - 1)
+    direct = np.flatnonzero(smaller).astype(np.uint64)
+    order = np.sort(name[direct.astype(np.int64)] << np.uint64(21) | direct)
+    key, direct = order >> np.uint64(21), (order & place).astype(np.int64)
+    for at in range(20, depth, 20):
+        first = np.concatenate(([True], key[1:] != key[:-1]))
+        tied = np.flatnonzero(~(first & np.append(first[1:], True)))
+        if not len(tied):
+            break
+        group = (np.cumsum(first) - 1)[tied].astype(np.uint64)
+        part = np.sort(group << np.uint64(42) | name[direct[tied] + at] << np.uint64(21) | direct[tied].astype(np.uint64))
+        direct[tied] = (part & place).astype(np.int64)
+        key = np.arange(n, n + len(direct), dtype=np.uint64) << np.uint64(1)  # others stay apart
+        head = np.concatenate(([True], part[1:] >> np.uint64(21) != part[:-1] >> np.uint64(21)))
+        key[tied] = (tied[np.flatnonzero(head)[np.cumsum(head) - 1]].astype(np.uint64) << np.uint64(1)) | np.uint64(1)
+
+    cuts = np.searchsorted(data[direct], np.arange(257))
+    waiting: list[list] = [[] for _ in range(256)]
+    out = []
+    for c in range(256):
+        kind_b = direct[cuts[c] : cuts[c + 1]]
+        kind_a = np.concatenate(waiting[c]) if waiting[c] else kind_b[:0]
+        if not len(kind_a) and not len(kind_b):
+            continue
+        left = kind_a - begin[kind_a]  # each is followed by its predecessors in its run, nearest first, those of all in turn
+        if left.any():
+            back = np.arange(left.sum()) - np.repeat(np.cumsum(left) - left, left) + 1
+            before = np.repeat(kind_a, left) - back
+            kind_a = np.concatenate((kind_a, before[np.argsort(back, kind="stable")]))
+        bucket = np.concatenate((kind_a, kind_b))
+        out.append(bucket)
+        before = bucket[bucket > 0] - 1
+        before = before[~smaller[before] & (data[before] > c)]
+        byte = data[before]
+        turn = np.argsort(byte, kind="stable")
+        before, byte = before[turn], byte[turn]
+        heads = np.flatnonzero(np.diff(byte, prepend=np.int64(-1)))
+        for a, b in zip(heads, np.append(heads[1:], len(byte)), strict=False):
+            waiting[byte[a]].append(before[a:b])
+    return np.concatenate(out)
 
 
 def repeated_windows(blobs: list[bytes], length: int):
     """(piece, offset, class) of the windows of ``length`` bytes that occur more than once in the pieces."""
     import numpy as np
 
-    text = (np.frombuffer(b"\xff".join([*blobs, b""]), np.uint8) + np.uint8(1)).tobytes()  # UTF-8 has no byte 255: it becomes the 0 that ends a piece
-    order, end = suffix_array(text)
-    order = order[end[order] - order >= length]  # suffixes that hold a window; others don't stand between equal windows
-    views = np.lib.stride_tricks.sliding_window_view(np.frombuffer(text, np.uint8), length)
+    data = np.frombuffer(b"\xff".join([*blobs, b""]), np.uint8) + np.uint8(1)  # UTF-8 has no byte 255: it becomes the 0 that ends a piece
+    sizes = np.array([len(x) + 1 for x in blobs])
+    stops = np.cumsum(sizes)
+    name = names(data, length)
+    order = suffix_array(data, length, name)
+    piece = np.searchsorted(stops, order, "right")
+    keep = stops[piece] - 1 - order >= length  # suffixes that hold a window; others don't stand between equal windows
+    order, piece = order[keep], piece[keep]
     same = np.zeros(len(order), bool)  # whether the common prefix with the one before reaches the length
     maybe = np.arange(1, len(order))
-    for a in range(0, length, 20):  # most neighbours part early
-        b = min(a + 20, length)
-        hit = np.concatenate([np.zeros(0, bool), *((views[order[part], a:b] == views[order[part - 1], a:b]).all(axis=1) for part in np.array_split(maybe, max(1, len(maybe) // 100_000)))])
-        maybe = maybe[hit]
+    for at in [*range(0, length - 20, 20), length - 20]:
+        maybe = maybe[name[order[maybe] + at] == name[order[maybe - 1] + at]]
     same[maybe] = True
     group = np.cumsum(~same)
     several = same | np.append(same[1:], False)
-    order, group = order[several], group[several]
-    stops = np.cumsum([len(x) + 1 for x in blobs])
-    piece = np.searchsorted(stops, order, "right")
-    return piece, order - (stops - [len(x) + 1 for x in blobs])[piece], group
+    order, piece, group = order[several], piece[several], group[several]
+    return piece, order - (stops - sizes)[piece], group
 
 
 def _spans(row, start, length: int):
@@ -156,180 +213,252 @@ def _spans(row, start, length: int):
     return row[first], start[first], start[last] + length
 
 
+def linked(row, begin, size, source, source_begin):
+    """Extents of links (in order of row, source, begin) that go on in both texts: their row, begin, end, source, source_begin."""
+    import numpy as np
+
+    end = begin + size
+    first = np.flatnonzero(np.concatenate(([True], (row[1:] != row[:-1]) | (source[1:] != source[:-1]) | (begin[1:] - source_begin[1:] != begin[:-1] - source_begin[:-1]) | (begin[1:] > end[:-1])))) if len(row) else np.zeros(0, np.int64)
+    last = np.maximum.reduceat(end, first) if len(first) else end
+    return row[first], begin[first], last, source[first], source_begin[first]
+
+
 def repeated_spans(docs: DataFrame, length: int = 100, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """(row, doc_id, text) of the table; (row, begin, end) of bytes to remove, which may overlap."""
     spark = docs.sparkSession
     width = shuffle_width(spark)
-    table = docs.select(F.monotonically_increasing_id().alias("row"), F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).cast("binary").alias("text"))
+    table, name = numbered(docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).cast("binary").alias("text")))
+    table = table.select(F.col(name).alias("row"), "doc_id", "text")
 
     def pick(batches: Iterator) -> Iterator:
+        """Kind 1: of alike contexts of the task the first (gram, whole, doc, row, at). Kind 0: extents of the others (-, source, source begin, row, begin, size)."""
         import numpy as np
         import pyarrow as pa
 
-        size, hashes = 0, None
+        def merged(parts):
+            gram, whole, doc, row, at = (np.concatenate([x[i] for x in parts]) for i in range(5))
+            order = np.lexsort((at, row, doc, whole, gram))
+            gram, whole, doc, row, at = (x[order] for x in (gram, whole, doc, row, at))
+            first = np.concatenate(([True], (gram[1:] != gram[:-1]) | (whole[1:] != whole[:-1])))
+            rep, rest = np.flatnonzero(first)[np.cumsum(first) - 1][~first], ~first
+            by = np.lexsort((at[rest], row[rep], row[rest]))
+            r, b, e, src, src_b = linked(row[rest][by], (at[rest] >> 8)[by], ((at[rest] & 255) + length)[by], row[rep][by], (at[rep] >> 8)[by])
+            n, m = int(first.sum()), len(r)
+            columns = [np.repeat(np.array([1, 0], np.int32), [n, m]), *(np.concatenate((x[first], y)) for x, y in ((gram, r * 0x9E3779B97F4A7C1 + b), (whole, src), (doc, src_b), (row, r), (at, b), (at * 0, e - b)))]
+            for i in range(0, n + m, 100_000):
+                yield pa.RecordBatch.from_arrays([pa.array(x[i : i + 100_000]) for x in columns], names=["kind", "gram", "whole", "doc_id", "row", "at", "size"])
+
+        size, hashes, held, n_held = 0, None, [], 0
         for batch in pieces(batches, TOGETHER):
-            raw = [x.as_py() for x in batch.column(2)]
-            sizes = np.array([len(x) for x in raw], np.int64)
-            stops = np.cumsum(sizes)
-            if not len(stops) or sizes.max() < length:
-                continue
-            for a, b in parts(sizes):
-                data = np.frombuffer(b"".join(raw[a:b]), np.uint8)
-                if len(data) < length:
-                    continue
-                if len(data) > size:
-                    size = max(len(data), 2 * TOGETHER)
-                    hashes = [Hashes(x, size + 1) for x in BASES]
-                ends = np.cumsum(sizes[a:b])
-                yield from found(batch, a, data, ends, hashes)
-
-    def parts(sizes) -> Iterator[tuple[int, int]]:
-        """Texts together up to 8 MB: places must fit 24 bits; a longer text goes alone, in ``found``."""
-        a, total = 0, 0
-        for i, x in enumerate(sizes.tolist()):
-            if total and total + x > 8 << 20:
-                yield a, i
-                a, total = i, 0
-            total += x
-        yield a, len(sizes)
-
-    def found(batch, a, data, ends, hashes) -> Iterator:
-        import numpy as np
-        import pyarrow as pa
-
-        step = 12 << 20
-        for at in range(0, max(1, len(data) - length + 1), step):  # one step, but for a text beyond 12 MB
-            part = data[at : at + step + length - 1]
-            stops = np.minimum(ends - at, len(part)) if len(ends) == 1 else ends
-            gram, whole, low, more = contexts(part, stops, length, K, hashes)
-            which = np.searchsorted(stops, low, "right")
-            begin = (stops - np.diff(np.concatenate(([0], stops))))[which]
-            where = pa.array(which + a)
-            yield pa.RecordBatch.from_arrays([pa.array(gram.view(np.int64)), pa.array(whole.view(np.int64)), batch.column(1).take(where), batch.column(0).take(where), pa.array((low - begin + at) << 8 | more)], names=["gram", "whole", "doc_id", "row", "at"])
+            texts = [(i, x) for i, x in enumerate(batch.column(2).to_pylist()) if len(x) >= length]
+            docs_, rows = batch.column(1).fill_null(NO_ID).to_numpy(), batch.column(0).to_numpy()
+            while texts:
+                n = 1
+                total = len(texts[0][1])
+                while n < len(texts) and total + len(texts[n][1]) <= PART_BYTES:
+                    total += len(texts[n][1])
+                    n += 1
+                part, texts = texts[:n], texts[n:]
+                data = np.frombuffer(b"".join([x for _, x in part]), np.uint8)
+                ends = np.cumsum([len(x) for _, x in part])
+                for begun in range(0, max(1, len(data) - length + 1), PART_BYTES):  # one step, but for one text beyond the part's bytes
+                    piece = data[begun : begun + PART_BYTES + length - 1]
+                    if len(piece) > size:
+                        size = len(piece)
+                        hashes = [Hashes(x, size + 1) for x in BASES]
+                    stops = np.array([len(piece)]) if len(ends) == 1 else ends
+                    gram, whole, low, more = contexts(piece, stops, length, K, hashes)
+                    which = np.searchsorted(stops, low, "right")
+                    at = low - (stops - np.diff(np.concatenate(([0], stops))))[which] + begun
+                    where = np.array([i for i, _ in part])[which]
+                    held.append((gram.view(np.int64), whole.view(np.int64), docs_[where], rows[where], at << 8 | more))
+                    n_held += len(low)
+                    if n_held >= MERGED:
+                        yield from merged(held)
+                        held, n_held = [], 0
+        if n_held:
+            yield from merged(held)
 
     def meet(batches: Iterator) -> Iterator:
-        """Sorted by gram, whole, doc_id, row, at: of equal contexts the first stays, and is asked for if its gram has others."""
+        """Sorted by kind, gram, whole, doc_id, row, at: contexts like one before become links (kind 0) to it; the first is asked for (kind 1) if its gram has others."""
         import numpy as np
         import pyarrow as pa
 
-        held = None  # last context's first entry: gram, whole, row, doc_id, at, whether it was asked for
+        def out(kind, row, begin, size, key, source_begin):
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(row), kind, np.int32)), *(pa.array(np.asarray(x, np.int64)) for x in (row, begin, size, key, source_begin))], names=["kind", "row", "begin", "size", "key", "source_begin"])
+
+        held = None  # the last class's first entry: gram, whole, row, at, whether it was asked for
         for batch in batches:
-            gram, whole, row, at = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1, 3, 4))
-            doc = batch.column(2).fill_null(-(1 << 63)).to_numpy(zero_copy_only=False)
+            kind = batch.column(0).to_numpy()
+            gram, whole, doc, row, at, size = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(1, 7))
+            ready = kind == 0
+            if ready.any():
+                yield out(0, row[ready], at[ready], size[ready], whole[ready], doc[ready])
+                gram, whole, row, at = (x[~ready] for x in (gram, whole, row, at))
             if not len(gram):
                 continue
+            before = held or (0, 0, 0, 0, True)
             same_gram = np.concatenate(([held is not None and held[0] == gram[0]], gram[1:] == gram[:-1]))
             same = same_gram & np.concatenate(([held is not None and held[1] == whole[0]], whole[1:] == whole[:-1]))
-            out = [(np.zeros(int(same.sum()), np.int64), row[same], doc[same], at[same])]
+            index = np.maximum.accumulate(np.where(same, -1, np.arange(len(same))))[same]  # the class's first entry, -1 is the one held
+            first_row, first_at = np.append(row, before[2])[index], np.append(at, before[3])[index]
+            yield out(0, row[same], at[same] >> 8, (at[same] & 255) + length, first_row, first_at >> 8)
             first = np.flatnonzero(~same)
             if len(first):
-                joins = same_gram[first]  # another context with this gram stands before
+                joins = same_gram[first]  # another class with this gram stands before
                 asked = joins | np.append(joins[1:], False)
-                if joins[0] and not held[5]:
-                    out.append(tuple(np.array([x]) for x in (1, *held[2:5])))
-                    grams = [np.array([held[0]])]
-                else:
-                    grams = []
-                pickd = first[asked]
-                out.append((np.ones(len(pickd), np.int64), row[pickd], doc[pickd], at[pickd]))
-                grams.append(gram[pickd])
+                if joins[0] and not held[4]:
+                    yield out(1, [before[2]], [before[3] >> 8], [(before[3] & 255) + length], [before[0]], [0])
+                chosen = first[asked]
+                yield out(1, row[chosen], at[chosen] >> 8, (at[chosen] & 255) + length, gram[chosen], chosen * 0)
                 last = first[-1]
-                held = (gram[last], whole[last], row[last], doc[last], at[last], bool(asked[-1]))
-            else:
-                grams = []
-            kind, r, d, p = (np.concatenate([x[i] for x in out]) for i in range(4))
-            g = np.concatenate([np.zeros(len(out[0][0]), np.int64), *grams])
-            yield pa.RecordBatch.from_arrays([pa.array(kind.astype(np.int8)), pa.array(g), pa.array(r), pa.array(d), pa.array(p)], names=["kind", "gram", "row", "doc_id", "at"])
+                held = (gram[last], whole[last], row[last], at[last], bool(asked[-1]))
+
+    def block(batches: Iterator) -> Iterator:
+        """Links in order of row, source, begin: requests for the bytes of blocks, each of one source and its copies."""
+        import pyarrow as pa
+        from pyspark import TaskContext
+
+        blocks: dict[int, list] = {}  # of a source: block, bytes, low, high, blocks before
+        n, out = TaskContext.get().partitionId() << 40, []
+
+        def close(source):
+            b, _, low, high, slot = blocks[source]
+            out.append((source, slot, b, low, high - low))
+
+        def ready():
+            columns = [pa.array([x[i] for x in out], pa.int64()) for i in range(5)]
+            out.clear()
+            return pa.RecordBatch.from_arrays(columns, names=["row", "slot", "key", "begin", "size"])
+
+        for batch in batches:
+            found = linked(*(batch.column(i).to_numpy(zero_copy_only=False) for i in range(5)))
+            for row, begin, end, source, at in zip(*(x.tolist() for x in found), strict=True):
+                for b in range(begin, end - length + 1, BLOCK_BYTES):  # a long extent in steps that share length - 1 bytes
+                    e = min(end, b + BLOCK_BYTES + length - 1)
+                    low, high = at + b - begin, at + e - begin
+                    now = blocks.get(source)
+                    if now is not None and (now[1] + e - b > BLOCK_BYTES or max(high, now[3]) - min(low, now[2]) > BLOCK_BYTES + 2 * length):
+                        close(source)
+                        now = [None, 0, low, high, now[4]]
+                    if now is None or now[0] is None:
+                        n += 1
+                        now = blocks[source] = [n, 0, low, high, 0 if now is None else now[4] + 1]
+                    now[1], now[2], now[3] = now[1] + e - b, min(now[2], low), max(now[3], high)
+                    out.append((row, 0, now[0], b, e - b))
+            if len(blocks) > 100_000:
+                for source in blocks:
+                    close(source)
+                blocks.clear()
+            if len(out) >= 20_000:
+                yield ready()
+        for source in blocks:
+            close(source)
+        yield ready()
 
     def fetch(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
+        names_ = ["key", "doc_id", "row", "begin", "bytes"]
         for batch in pieces(batches, 4 << 20):
-            for row, doc, text, grams, ats in zip(*(batch.column(i) for i in range(5)), strict=True):
-                text, ats = text.as_py(), ats.as_py()
-                blobs = [text[x >> 8 : (x >> 8) + (x & 255) + length] for x in ats]
-                n = len(ats)
-                yield pa.RecordBatch.from_arrays([grams.values, pa.array([doc.as_py()] * n, pa.int64()), pa.array([row.as_py()] * n, pa.int64()), pa.array([x >> 8 for x in ats], pa.int64()), pa.array(blobs, pa.binary())], names=["gram", "doc_id", "row", "begin", "bytes"])
+            for row, doc, text, keys, begins, sizes in zip(*(batch.column(i) for i in range(6)), strict=True):
+                row, doc, text = row.as_py(), doc.as_py(), text.as_py()
+                out, total = [], 0
+                for key, begin, size in zip(keys.as_py(), begins.as_py(), sizes.as_py(), strict=True):
+                    out.append((key, begin, text[begin : begin + size]))
+                    total += size
+                    if total > 4 << 20:
+                        yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([doc] * len(out), pa.int64()), pa.array([row] * len(out), pa.int64()), pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out], pa.binary())], names=names_)
+                        out, total = [], 0
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([doc] * len(out), pa.int64()), pa.array([row] * len(out), pa.int64()), pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out], pa.binary())], names=names_)
 
     def sort(batches: Iterator) -> Iterator:
-        """Sorted by gram: suffix arrays over whole groups; kind 0 spans to remove, kind 1 windows of crowds by hash."""
+        """Sorted by key: suffix arrays over whole groups; kind 0 spans to remove. Of groups beyond one array, kind 1 the windows that a part leaves, by their hash."""
         import numpy as np
         import pyarrow as pa
 
-        names = ["kind", "h1", "h2", "doc_id", "row", "begin", "end"]
-        spans: list = []
+        hashes = []
 
-        def out(kind, h1, h2, doc, row, begin, end):
-            return pa.RecordBatch.from_arrays([pa.array(np.full(len(row), kind, np.int8)), *(pa.array(np.asarray(x, np.int64)) for x in (h1, h2, doc, row, begin, end))], names=names)
+        def out(kind, key, row, begin, end):
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(row), kind, np.int32)), *(pa.array(np.asarray(x, np.int64)) for x in (key, row, begin, end))], names=["kind", "key", "row", "begin", "end"])
 
-        def arrays(rows):
-            """rows: (doc, row, begin, bytes) of whole groups."""
+        def arrays(rows, part: bool = False):
+            """rows: (doc, row, begin, bytes). Windows that an earlier one in the array equals go."""
             piece, offset, group = repeated_windows([x[3] for x in rows], length)
             doc, row, begin = (np.array([x[i] for x in rows], np.int64) for i in range(3))
             d, r, s = doc[piece], row[piece], begin[piece] + offset
             order = np.lexsort((s, r, d, group))
-            group, r, s = group[order], r[order], s[order]
-            later = np.concatenate(([False], group[1:] == group[:-1])) if len(group) else np.zeros(0, bool)
-            later &= np.concatenate(([False], (r[1:] != r[:-1]) | (s[1:] != s[:-1]))) if len(group) else later  # one place may be in two contexts
+            group, r, s, piece, offset = group[order], r[order], s[order], piece[order], offset[order]
+            same = np.concatenate(([False], group[1:] == group[:-1])) if len(group) else np.zeros(0, bool)
+            twice = same & np.concatenate(([False], (r[1:] == r[:-1]) & (s[1:] == s[:-1]))) if len(group) else same  # one place may be in two pieces
+            head = np.maximum.accumulate(np.where(same, 0, np.arange(len(same)))) if len(group) else same  # the class's first place
+            later = same & ~((r == r[head]) & (s == s[head])) if len(group) else same
             a, b, e = _spans(r[later], s[later], length)
-            zero = np.zeros(len(a), np.int64)
-            return out(0, zero, zero, zero, a, b, e)
-
-        def crowd(rows):
-            """All windows of the contexts, for a meeting by the hashes of whole windows."""
-            data = np.frombuffer(b"".join([x[3] for x in rows]), np.uint8)
-            sizes = np.array([len(x[3]) for x in rows], np.int64)
-            hashes = [Hashes(x, len(data) + 1) for x in BASES]
-            n = sizes - length + 1
-            which = np.repeat(np.arange(len(rows)), n)
-            offset = np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
-            at = (np.cumsum(sizes) - sizes)[which] + offset
-            h = [x.of(x.prefix(data), at, at + length).view(np.int64) for x in hashes]
-            doc, row, begin = (np.array([x[i] for x in rows], np.int64)[which] for i in range(3))
-            return out(1, h[0], h[1], doc, row, begin + offset, begin + offset + length)
+            yield out(0, a * 0, a, b, e)
+            if part:
+                if not hashes:
+                    hashes.append(Hashes(BASES[0], 2 * ARRAY_BYTES))
+                data = np.frombuffer(b"".join([x[3] for x in rows]), np.uint8)
+                sizes = np.array([len(x[3]) for x in rows], np.int64)
+                n = sizes - length + 1
+                stays = np.ones(int(n.sum()), bool)
+                gone = later | twice
+                stays[(np.cumsum(n) - n)[piece[gone]] + offset[gone]] = False
+                which = np.repeat(np.arange(len(rows)), n)[stays]
+                offset = (np.arange(len(stays)) - np.repeat(np.cumsum(n) - n, n))[stays]
+                at = (np.cumsum(sizes) - sizes)[which] + offset
+                h = hashes[0].of(hashes[0].prefix(data), at, at + length).view(np.int64)
+                yield out(1, h, row[which], begin[which] + offset, begin[which] + offset + length)
 
         ready, ready_bytes, group, group_bytes, now, crowded = [], 0, [], 0, None, False
         for batch in pieces(batches, 4 << 20):
-            columns = [batch.column(i) for i in range(5)]
-            for gram, doc, row, begin, blob in zip(columns[0].to_pylist(), columns[1].fill_null(-(1 << 63)).to_pylist(), columns[2].to_pylist(), columns[3].to_pylist(), columns[4].to_pylist(), strict=True):
-                if gram != now:
+            keys, docs_, rows, begins = (batch.column(i) for i in range(4))
+            for key, doc, row, begin, blob in zip(keys.to_pylist(), docs_.fill_null(NO_ID).to_pylist(), rows.to_pylist(), begins.to_pylist(), batch.column(4).to_pylist(), strict=True):
+                if key != now:
                     if crowded:
-                        yield crowd(group)
+                        yield from arrays(group, True)
                     else:
+                        if ready and ready_bytes + group_bytes > ARRAY_BYTES:
+                            yield from arrays(ready)
+                            ready, ready_bytes = [], 0
                         ready += group
                         ready_bytes += group_bytes
-                        if ready_bytes > ARRAY_BYTES // 2:
-                            yield arrays(ready)
-                            ready, ready_bytes = [], 0
-                    group, group_bytes, now, crowded = [], 0, gram, False
+                    group, group_bytes, now, crowded = [], 0, key, False
+                if group and group_bytes + len(blob) > ARRAY_BYTES:
+                    yield from arrays(group, True)
+                    group, group_bytes, crowded = [], 0, True
                 group.append((doc, row, begin, blob))
                 group_bytes += len(blob)
-                if group_bytes > ARRAY_BYTES:
-                    yield crowd(group)
-                    group, group_bytes, crowded = [], 0, True
+        if ready and (crowded or ready_bytes + group_bytes > ARRAY_BYTES):
+            yield from arrays(ready)
+            ready = []
         if crowded:
-            if group:
-                yield crowd(group)
-        else:
-            ready += group
-        if ready:
-            yield arrays(ready)
-
-    def stored(df: DataFrame) -> DataFrame:
-        """What follows reads it twice; the files in the shared folder outlive executors."""
-        df.write.parquet(path := shared_folder(spark))
-        return spark.read.parquet(path)
-
-    picked = table.mapInArrow(pick, "gram long, whole long, doc_id long, row long, at long")
-    met = stored(picked.repartition(width, "gram").sortWithinPartitions("gram", "whole", "doc_id", "row", "at").mapInArrow(meet, "kind byte, gram long, row long, doc_id long, at long"))
-    asked = met.where("kind = 1").groupBy("row").agg(F.collect_list("gram").alias("grams"), F.collect_list("at").alias("ats"))
-    fetched = table.join(asked.hint("shuffle_hash"), "row").select("row", "doc_id", "text", "grams", "ats").mapInArrow(fetch, "gram long, doc_id long, row long, begin long, bytes binary")
-    sorted_ = stored(fetched.repartition(width, "gram").sortWithinPartitions("gram").mapInArrow(sort, "kind byte, h1 long, h2 long, doc_id long, row long, begin long, end long"))
-    crowds = sorted_.where("kind = 1")
-    first = crowds.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "row", "begin")).alias("first"), F.count("*").alias("n")).where("n > 1")
-    later = crowds.join(first, ["h1", "h2"]).where("row <> first.row or begin <> first.begin")
-    whole = met.where("kind = 0").select("row", F.shiftright("at", 8).alias("begin"), (F.shiftright("at", 8) + F.col("at").bitwiseAND(F.lit(255).cast("long")) + length).alias("end"))
-    return table, whole.union(sorted_.where("kind = 0").select("row", "begin", "end")).union(later.select("row", "begin", "end"))
+            yield from arrays(group, True)
+        elif ready or group:
+            yield from arrays(ready + group)
+
+    def decided(requests: DataFrame) -> DataFrame:
+        """kind, key, row, begin, end from requests for bytes (row, slot, key, begin, size)."""
+        by_row = requests.groupBy("row", "slot").agg(F.collect_list(F.struct("key", "begin", "size")).alias("x")).select("row", "x")
+        joined = table.join(by_row.hint("shuffle_hash"), "row").select("row", "doc_id", "text", "x.key", "x.begin", "x.size")
+        fetched = joined.mapInArrow(fetch, "key long, doc_id long, row long, begin long, bytes binary")
+        return stored(fetched.repartition(width, "key").sortWithinPartitions("key").mapInArrow(sort, "kind int, key long, row long, begin long, end long"))
+
+    picked = table.mapInArrow(pick, "kind int, gram long, whole long, doc_id long, row long, at long, size long")
+    order = ["kind", "gram", "whole", "doc_id", "row", "at"]
+    met = stored(picked.repartition(width, "gram").sortWithinPartitions(*order).mapInArrow(meet, "kind int, row long, begin long, size long, key long, source_begin long"))
+    links = met.where("kind = 0").select("row", "begin", "size", F.col("key").alias("source"), "source_begin")
+    blocks = links.repartition(width, "row").sortWithinPartitions("row", "source", "begin").mapInArrow(block, "row long, slot long, key long, begin long, size long")
+    blocks = blocks.withColumn("slot", F.floor(F.col("slot") / 64).cast("long"))  # one source's requests of many blocks are fetched in several rows
+    asked = met.where("kind = 1").select("row", F.lit(0).cast("long").alias("slot"), "key", "begin", "size")
+    found = decided(blocks.unionAll(asked))
+    spans = found.where("kind = 0").select("row", "begin", "end")
+    while not (crowds := found.where("kind = 1")).isEmpty():
+        again = crowds.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+        found = decided(crowds.join(again, "key").select("row", F.lit(0).cast("long").alias("slot"), "key", "begin", (F.col("end") - F.col("begin")).alias("size")))
+        spans = spans.unionAll(found.where("kind = 0").select("row", "begin", "end"))
+    return table, spans
 
 
 def remove_repeats(docs: DataFrame, length: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -337,8 +466,7 @@ def remove_repeats(docs: DataFrame, length: int = 100, id_col: str = "doc_id", t
 
     A byte goes if a string of ``length`` bytes that covers it also starts earlier: in a smaller id, or earlier in the
     same text; of rows with one id the first in the table is earlier; a null id is smallest. A null text counts as
-    empty; shorter texts keep all; an empty table gives an empty one; other columns are left out. The table
-    is read several times and must give the same rows in the same partitions each time.
+    empty; shorter texts keep all; an empty table gives an empty one; other columns are left out.
     """
     table, spans = repeated_spans(docs, length, id_col, text_col)
     by_row = spans.groupBy("row").agg(F.collect_list(F.struct("begin", "end")).alias("spans"))

@@ -176,24 +176,35 @@ def test_secret_scores_do_not_depend_on_the_corpus_size(spark, sf_dir, monkeypat
     assert [r.doc_id for r in found if not r.secrets] == [0, 1, 2, 3]
 
 
-def test_suffix_array_is_sorted():
+@pytest.mark.parametrize("letters", ["abc", "ab", "a", "aaaaaaaaaaaaaaab"])
+def test_suffix_array_is_sorted(letters):
     import numpy as np
 
     rnd = random.Random(1)
-    for _ in range(100):
-        pieces = [bytes(rnd.choice(b"abc") for _ in range(rnd.randrange(1, 40))) for _ in range(rnd.randrange(1, 6))]
-        text = (np.frombuffer(b"\xff".join([*pieces, b""]), np.uint8) + np.uint8(1)).tobytes()
+    for size in (1, 5, 40, 300) * 10:
+        pieces = [bytes(ord(rnd.choice(letters)) for _ in range(rnd.randrange(1, size + 1))) for _ in range(rnd.randrange(1, 6))]
+        data = np.frombuffer(b"\xff".join([*pieces, b""]), np.uint8) + np.uint8(1)
+        text = data.tobytes()
+        found = suffix.suffix_array(data, 100, suffix.names(data, 100)).tolist()
+        assert sorted(found) == list(range(len(text)))
+        assert [text[i : i + 100] for i in found] == sorted(text[i : i + 100] for i in range(len(text)))
 
-        def key(i, text=text):
-            end = text.index(0, i)
-            return [(c, 0) for c in text[i:end]] + [(0, end)]
 
-        assert suffix.suffix_array(text)[0].tolist() == sorted(range(len(text)), key=key)
+def test_long_texts_after_empty_ones(spark, monkeypatch):
+    monkeypatch.setattr(suffix, "PART_BYTES", 3000)
+    rnd = random.Random(3)
+    long = "".join(rnd.choice("abcdefgh") for _ in range(20_000))
+    docs = [(i, x) for i, x in enumerate([*([""] * 62), None, long, long[:2999], "x" * 9000, long[5000:] + "y"])]
+    found = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans) for r in suffix.remove_repeats(table(spark, docs)).collect()}
+    assert found[63] == (20_000, 0, 0) and found[64] == (2999, 2999, 1) and found[65] == (9000, 8999, 1) and found[66] == (15_001, 15_000, 1)
 
 
-@pytest.mark.parametrize("array_bytes", [2 << 20, 2000])
+@pytest.mark.parametrize("array_bytes", [1 << 20, 2000])
 def test_repeated_bytes_equal_brute_force(spark, monkeypatch, array_bytes):
     monkeypatch.setattr(suffix, "ARRAY_BYTES", array_bytes)
+    if array_bytes == 2000:
+        monkeypatch.setattr(suffix, "BLOCK_BYTES", 300)
+        monkeypatch.setattr(suffix, "MERGED", 50)
     rnd = random.Random(9)
     base = ["".join(rnd.choice("abcdé ") for _ in range(300)) for _ in range(4)] + ["ab" * 150, "hot line " * 9]
     cut = lambda x: x[(a := rnd.randrange(0, 200)) : a + rnd.randrange(20, 260)]
