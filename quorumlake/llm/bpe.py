@@ -177,6 +177,10 @@ class Encoder:
                 keep = (place - begin) % 2 == 0
                 at, right = at[keep], right[keep]
             next_ = after[right]
+            if not one_by_one and len(at) > 1:  # one after the other, a merge would meet its right neighbour as it is now
+                meets = np.where(next_ < n, self.pair_ranks(np.full(len(at), rank, np.int32), ids[next_]), np.int32(-1))
+                if (early := (meets >= 0) & (meets < rank)).any():
+                    odd.update(np.searchsorted(stops, at[early], "right").tolist())
             ids[at], ids[right], pending[right] = rank, -1, -1
             after[at], before[next_] = next_, at
             previous = before[at]

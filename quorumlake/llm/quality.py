@@ -3,7 +3,7 @@
 A document classifier over style features of the whole text gives each document's evidence.
 Grouped aggregation sums it by host and by path within the host; a host's rate is shrunk toward the
 global rate and a path's toward its host, with strengths estimated from the spread between
-sites. A document's score combines its own evidence with its path's posterior.
+sites. A document's score combines its own evidence with the posterior of its path's other documents.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces, texts
+from .common import cut, join_hot, pieces, texts
 
 #: Names of the style features, in the order of ``style``.
 STYLE = ("log_bytes", "upper", "digit", "space", "newline", "symbol", "stop", "comma", "other", "word_length", "distinct_words", "short_words", "long_words", "marked_words", "bar_words", "distinct_lines")
@@ -117,7 +117,7 @@ def moments(sites: DataFrame, within: list[str]) -> DataFrame:
 
 
 def posteriors(rows: DataFrame) -> DataFrame:
-    """host, path, n, host_rate, path_rate, global_rate of each path, from the classifier's evidence."""
+    """host, path, n, s (the evidence's sum), strength, global_rate, host_rate, path_rate of each path, from the classifier's evidence."""
     paths = rows.groupBy("host", "path").agg(F.sum("p").alias("s"), F.count("*").cast("double").alias("n"))
     hosts = paths.groupBy("host").agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
     overall = hosts.agg((F.sum("s") / F.sum("n")).alias("parent_rate"))
@@ -125,20 +125,21 @@ def posteriors(rows: DataFrame) -> DataFrame:
     hosts = hosts.crossJoin(F.broadcast(moments(hosts, []))).select("host", F.col("parent_rate").alias("global_rate"), ((F.col("s") + F.col("strength") * F.col("parent_rate")) / (F.col("n") + F.col("strength"))).alias("host_rate"))
     sites = paths.join(hosts, "host").withColumn("parent_rate", F.col("host_rate"))
     strengths = moments(sites, ["host"])
-    return sites.join(strengths, "host").select("host", "path", F.col("n").cast("long").alias("n"), "global_rate", "host_rate", ((F.col("s") + F.col("strength") * F.col("host_rate")) / (F.col("n") + F.col("strength"))).alias("path_rate"))
+    return sites.join(strengths, "host").select("host", "path", F.col("n").cast("long").alias("n"), "s", "strength", "global_rate", "host_rate", ((F.col("s") + F.col("strength") * F.col("host_rate")) / (F.col("n") + F.col("strength"))).alias("path_rate"))
 
 
 def classify(docs: DataFrame, model, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text", host: Column | None = None, path: Column | None = None) -> DataFrame:
     """doc_id, host, path, evidence, host_rate, path_rate, score, kept for every row.
 
-    The score's log odds are the evidence's, plus the path posterior's, less the global rate's. A null text
-    counts as empty, a null host or path as the empty name; repeated rows each give a row and count in
-    their site; an empty table gives an empty one; other columns are left out. Sites are summed
-    map-side first, so a hot host costs one row for each task.
+    The score's log odds are the evidence's, plus those of the path's rate without the row's own share, less the global rate's: so
+    a row's evidence counts once. A null text counts as empty, a null host or path as the empty name; repeated rows
+    each give a row and count in their site; an empty table gives an empty one; other columns are left out. Texts are
+    judged once; sites are summed map-side first, and a hot site's rows are dealt over several tasks.
     """
-    rows = evidence(docs, model, id_col, text_col, host, path)
+    rows = cut(evidence(docs, model, id_col, text_col, host, path))
     logit = lambda c: F.log(F.greatest(c, F.lit(1e-9)) / F.greatest(1 - c, F.lit(1e-9)))
-    total = logit(F.col("p")) + logit(F.col("path_rate")) - logit(F.col("global_rate"))
-    sites = posteriors(rows).select("host", "path", "global_rate", "host_rate", "path_rate")
-    scored = rows.join(sites, ["host", "path"]).withColumn("score", 1 / (1 + F.exp(-total)))
+    sites = cut(posteriors(rows)).withColumn("rows", F.col("n"))
+    others = (F.col("s") - F.col("p") + F.col("strength") * F.col("host_rate")) / (F.col("rows") - 1 + F.col("strength"))
+    total = logit(F.col("p")) + logit(others) - logit(F.col("global_rate"))
+    scored = join_hot(rows, sites, ["host", "path"], ["doc_id"]).withColumn("score", 1 / (1 + F.exp(-total)))
     return scored.select("doc_id", "host", "path", F.col("p").alias("evidence"), "host_rate", "path_rate", "score", (F.col("score") >= threshold).alias("kept"))

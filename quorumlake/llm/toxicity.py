@@ -1,9 +1,11 @@
 """Operator 9: toxicity by weak supervision.
 
 Voters are words (a lexicon) and word beginnings (patterns) that labelled rows suggest, beside a
-fixed lexicon. A generative model of the votes estimates by EM how often each voter fires on toxic
-and on other documents, and how the voters correlate given the class; correlated voters share
-their weight. A linear classifier over words and word beginnings is trained on the posteriors.
+fixed lexicon. A voter that fires speaks for toxic, one that doesn't abstains. A generative model of the votes
+estimates by EM how often each voter fires on toxic and on other documents, how often none does, and
+how the voters correlate given the class; correlated voters share their weight. EM starts from the votes alone; a row's label is
+no voter: it enters as evidence of one fixed, weak accuracy, which the votes can outweigh. A linear
+classifier over words and word beginnings is trained on the posteriors.
 """
 
 from __future__ import annotations
@@ -20,6 +22,8 @@ from .common import pieces, texts
 LEXICON = ("clown", "disgusting", "dumb", "fool", "garbage", "idiot", "imbecile", "jerk", "loser", "moron", "pathetic", "scum", "stupid", "trash", "vermin", "worthless")
 PREFIXES = (3, 4, 5, 6)
 WORD = r"[^\W\d_]+"
+#: Log odds that a row's label adds to its posterior: right in 88 of 100 rows. Without it the votes decide alone.
+ANCHOR = 2.0
 
 
 def features(word: str) -> list[str]:
@@ -92,21 +96,21 @@ def fired(train: DataFrame, names: list[str]):
     return np.repeat(np.arange(len(rows)), sizes), np.concatenate([np.zeros(0, np.int64), *rows.on]).astype(np.int64), (rows.label.to_numpy() > 0).astype(float)
 
 
-def label_model(row, on, n_voters: int, labels, prior: float, rounds: int = 25):
+def label_model(row, on, n_voters: int, n_rows: int, prior: float, labels=None, anchor: float = ANCHOR, rounds: int = 25):
     """Posterior of toxic for each training row, from votes.
 
-    EM over a two-class model: voter j fires with rate r[j, y]. The row's own label is one more voter, whose
-    accuracy is estimated like the others'. Given the posteriors, the correlation of two voters within
-    the classes says how much of their evidence is the same; a voter's weight is divided by one plus
-    its squared correlations with the others.
+    EM over a two-class model: voter j fires with rate r[j, y], and a row of class y is one without votes with rate q[y]. Given
+    the posteriors, the correlation of two voters within the classes says how much of their evidence is the same;
+    a voter's weight is divided by one plus its squared correlations with the others.
     """
     import numpy as np
 
     keep = on < n_voters
-    dense = np.zeros((len(labels), n_voters + 1), np.float32)
+    dense = np.zeros((n_rows, n_voters), np.float32)
     dense[row[keep], on[keep]] = 1
-    dense[:, n_voters] = labels
-    posterior = np.where(labels > 0, 0.95, 0.01)
+    none = dense.sum(axis=1) == 0
+    posterior = np.where(none, 0.02, 0.9)
+    weak = 0.0 if labels is None else anchor * (2 * np.asarray(labels) - 1)
     for _ in range(rounds):
         p = np.stack([1 - posterior, posterior])
         mass = p.sum(axis=1, keepdims=True) + 2
@@ -119,9 +123,9 @@ def label_model(row, on, n_voters: int, labels, prior: float, rounds: int = 25):
         correlation = covariance / spread[:, None] / spread[None, :]
         np.fill_diagonal(correlation, 0)
         share = 1 / (1 + (correlation**2).sum(axis=1))
-        yes, no = np.log(rate[1] / rate[0]) * share, np.log((1 - rate[1]) / (1 - rate[0])) * share
+        quiet = np.log(((p @ none) + 0.2) / mass[:, 0])
         balance = np.clip(posterior.mean(), 0.3 * prior, 3 * prior)
-        logit = np.log(balance / (1 - balance)) + dense @ (yes - no) + no.sum()
+        logit = np.log(balance / (1 - balance)) + dense @ (np.log(rate[1] / rate[0]) * share) + none * (quiet[1] - quiet[0]) + weak
         posterior = 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
     return posterior
 
@@ -165,7 +169,7 @@ def linear_classifier(row, on, n_rows: int, n_features: int, target, rounds: int
     return w[:-1], w[-1]
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, n_voters: int = 400, n_features: int = 2000, id_col: str = "doc_id", text_col: str = "text") -> tuple[dict[str, float], float]:
+def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, n_voters: int = 200, n_features: int = 2000, id_col: str = "doc_id", text_col: str = "text") -> tuple[dict[str, float], float]:
     """Weight of each feature and the bias. The fit sees about ``max_rows`` labelled rows at most."""
     train = training_rows(docs, labels, max_rows, id_col, text_col).persist()
     voters, names, share = suggested(train, n_voters, n_features)
@@ -173,7 +177,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, n_voters: in
     train.unpersist()
     if not len(known):
         return {x: 4.0 for x in LEXICON}, -2.0
-    posterior = label_model(row, on, len(voters), known, share)
+    posterior = label_model(row, on, len(voters), len(known), share, known)
     weights, bias = linear_classifier(row, on, len(known), len(names), posterior)
     return dict(zip(names, weights.tolist(), strict=True)), float(bias)
 

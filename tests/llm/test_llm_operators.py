@@ -109,6 +109,26 @@ def test_bpe_merges_of_falling_rank():
         assert list(memoryview(packed).cast("I")) == want
 
 
+def test_bpe_equals_the_plain_algorithm_on_random_tables():
+    rnd = random.Random(21)
+    for _ in range(150):
+        pieces = [bytes([i]) for i in range(256)]
+        for _ in range(rnd.randrange(2, 14)):
+            new = rnd.choice([*pieces[97:100], *pieces[256:]]) + rnd.choice([*pieces[97:100], *pieces[256:]])
+            if new not in pieces and len(new) < 9:
+                pieces.append(new)
+        made = pieces[256:]
+        rnd.shuffle(made)
+        table = {p: i for i, p in enumerate(pieces[:256] + made)}
+        encoder = bpe.Encoder(table, r"[\s\S]+", bpe.pair_table(table))
+        words = list({"".join(rnd.choice("abc" if k % 2 else "ab") for _ in range(rnd.randrange(1, 25))).encode() for k in range(60)})
+        for word, packed in zip(words, encoder.merge(words), strict=True):
+            parts = [word] if word in table else [bytes([x]) for x in word]
+            while len(parts) > 1 and (best := min(((table[a + b], i) for i, (a, b) in enumerate(zip(parts, parts[1:], strict=False)) if a + b in table), default=None)):
+                parts[best[1] : best[1] + 2] = [parts[best[1]] + parts[best[1] + 1]]
+            assert list(memoryview(packed).cast("I")) == [table[p] for p in parts], (word, made)
+
+
 def test_token_counts_equal_greedy_cutting():
     rnd = random.Random(2)
     for _ in range(20):
@@ -320,7 +340,7 @@ def test_trie_spills_by_subtree():
 def test_leaks_equal_the_sets(spark):
     rnd = random.Random(10)
     word = lambda: rnd.choice(["alpha", "beta", "Gamma", "delta", "eps"])
-    items = [(i, " ".join(word() for _ in range(n))) for i, n in enumerate([3, 5, 6, 12, 30, 60])]
+    items = [(i, " ".join(word() for _ in range(n))) for i, n in enumerate([2, 3, 5, 6, 12, 30, 60])]
     texts = []
     for _ in range(60):
         _, text = rnd.choice(items)
@@ -328,8 +348,17 @@ def test_leaks_equal_the_sets(spark):
         for _ in range(rnd.randrange(3)):
             words[rnd.randrange(len(words))] = "odd"
         texts.append(" ".join([*(word() for _ in range(rnd.randrange(40))), ", ".join(words), *(word() for _ in range(rnd.randrange(9)))]))
-    shingles = lambda t: {tuple(w[i : i + 5]) for w in [re.findall(r"[a-z]+", t.lower())] for i in range(len(w) - 4)}
-    want = {(d, i): len(s & shingles(t)) for i, x in items for s in [shingles(x)] if s for d, t in enumerate(texts) if len(s & shingles(t)) >= 0.8 * len(s)}
+
+    def shingles(text, n):
+        w = re.findall(r"[a-z]+", text.lower())
+        return {tuple(w[i : i + n]) for i in range(len(w) - n + 1)}
+
+    want = {}
+    for i, x in items:
+        n = min(5, len(x.split()))
+        for d, t in enumerate(texts):
+            if len(shingles(x, n) & shingles(t, n)) >= 0.8 * len(shingles(x, n)):
+                want[d, i] = len(shingles(x, n) & shingles(t, n))
     found = decontaminate.leaks(table(spark, texts), spark.createDataFrame(items, "item_id long, text string"))
     assert {(r.doc_id, r.item_id): r.n_shared for r in found.collect()} == want
 
@@ -362,6 +391,22 @@ def test_toxicity_counts_do_not_depend_on_tasks(spark):
     assert whole == spread
 
 
+def test_label_model_is_no_copy_of_the_labels():
+    import numpy as np
+
+    rnd = np.random.default_rng(3)
+    toxic = rnd.random(600) < 0.2
+    fired = (rnd.random((600, 12)) < np.where(toxic[:, None], 0.35, 0.002))
+    row, on = np.nonzero(fired)
+    wrong = toxic.copy()
+    flipped = rnd.choice(600, 20, replace=False)
+    wrong[flipped] = ~wrong[flipped]
+    alone = toxicity.label_model(row, on, 12, 600, 0.2) >= 0.5
+    anchored = toxicity.label_model(row, on, 12, 600, 0.2, wrong.astype(float)) >= 0.5
+    assert (alone == toxic).mean() > 0.97 and (anchored == toxic).mean() > 0.97
+    assert (anchored[flipped] == toxic[flipped]).mean() > 0.6  # votes outweigh wrong labels
+
+
 def test_quality_shrinks_sparse_sites(spark):
     rnd = random.Random(12)
     good = lambda: " ".join(rnd.choice(["the", "river", "runs", "down", "to", "a", "quiet", "sea"]) for _ in range(50)) + "."
@@ -372,3 +417,70 @@ def test_quality_shrinks_sparse_sites(spark):
     assert sum(r.kept == (r.doc_id % 4 != 0) for r in found) >= 396
     rate = {r.host: r.host_rate for r in found}
     assert 0.7 < rate["big"] < 0.8 and all(0.3 < x < 0.95 for x in rate.values())
+
+
+def test_quality_scores_equal_brute_force(spark):
+    import math
+
+    rnd = random.Random(14)
+    rows = [(i, rnd.choice(["a fine day. ", "BUY!! ##", "x y z "]) * rnd.randrange(1, 30), rnd.choice([None, "p", "q"]), rnd.choice(["h", "k", None]) if i % 3 else "h", 1, 2, 3, 4, 5, 6, 7) for i in range(150)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    found = quality.classify(docs, quality.fit(docs, labels(spark, [(i, int("fine" in rows[i][1]), 0) for i in range(0, 150, 2)]))).collect()
+    p = {r.doc_id: r.evidence for r in found}
+    site = {r.doc_id: (r.host, r.path) for r in found}
+    assert site == {i: (h or "", lang or "") for i, _, lang, h, *_ in rows}
+
+    def total(ids):
+        ids = list(ids)
+        return sum(p[i] for i in ids), len(ids)
+
+    def strength(parent, sites):
+        n, k, noise = sum(m for _, m in sites), len(sites), parent * (1 - parent)
+        between = (sum(m * (s / m - parent) ** 2 for s, m in sites) - (k - 1) * noise) / max(n - sum(m * m for _, m in sites) / n, 1e-9)
+        return min(max(noise / max(between, 1e-9), 2.0), 1000.0)
+
+    overall = sum(p.values()) / len(p)
+    hosts = {h: total(i for i in p if site[i][0] == h) for h in {x for x, _ in site.values()}}
+    a = strength(overall, list(hosts.values()))
+    rate = {h: (s + a * overall) / (n + a) for h, (s, n) in hosts.items()}
+    paths = {x: total(i for i in p if site[i] == x) for x in set(site.values())}
+    b = {h: strength(rate[h], [v for x, v in paths.items() if x[0] == h]) for h in hosts}
+    logit = lambda x: math.log(x / (1 - x))
+    for r in found:
+        (s, n), h = paths[site[r.doc_id]], r.host
+        others = (s - r.evidence + b[h] * rate[h]) / (n - 1 + b[h])
+        want = 1 / (1 + math.exp(-(logit(r.evidence) + logit(others) - logit(overall))))
+        assert abs(r.host_rate - rate[h]) < 1e-9 and abs(r.path_rate - (s + b[h] * rate[h]) / (n + b[h])) < 1e-9 and abs(r.score - want) < 1e-9
+
+
+def test_secret_query_equals_brute_force(spark, sf_dir):
+    from quorumlake.llm.queries import QUERIES
+
+    def either(word):
+        return "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in word)
+
+    patterns = [("assign", "(" + "|".join(map(either, ["password", "passwd", "secret", "token", "api_?key"])) + r""")["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6), ("access", "AKIA[A-Z0-9]+", 0, 20), ("hex", "[0-9a-f]+", 0, 24)]
+    found = {r.doc_id: r for r in QUERIES["op5_secret_scan"](spark, sf_dir).collect()}
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()
+    assert len(found) == len(docs)
+    for doc in docs:
+        spans = [(m.start(), k, m.end()) for k, (_, pattern, group, least) in enumerate(patterns) for m in re.finditer(pattern, doc.text or "") if len(m[group]) >= least]
+        base = ",".join(f"{patterns[k][0]}:{a}:{b}" for a, k, b in sorted(spans))
+        r = found[doc.doc_id]
+        assert r.base_sha256 == hashlib.sha256(base.encode()).hexdigest()
+        assert [r.n_assign, r.n_access, r.n_hex] == [sum(k == i for _, k, _ in spans) for i in range(3)]
+        assert [x for x in r.spans.split(",") if x and not x.startswith("markov")] == [x for x in base.split(",") if x]
+
+
+def test_token_count_query_equals_brute_force(spark, sf_dir):
+    ranks_ = bpe.parse_ranks(ranks())
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").orderBy("doc_id").limit(40)
+    vocabulary_, longest = set(ranks_), max(map(len, ranks_))
+    for r, text in zip(sorted(wordpiece.count_tokens(docs, ranks_).collect()), [x.text for x in docs.collect()], strict=True):
+        n = 0
+        for word in text.encode().split():
+            word, at = b" " + word, 0
+            while at < len(word):
+                at = next(e for e in range(min(len(word), at + longest), at, -1) if word[at:e] in vocabulary_)
+                n += 1
+        assert r.n_tokens == n
