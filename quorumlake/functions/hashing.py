@@ -79,6 +79,24 @@ def boundary_token(digest: Column, boundary: Column) -> Column:
     return F.sha2(F.concat_ws(":", digest, boundary.cast("string")).cast("binary"), 256)
 
 
+def derived_name(storage_key: Column, digest: Column, kind: Column, index: Column, nonce: Column) -> Column:
+    """Name of an object whose bytes don't name it: its root, its kind and place, and a nonce."""
+    return F.sha2(F.concat_ws(":", storage_key, digest, kind, index.cast("string"), nonce).cast("binary"), 256)
+
+
+def packed_media(features: Column, tokens: Column, domain: bytes) -> Column:
+    """What the ordered media features that begin before ``tokens`` add to a context's bytes: nothing without any.
+
+    The domain, their count as 4 bytes, and each one's offset (8 bytes), length, size of modality and of identifier (4 bytes each), modality and
+    identifier; integers are little-endian.
+    """
+    used = F.filter(features, lambda x: x["offset"] < tokens)
+    turned = lambda n, size: F.unhex(F.array_join(F.reverse(F.regexp_extract_all(F.lpad(F.hex(n.cast("long")), 2 * size, "0"), F.lit("(..)"), F.lit(1))), ""))
+    size = lambda x: turned(F.octet_length(x), 4)
+    one = lambda x: F.concat(turned(x["offset"], 8), turned(x["length"], 4), size(x["modality"]), size(x["identifier"]), x["modality"].cast("binary"), x["identifier"].cast("binary"))
+    return F.when(F.size(used) > 0, F.aggregate(F.transform(used, one), F.concat(F.lit(domain), turned(F.size(used), 4)), lambda a, x: F.concat(a, x))).otherwise(F.lit(b""))
+
+
 def self_checksum_ok(document: Column, field: str = "checksum") -> Column:
     """Whether a JSON object's checksum, its last field, is the SHA-256 of the object without it."""
     rest = F.regexp_replace(document, rf',"{field}":"[0-9a-f]{{64}}"\}}$', "}")
