@@ -38,6 +38,14 @@ def little_endian(content: Column, at: int, size: int) -> Column:
     return total
 
 
+def smart_page(page: Column) -> Column:
+    """A 512-byte health log page: warning, temperature, spare and its threshold, percentage used, units read and written; null for another size."""
+    small = lambda at, size: little_endian(page, at, size).cast("int")
+    written = little_endian(page, 0x30, 16)
+    fields = F.struct(small(0, 1).alias("warning"), small(2, 2).alias("kelvin"), small(4, 1).alias("spare"), small(5, 1).alias("threshold"), small(6, 1).alias("used"), little_endian(page, 0x20, 16).alias("read_units"), written.alias("written_units"), (written != 0).alias("written_reported"))
+    return F.when(F.octet_length(page) == 512, fields)
+
+
 def metric_samples(text: Column) -> Column:
     """(name, value) of each sample line of a Prometheus text page."""
     found = F.regexp_extract_all(text, F.lit(r"(?m)^([a-zA-Z_:][\w:]*(?:\{[^}]*\})?\s+\S+)$"), F.lit(1))

@@ -10,30 +10,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import cut
 from .catalogue import expired, live_refs
-
-
-def _ordered(df: DataFrame, *order) -> DataFrame:
-    """Rows with their place in a total order, by a range sort and a running count over the partitions' sizes.
-
-    A window without partitions would bring all rows to one task; here each task numbers its own range
-    and adds the sizes of the ranges before, of which there are as many as partitions.
-    """
-    spark = df.sparkSession
-    width = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = cut(df.repartitionByRange(width, *order).sortWithinPartitions(*order).select("*", F.spark_partition_id().alias("part__"), F.monotonically_increasing_id().alias("at__")))
-    sizes = ranged.groupBy("part__").agg(F.count("*").alias("n__"), F.min("at__").alias("first__"))
-    before = sizes.withColumn("before__", F.coalesce(F.sum("n__").over(Window.orderBy("part__").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    placed = ranged.join(F.broadcast(before), "part__").withColumn("ord", F.col("before__") + F.col("at__") - F.col("first__") + 1)
-    return placed.drop("part__", "at__", "n__", "first__", "before__")
+from .ordering import ordered
 
 
 def removal_order(roots: DataFrame, now_ns: int, ttl_ns: int) -> DataFrame:
     """Place of each root that may go: invalid or expired ones first, then by recency and name."""
     phase = F.when(~F.col("valid") | expired(roots, now_ns, ttl_ns), 0).otherwise(1)
     open_ = roots.where(~(F.col("valid") & F.col("protected"))).withColumn("phase", phase)
-    return _ordered(open_, "phase", "mtime_ns", "digest")
+    return ordered(open_, "phase", "mtime_ns", "digest")
 
 
 def maintain(roots: DataFrame, refs: DataFrame, objects: DataFrame, *, now_ns: int, ttl_ns: int, max_bytes: int, low_bytes: int, budget: int | None = None) -> DataFrame:
@@ -59,8 +44,9 @@ def maintain(roots: DataFrame, refs: DataFrame, objects: DataFrame, *, now_ns: i
     return out.select("ord", "digest", "phase", "freed", before.alias("before"), evict.alias("evicted"))
 
 
-def _running(freed: DataFrame, block: int = 100_000) -> DataFrame:
-    """gone_before: bytes freed at smaller places. Blocks of places are summed first, so no task takes all rows."""
+def _running(freed: DataFrame, blocks: int = 50_000) -> DataFrame:
+    """gone_before: bytes freed at smaller places. Blocks of places are summed first, so no task takes all rows; there are ``blocks`` of them at most."""
+    block = max(100_000, -(-freed.count() // blocks))
     blocks = freed.withColumn("block__", F.floor(F.col("ord") / block))
     sums = blocks.groupBy("block__").agg(F.sum("freed").alias("s__"))
     before = sums.select("block__", F.coalesce(F.sum("s__").over(Window.orderBy("block__").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("b__"))
@@ -72,3 +58,16 @@ def report(decided: DataFrame) -> DataFrame:
     """One row of what a pass removes."""
     gone = F.col("evicted")
     return decided.agg(F.count("*").alias("candidates"), F.count_if(gone).alias("removed"), F.count_if(gone & (F.col("phase") == 0)).alias("removed_first"), F.coalesce(F.sum(F.when(gone, F.col("freed"))), F.lit(0)).alias("freed_bytes"))
+
+
+def totals(decided: DataFrame, roots: DataFrame, refs: DataFrame, objects: DataFrame, max_bytes: int) -> DataFrame:
+    """The pass's other measures: bytes before, reclaimed and after, orphans, whether the capacity is met, and the entries that survive."""
+    gone = decided.where("evicted")
+    left = roots.join(gone.select("digest"), "digest", "left_anti")
+    orphan = objects.join(live_refs(roots, refs).select("chunk").distinct(), "chunk", "left_anti").agg(F.count("*").alias("orphan_chunks"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("orphan_bytes"))
+    before = roots.agg(F.coalesce(F.sum("manifest_bytes"), F.lit(0)).alias("m")).crossJoin(objects.agg(F.coalesce(F.sum("bytes"), F.lit(0)).alias("o")))  # one row each
+    freed = gone.agg(F.coalesce(F.sum("freed"), F.lit(0)).alias("freed"))
+    x = before.crossJoin(orphan).crossJoin(freed).crossJoin(left.agg(F.count_if("valid").alias("surviving")))
+    x = x.withColumn("bytes_before", F.col("m") + F.col("o")).withColumn("bytes_reclaimed", F.col("freed") + F.col("orphan_bytes"))
+    after = F.col("bytes_before") - F.col("bytes_reclaimed")
+    return x.select("bytes_before", "bytes_reclaimed", after.alias("bytes_after"), "orphan_chunks", (after <= max_bytes).alias("satisfied"), "surviving")

@@ -42,10 +42,10 @@ def completeness(observed: DataFrame, expected: DataFrame) -> DataFrame:
     return both.withColumn("state", state).where("state is not null").select(*key, "state")
 
 
-def idle(metrics: DataFrame, names: list[str]) -> DataFrame:
+def idle(metrics: DataFrame, names: list[str], *by: str) -> DataFrame:
     """Whether all the named metrics, summed over their labels, are zero; null if one is absent."""
-    sums = metrics.where(F.col("name").isin(names)).groupBy("name").agg(F.sum("value").alias("value"))
-    return sums.agg(F.when(F.count("*") == len(names), F.bool_and(F.col("value") == 0)).alias("idle"))
+    sums = metrics.where(F.col("name").isin(names)).groupBy(*by, "name").agg(F.sum("value").alias("value"))
+    return sums.groupBy(*by).agg(F.when(F.count("*") == len(names), F.bool_and(F.col("value") == 0)).alias("idle"))
 
 
 def matrix_decision(cells: DataFrame) -> DataFrame:

@@ -77,8 +77,10 @@ def last_report(reports: DataFrame, order: str) -> DataFrame:
 
 def startup_batches(held: DataFrame, most: int = 512, page: int = 64) -> DataFrame:
     """The first ``most`` digests of each rank in pages."""
-    order = Window.partitionBy("rank").orderBy("digest")
-    numbered = held.distinct().withColumn("n", F.row_number().over(order)).where(F.col("n") <= most)
+    order = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy("digest"))
+    # the first of all are among the first of each part
+    few = held.distinct().withColumn("part", F.pmod(F.xxhash64("digest"), F.lit(1024))).withColumn("n", order("rank", "part")).where(F.col("n") <= most)
+    numbered = few.withColumn("n", order("rank")).where(F.col("n") <= most)
     return numbered.select("rank", "digest", F.floor((F.col("n") - 1) / page).cast("long").alias("page"))
 
 

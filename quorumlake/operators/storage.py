@@ -5,7 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordering import in_group
+
 MAGIC = b"QLC1"
+#: Parts that a cache's items are pruned in before they meet.
+PARTS = 1024
 
 
 def encode_chunk(records: Column) -> Column:
@@ -49,9 +53,14 @@ def sweep(held: DataFrame, restored: DataFrame, published: DataFrame) -> DataFra
 
 
 def tree_digest(files: DataFrame, by: str) -> DataFrame:
-    """Files, bytes and one digest over a tree's (path, sha256) in the order of paths."""
-    listing = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("path", "sha256"))), lambda x: F.concat(x["path"], F.lit(":"), x["sha256"])), "\n")
-    return files.groupBy(by).agg(F.count("*").alias("files"), F.sum("bytes").alias("bytes"), F.sha2(listing.cast("binary"), 256).alias("tree"))
+    """Files, bytes and one digest over a tree's (path, sha256).
+
+    Paths fall into 4,096 blocks by their own digest; a block's listing is in the order of its paths, and the tree's digest is over the blocks'. So no
+    task lists a whole tree, however many files it has.
+    """
+    lines = lambda a, b: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(a, b))), lambda x: F.concat(x[a], F.lit(":"), x[b])), "\n").cast("binary")
+    blocks = files.withColumn("block", F.substring(F.md5(F.col("path").cast("binary")), 1, 3)).groupBy(by, "block").agg(F.count("*").alias("files"), F.sum("bytes").alias("bytes"), F.sha2(lines("path", "sha256"), 256).alias("digest"))
+    return blocks.groupBy(by).agg(F.sum("files").alias("files"), F.sum("bytes").alias("bytes"), F.sha2(lines("block", "digest"), 256).alias("tree"))
 
 
 def compare_inventories(found: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -81,15 +90,18 @@ def shareable_prefixes(prefixes: DataFrame, most: int = 64) -> DataFrame:
 def recent_by_bytes(uses: DataFrame, cap: int) -> DataFrame:
     """Items of each cache that a byte-capped store keeps: the most recent whose running bytes fit; larger ones never stay."""
     last = uses.groupBy("cache", "item").agg(F.max("seq").alias("seq"), F.max_by("bytes", "seq").alias("bytes")).where(F.col("bytes") <= cap)
-    running = F.sum("bytes").over(Window.partitionBy("cache").orderBy(F.desc("seq")).rowsBetween(Window.unboundedPreceding, 0))
-    return last.withColumn("running", running).where(F.col("running") <= cap).select("cache", "item", "seq", "bytes")
+    running = lambda *by: F.sum("bytes").over(Window.partitionBy(*by).orderBy(F.desc("seq")).rowsBetween(Window.unboundedPreceding, 0))
+    # what doesn't fit among a part of the items doesn't fit among all; few are left of each part
+    few = last.withColumn("part", F.pmod(F.xxhash64("item"), F.lit(PARTS))).withColumn("running", running("cache", "part")).where(F.col("running") <= cap)
+    return few.withColumn("running", running("cache")).where(F.col("running") <= cap).select("cache", "item", "seq", "bytes")
 
 
 def recent_items(uses: DataFrame, most: int) -> DataFrame:
     """The ``most`` items of each cache that were used last."""
     last = uses.groupBy("cache", "item").agg(F.max("seq").alias("seq"))
-    order = F.row_number().over(Window.partitionBy("cache").orderBy(F.desc("seq")))
-    return last.withColumn("n", order).where(F.col("n") <= most).select("cache", "item", "seq")
+    order = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("seq")))
+    few = last.withColumn("part", F.pmod(F.xxhash64("item"), F.lit(PARTS))).withColumn("n", order("cache", "part")).where(F.col("n") <= most)
+    return few.withColumn("n", order("cache")).where(F.col("n") <= most).select("cache", "item", "seq")
 
 
 def acknowledged(acks: DataFrame, ranks: int) -> DataFrame:
@@ -113,6 +125,15 @@ def gather(rows: DataFrame, slots: DataFrame) -> DataFrame:
     return slots.join(rows, "slot", "left").select("request", "ordinal", "slot", "record")
 
 
+#: A worker statistic, the gauge that shows it, and its scale.
+GAUGES = {
+    **{k: (f"quorumlake_{k}", 1.0) for k in ("publication_pending_rank_slots", "maintenance_active_ranks", "maintenance_deletion_attempts", "maintenance_budget_exhausted", "maintenance_skipped_cooldown", "capture_delayed_requests", "capture_delayed_rank_slots", "capture_retained_pages", "capture_uncertain_ranks")},
+    "publication_oldest_pending_ms": ("quorumlake_publication_oldest_pending_seconds", 0.001),
+    "capture_oldest_delayed_ms": ("quorumlake_capture_oldest_delayed_seconds", 0.001),
+    **{f"counter_{k}": (f"quorumlake_{k}", 1.0) for k in ("restore_hit", "restore_skip_local_prefix", "restore_skip_oversize", "restore_skip_backlog", "quorum_incomplete", "multimodal_bypass", "store_skipped_delayed_limit", "load_verified", "load_failed", "attribution_requests_complete", "attribution_requests_incomplete")},
+}
+
+
 def gauges(stats: DataFrame, scales: dict[str, tuple[str, float]]) -> DataFrame:
     """(metric, value) of a one-row statistic, each under its name and scale."""
     pairs = [x for column, (name, scale) in scales.items() for x in (F.lit(name), F.col(column).cast("double") * scale)]
@@ -162,9 +183,10 @@ def surviving_aliases(aliases: DataFrame, stored: DataFrame) -> DataFrame:
 
 def report_pages(held: DataFrame, page: int = 64) -> DataFrame:
     """A rank's checkpoint in pages of ``page`` digests, with the count of pages and of digests."""
-    n = F.row_number().over(Window.partitionBy("rank").orderBy("digest")) - 1
-    total = F.count("*").over(Window.partitionBy("rank"))
-    return held.distinct().select("rank", "digest", n.alias("n"), total.alias("held")).groupBy("rank", F.floor(F.col("n") / page).cast("long").alias("page"), "held").agg(F.count("*").alias("digests"), F.min("digest").alias("first")).withColumn("pages", F.ceil(F.col("held") / page))
+    n = in_group(held.select("rank", "digest").distinct(), ["rank"], "digest")
+    pages = n.groupBy("rank", F.floor((F.col("n") - 1) / page).cast("long").alias("page")).agg(F.count("*").alias("digests"), F.min("digest").alias("first"))
+    total = held.select("rank", "digest").distinct().groupBy("rank").agg(F.count("*").alias("held"))
+    return pages.join(total, "rank").select("rank", "page", "held", "digests", "first", F.ceil(F.col("held") / page).alias("pages"))
 
 
 def capture_plan(sources: DataFrame, align: int = 1) -> DataFrame:

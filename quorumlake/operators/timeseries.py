@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut
+from .ordering import in_group
+
 HOUR_NS = 3_600_000_000_000
 
 
@@ -34,10 +37,17 @@ def counter_deltas(samples: DataFrame, unit: int = 512_000) -> DataFrame:
 
 
 def latency_summary(requests: DataFrame, *groups: str) -> DataFrame:
-    """Count, successes, failures, and nearest-rank percentiles of the successes."""
+    """Count, successes, failures, and nearest-rank percentiles of the successes.
+
+    The percentiles are read at their places in a range sort, so that a group of any size is never in one task.
+    """
     ok = F.when(F.col("ok"), F.col("elapsed"))
-    disc = lambda p: F.expr(f"percentile_disc({p}) within group (order by case when ok then elapsed end)")
-    return requests.groupBy(*groups).agg(F.count("*").alias("requests"), F.count_if("ok").alias("succeeded"), F.count_if(~F.col("ok")).alias("failed"), F.min(ok).alias("min"), disc(0.5).alias("p50"), disc(0.95).alias("p95"), F.max(ok).alias("max"))
+    counts = requests.groupBy(*groups).agg(F.count("*").alias("requests"), F.count_if("ok").alias("succeeded"), F.count_if(~F.col("ok")).alias("failed"), F.min(ok).alias("min"), F.max(ok).alias("max"))
+    counts = cut(counts)
+    placed = in_group(requests.where("ok").select(*groups, "elapsed"), list(groups), "elapsed").join(counts.select(*groups, "succeeded"), list(groups))
+    at = lambda p: F.greatest(F.lit(1), F.ceil(F.lit(p).cast("decimal(4,2)") * F.col("succeeded")))
+    read = placed.where((F.col("n") == at("0.5")) | (F.col("n") == at("0.95"))).groupBy(*groups).agg(F.max(F.when(F.col("n") == at("0.5"), F.col("elapsed"))).alias("p50"), F.max(F.when(F.col("n") == at("0.95"), F.col("elapsed"))).alias("p95"))
+    return counts.join(read, list(groups), "left").select(*groups, "requests", "succeeded", "failed", "min", "p50", "p95", "max")
 
 
 def stage_timings(marks: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators import catalogue as C
 from ..operators import eviction, gates, ledger, pages, quorum, structures, timeseries
+from ..session import cut
 from ..sources import model as M
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -61,7 +62,7 @@ def _held_prefixes(prefixes):
     select request, max(span) as span, max_by(digest, span) as digest from p where digest in (select digest from q) group by request""",
 )
 def _(spark, d):
-    prefixes = _prefixes(spark, d)
+    prefixes = cut(_prefixes(spark, d))  # candidates and holdings are the same digests
     return quorum.longest_prefix(prefixes, _held_prefixes(prefixes), 2)
 
 
@@ -71,7 +72,7 @@ def _(spark, d):
     select request, max(span) as span, max_by(digest, span) as digest from p join m using (request) where span < s and digest in (select digest from q) group by request""",
 )
 def _(spark, d):
-    prefixes = _prefixes(spark, d)
+    prefixes = cut(_prefixes(spark, d))
     spans = prefixes.groupBy("request").agg(F.max("span").alias("publish_span"))
     return quorum.publication_base(prefixes, _held_prefixes(prefixes), 2, spans)
 
@@ -154,9 +155,11 @@ def _(spark, d):
     return C.store_bytes(M.roots(spark, d), M.objects(spark, d))
 
 
-@query("J06_orphans", "with r as (select digest from roots where valid and digest % 40 = 1) select chunk, bytes from objects where chunk not in (select chunk from refs where digest in (select digest from r))", "roots", "refs", "objects")
+@query("J06_orphans", "with r as (select digest from roots where valid), o as (select * from objects union all select chunk + 1000000000, bytes from objects where chunk % 10 = 0) select chunk, bytes from o where chunk not in (select chunk from refs where digest in (select digest from r))", "roots", "refs", "objects")
 def _(spark, d):
-    return C.orphans(M.roots(spark, d).where("digest % 40 = 1"), M.refs(spark, d), M.objects(spark, d))
+    objects = M.objects(spark, d)
+    stray = objects.where("chunk % 10 = 0").select((F.col("chunk") + 1_000_000_000).alias("chunk"), "bytes")  # no root lists these
+    return C.orphans(M.roots(spark, d), M.refs(spark, d), objects.union(stray))
 
 
 ALIASES = "aliases as (select storage_key, digest + case when digest % 6 = 0 then 1000000000 else 0 end as digest, digest % 7 <> 0 as valid from roots where digest % 3 = 0)"
@@ -289,6 +292,13 @@ def _(spark, d):
     return eviction.report(eviction.maintain(M.roots(spark, d), M.refs(spark, d), M.objects(spark, d), **_limits(spark, d)))
 
 
+@query("A15_maintenance_totals", f"with {EVICT}, q as (select total, ob, (select count(*) from objects where chunk not in (select chunk from live)) as orphan_chunks, (select coalesce(sum(freed) filter (evicted), 0) from ev) as f, (select count(*) from roots where valid and digest not in (select digest from ev where evicted)) as surviving from t, orp) select total::bigint as bytes_before, (f + ob)::bigint as bytes_reclaimed, (total - f - ob)::bigint as bytes_after, orphan_chunks, total - f - ob <= (total * 9)::bigint // 10 as satisfied, surviving from q", "roots", "refs", "objects")
+def _(spark, d):
+    limits = _limits(spark, d)
+    roots, refs, objects = M.roots(spark, d), M.refs(spark, d), M.objects(spark, d)
+    return eviction.totals(cut(eviction.maintain(roots, refs, objects, **limits)), roots, refs, objects, limits["max_bytes"])
+
+
 @query("P09_expired", f"select storage_key, digest from roots where {NOW_NS} - mtime_ns >= {5 * YEAR_NS}", "roots")
 def _(spark, d):
     roots = M.roots(spark, d)
@@ -417,7 +427,7 @@ def _(spark, d):
 
 
 BASE_TAIL = f"""{INDEXED}, n as (select digest, count(*) as n from ix group by digest), al as (select digest, idx, chunk, idx * 256 as "start", least((idx + 1) * 256, n * 256 - digest % 3 * 50) as "end", n from ix join n using (digest)),
-base as (select digest, "start", "end", chunk, 'base' as part from al where digest % 2 = 0), tail as (select digest, "start" + (n - 1) * 256 as "start", "end" + (n - 1) * 256 + digest % 5 as "end", chunk + 1000000 as chunk, 'tail' as part from al where digest % 2 = 0 and digest % 7 <> 0),
+base as (select digest, "start", "end", chunk, 'base' as part from al), tail as (select digest, "start" + (n - 1) * 256 as "start", "end" + (n - 1) * 256 + digest % 5 as "end", chunk + 1000000 as chunk, 'tail' as part from al where digest % 7 <> 0),
 bt as (select digest, max("end") as b, max("end") // 256 * 256 as whole from base group by digest), lg as (select digest from tail join bt using (digest) group by digest having max("end") > max(b))"""
 
 
@@ -425,7 +435,8 @@ bt as (select digest, max("end") as b, max("end") // 256 * 256 as whole from bas
 def _(spark, d):
     n = F.count("*").over(Window.partitionBy("digest"))
     idx = F.col("idx").cast("long")
-    rows = _indexed(spark, d).where("digest % 2 = 0").withColumn("n", n).select("digest", "chunk", "n", (idx * 256).alias("start"), F.least((idx + 1) * 256, F.col("n") * 256 - F.col("digest") % 3 * 50).alias("end"))
+    rows = _indexed(spark, d).withColumn("n", n).select("digest", "chunk", "n", (idx * 256).alias("start"), F.least((idx + 1) * 256, F.col("n") * 256 - F.col("digest") % 3 * 50).alias("end"))
+    # every seventh root has no extension
     tail = rows.where("digest % 7 <> 0").select("digest", (F.col("start") + (F.col("n") - 1) * 256).alias("start"), (F.col("end") + (F.col("n") - 1) * 256 + F.col("digest") % 5).alias("end"), (F.col("chunk") + 1_000_000).alias("chunk"))
     return structures.extend(rows.drop("n"), tail, 256)
 
@@ -583,10 +594,10 @@ def _(spark, d):
     return gates.completeness(events, expected)
 
 
-@query("P17_idle", "with m as (select event_type as name, sum((event_id % 2) * 0)::bigint as v from events group by 1) select case when count(*) = 2 then bool_and(v = 0) end as idle from m where name in ('click', 'view')")
+@query("P17_idle", "with m as (select user_id, event_type as name, sum(event_id % 3)::bigint as v from events where event_type in ('click', 'view') group by 1, 2) select user_id, case when count(*) = 2 then bool_and(v = 0) end as idle from m group by user_id")
 def _(spark, d):
-    metrics = M.table(spark, d, "events").select(F.col("event_type").alias("name"), ((F.col("event_id") % 2) * 0).alias("value"))
-    return gates.idle(metrics, ["click", "view"])
+    metrics = M.table(spark, d, "events").select("user_id", F.col("event_type").alias("name"), (F.col("event_id") % 3).alias("value"))
+    return gates.idle(metrics, ["click", "view"], "user_id")
 
 
 # session state machines, replayed in order
@@ -633,9 +644,9 @@ def _(spark, d):
 def _(spark, d):
     from ..streaming import machines, replay
 
-    n = F.row_number().over(Window.partitionBy(F.col("user_id") % 4).orderBy("event_id"))
+    n = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id"))
     late = F.when(n % 10 == 0, n + 1).when((n % 10 == 1) & (n > 1), n - 1).otherwise(n)
-    events = _events(spark, d).select((F.col("user_id") % 4).alias("rank"), n.cast("long").alias("sequence"), late.cast("long").alias("seq"), F.lit("g").alias("generation"), F.array(F.col("user_id")).alias("added"), F.array(F.col("user_id") - 5).alias("removed"))
+    events = _events(spark, d).select(F.col("user_id").alias("rank"), n.cast("long").alias("sequence"), late.cast("long").alias("seq"), F.lit("g").alias("generation"), F.array(F.col("v")).alias("added"), F.array(F.col("v") - 5).alias("removed"))
     return replay.replay(events, "rank", machines.REPORTS)
 
 
@@ -643,7 +654,7 @@ def _(spark, d):
 def _(spark, d):
     from ..streaming import machines, replay
 
-    events = _events(spark, d).select((F.col("user_id") % 8).alias("pool"), F.col("event_id").alias("seq"), F.when(F.col("event_id") % 3 == 0, "release").otherwise("reserve").alias("event"), F.floor(F.col("event_id") / 6).cast("long").alias("lease"), F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: F.col("v") + i).alias("blocks"))
+    events = _events(spark, d).select(F.col("user_id").alias("pool"), F.col("event_id").alias("seq"), F.when(F.col("event_id") % 3 == 0, "release").otherwise("reserve").alias("event"), F.floor(F.col("v") / 20).cast("long").alias("lease"), F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: F.col("v") + i).alias("blocks"))
     return replay.replay(events, "pool", machines.LEASES)
 
 
@@ -662,19 +673,20 @@ def _(spark, d):
     return M.table(spark, d, "customer").select("c_custkey", hashing.canonical_digest(fields).alias("storage_key"))
 
 
-@query("H22_human_bytes", "with s as (select doc_id, n_chars * 700 as b from documents) select doc_id, b >= 1048576 as big from s")
+@query("H22_human_bytes", "with s as (select doc_id, n_chars * (1 + doc_id % 40 * 700) as b from documents) select doc_id, case when b >= 1073741824 then round_even(b / 1073741824.0::double, 1) || ' GiB' when b >= 1048576 then round_even(b / 1048576.0::double, 1) || ' MiB' when b >= 1024 then round_even(b / 1024.0::double, 1) || ' KiB' else b || ' B' end as text from s")
 def _(spark, d):
     from ..functions import hashing
 
-    docs = M.table(spark, d, "documents").select("doc_id", (F.col("n_chars") * 700).alias("b"))
-    return docs.select("doc_id", hashing.human_bytes(F.col("b")).endswith("MiB").alias("big"))
+    docs = M.table(spark, d, "documents").select("doc_id", (F.col("n_chars") * (1 + F.col("doc_id") % 40 * 700)).alias("b"))
+    return docs.select("doc_id", hashing.human_bytes(F.col("b")).alias("text"))
 
 
-@query("P13_payload_integrity", "select doc_id, doc_id % 4 <> 1 as ok from documents")
+@query("P13_payload_integrity", "select doc_id, case doc_id % 4 when 0 then not contains(text, 'th') when 1 then not contains(text, 'an') when 2 then not contains(text, 'er') else true end as ok from documents")
 def _(spark, d):
     from ..functions import hashing
 
     k, content = F.col("doc_id") % 4, F.col("text").cast("binary")
-    sha = F.when(k == 0, F.sha2(content, 256)).when(k == 1, F.sha2(F.concat(content, F.lit("x").cast("binary")), 256))
-    crc = F.when(k == 2, F.crc32(content))
+    changed = lambda what: F.replace("text", F.lit(what), F.lit("?")).cast("binary")
+    sha = F.when(k == 0, F.sha2(changed("th"), 256)).when(k == 1, F.sha2(changed("an"), 256))
+    crc = F.when(k == 2, F.crc32(changed("er")))
     return M.table(spark, d, "documents").select("doc_id", hashing.payload_matches(content, sha, crc).alias("ok"))

@@ -410,3 +410,141 @@ def _(spark, d):
     rows = M.table(spark, d, "lineitem").where("l_returnflag in ('A', 'R')")
     cells = rows.groupBy(F.when(F.col("l_returnflag") == "A", "managed").otherwise("pinned").alias("mode"), (2 + F.col("l_linenumber") % 2).alias("depth")).agg((F.count_if(F.col("l_partkey") % 60 == 1) / F.count("*")).alias("block_rate"), F.max("l_quantity").cast("double").alias("p95"))
     return gates.matrix_decision(cells)
+
+
+# files, gauges, log pages
+
+
+@query("S02_scan_files")
+def _(spark, d):
+    from ..sources import files
+
+    found = files.scan_files(spark, d, "*.parquet")
+    return found.select(F.regexp_extract("path", r"([^/]+)$", 1).alias("name"), "bytes", (F.col("modified_us") > 0).alias("dated"))
+
+
+@query("S03_parse_roots", f"with {INDEXED}, n as (select digest, count(*) as n from ix group by digest) select sha256(digest::varchar) as digest, digest % 7 <> 0 and (digest % 9 <> 0 or n < 3) as valid, case when digest % 7 <> 0 and (digest % 9 <> 0 or n < 3) then n else 0 end as refs from n")
+def _(spark, d):
+    from ..sources import files
+
+    end = (F.col("idx").cast("long") + 1) * 256
+    chunk = F.struct("idx", _hex(F.col("chunk")).alias("sha256"), F.lit(10).alias("bytes"), (end - 256 + F.when((F.col("digest") % 9 == 0) & (F.col("idx") == 2), 1).otherwise(0)).alias("logical_start"), end.alias("logical_end"))
+    x = _indexed(spark, d).groupBy("digest").agg(F.array_sort(F.collect_list(chunk)).alias("c"), F.count("*").alias("n"))
+    tokens = F.col("n") * 256 + F.when(F.col("digest") % 7 == 0, 1).otherwise(0)
+    text = F.to_json(F.struct(F.lit("k").alias("storage_key"), _hex(F.col("digest")).alias("context_digest"), tokens.alias("committed_tokens"), F.col("c").alias("chunks")))
+    parsed = files.parse_roots(x.select(F.lit("p").alias("path"), text.alias("text"), F.lit(0).alias("modified_ns")))
+    return parsed.select("digest", "valid", F.size("refs").cast("long").alias("refs"))
+
+
+@query("S18_strict_json", "select event_id, user_id, event_type, floor(value)::bigint as units from events")
+def _(spark, d):
+    from ..sources import files
+
+    lines = M.table(spark, d, "events").select(F.to_json(F.struct("event_id", "user_id", "event_type", F.floor("value").alias("units"))).alias("value"))
+    return files.strict_json(lines, "event_id long, user_id long, event_type string, units long")
+
+
+@query("K05_committed_roots", "select storage_key, digest, manifest_bytes from roots", "roots")
+def _(spark, d):
+    from ..session import new_folder
+    from ..sources import files
+
+    folder = new_folder(spark)
+    files.write_roots(M.roots(spark, d).select("storage_key", "digest", "manifest_bytes").withColumn("storage_key", F.col("storage_key") % 16).withColumn("key", F.col("digest")), folder)
+    back = spark.read.parquet(folder)
+    owner = M.roots(spark, d).select("digest", F.col("storage_key").alias("owner"))
+    return back.join(owner, "digest").where(F.col("owner") % 16 == F.col("storage_key")).select(F.col("owner").alias("storage_key"), "digest", "manifest_bytes")
+
+
+@query("K04_published_batches", "with r as (select l_orderkey as digest, count(distinct l_partkey) as chunks, 1000 + l_orderkey % 97 as manifest_bytes from lineitem group by l_orderkey) select digest, manifest_bytes, chunks from r")
+def _(spark, d):
+    from ..session import new_folder
+    from ..streaming import publish
+
+    folder = new_folder(spark)
+    rows = _indexed(spark, d).select("digest", "chunk", F.lit(10).alias("bytes"), (1000 + F.col("digest") % 97).alias("manifest_bytes"))
+    for number, part in enumerate((rows.where("digest % 2 = 0"), rows.where("digest % 2 = 1"), rows.where("digest % 2 = 1"))):
+        publish.write_batch(part, folder, min(number, 1))  # the last batch is run again
+    objects = spark.read.parquet(f"{folder}/objects").select("chunk").distinct()
+    counted = rows.join(objects, "chunk").groupBy("digest").agg(F.count("*").alias("chunks"))
+    return spark.read.parquet(f"{folder}/roots").join(counted, "digest").select("digest", "manifest_bytes", "chunks")
+
+
+@query("S16_smart_pages", "select event_id, event_id % 4 as warning, 300 + event_id % 50 as kelvin, event_id % 101 as spare, 10 as threshold, event_id % 255 as used, (event_id * 7)::varchar as read_units, (event_id % 9 * 1000003)::varchar as written_units, event_id % 9 <> 0 as written_reported from events")
+def _(spark, d):
+    k = F.col("event_id")
+    turned = lambda n, size: F.array_join(F.reverse(F.regexp_extract_all(F.lpad(F.hex(n.cast("long")), 2 * size, "0"), F.lit("(..)"), F.lit(1))), "")
+    page = F.unhex(F.rpad(F.concat(turned(k % 4, 1), F.lit("00"), turned(300 + k % 50, 2), turned(k % 101, 1), turned(F.lit(10), 1), turned(k % 255, 1), F.lit("00" * 25), turned(k * 7, 16), turned(k % 9 * 1_000_003, 16)), 1024, "0"))
+    r = M.table(spark, d, "events").select("event_id", hashing.smart_page(page).alias("p"))
+    return r.select("event_id", "p.warning", "p.kelvin", "p.spare", "p.threshold", "p.used", F.col("p.read_units").cast("string").alias("read_units"), F.col("p.written_units").cast("string").alias("written_units"), "p.written_reported")
+
+
+def _gauges_sql() -> str:
+    from ..operators.storage import GAUGES
+
+    stats = ", ".join(f"coalesce(sum(event_id % {i}), 0)::double * {scale}" for i, (_, scale) in enumerate(GAUGES.values(), 2))
+    names = ", ".join(f"'{name}'" for name, _ in GAUGES.values())
+    return f"select unnest([{names}]) as metric, unnest([{stats}]) as value from events"
+
+
+@query("K16_all_gauges", _gauges_sql())
+def _(spark, d):
+    from ..operators import storage as S
+
+    stats = M.table(spark, d, "events").agg(*(F.sum(F.col("event_id") % i).alias(key) for i, key in enumerate(S.GAUGES, 2)))
+    return S.gauges(stats, S.GAUGES)
+
+
+@query("K15_restore_json", """with f as (select user_id, event_type as phase, min_by(floor(value)::bigint, event_id) as ms from events group by 1, 2), w as (select user_id, coalesce(sum(ms) filter (phase = 'click'), 0)::bigint as c, coalesce(sum(ms) filter (phase = 'view'), 0)::bigint as v from f group by user_id) select user_id as restore, '{"click_ms":' || c || ',"restore":' || user_id || ',"service_ms":' || (c + v) || ',"view_ms":' || v || '}' as json from w""")
+def _(spark, d):
+    from ..operators import storage as S
+
+    phases = M.table(spark, d, "events").select(F.col("user_id").alias("restore"), F.col("event_type").alias("phase"), F.col("event_id").alias("seq"), F.floor("value").cast("long").alias("ms"))
+    timed = S.restore_phases(phases, ["click", "view"])
+    return timed.select("restore", F.to_json(F.struct(*sorted(timed.columns))).alias("json"))
+
+
+@query("K15_heat_json", """with h as (select user_id as key, count(*) as hits from events group by user_id) select key, '{"capacity":4096,"hits":' || least(hits, 255) || ',"key":' || key || '}' as json from h""")
+def _(spark, d):
+    hits = M.table(spark, d, "events").groupBy(F.col("user_id").alias("key")).agg(F.least(F.count("*"), F.lit(255)).alias("hits"))
+    return hits.select("key", F.to_json(F.struct(F.lit(4096).alias("capacity"), "hits", "key")).alias("json"))
+
+
+@query("K15_sample_json", """select event_id, '{"at_ns":' || epoch_us(ts) * 1000 || ',"device":"d' || user_id || '","units":' || event_id * 3 || '}' as json from events""")
+def _(spark, d):
+    at = M.nanos("ts").alias("at_ns")
+    return M.table(spark, d, "events").select("event_id", F.to_json(F.struct(at, F.concat(F.lit("d"), F.col("user_id")).alias("device"), (F.col("event_id") * 3).alias("units"))).alias("json"))
+
+
+def _machines():
+    """Replays of the write side's machines, each over every user's events; such state has no plain SQL."""
+    from ..streaming import machines, replay, runtime
+    from .catalogue import _events
+
+    def events(spark, d):
+        n = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")) - 1
+        return _events(spark, d).withColumn("n", n.cast("long"))
+
+    def choose(*names):
+        return F.element_at(F.array(*map(F.lit, names)), (F.col("n") % len(names) + 1).cast("int")).alias("event")
+
+    seq = lambda: F.col("n").alias("seq")
+    cases = {
+        "R02_snapshot_runtime": ("context", runtime.RUNTIME, lambda e: e.select(F.col("user_id").alias("context"), seq(), choose("begin", "accept", "accept", "written", "written", "commit", "abort"), F.when(F.col("n") % 7 == 0, 2).when(F.col("n") % 7 < 3, F.col("n") % 7 - 1).otherwise(4 - F.col("n") % 7).cast("long").alias("batch"))),
+        "R03_journal": ("context", runtime.WRITER, lambda e: e.select(F.col("user_id").alias("context"), seq(), choose("append", "append", "flushed"), (F.col("n") - F.floor((F.col("n") + 1) / 3)).alias("start"), (F.col("n") - F.floor((F.col("n") + 1) / 3) + 1).alias("end"))),
+        "R11_report_builder": ("rank", runtime.BUILDER, lambda e: e.select(F.col("user_id").alias("rank"), seq(), choose("change", "report"), F.array("v", F.col("v") + 1).alias("added"), F.array(F.col("v") - 3).alias("removed"))),
+        "R15_base_flights": ("host", machines.cohort_machine(8, 16, 1000), lambda e: e.select(F.col("user_id").alias("host"), seq(), F.when(F.col("n") % 4 == 3, "finish").otherwise("load").alias("event"), F.col("n").alias("load"), (F.col("v") % 5).cast("string").alias("evidence"), (F.col("v") * 3).alias("bytes"))),
+        "R19_maintenance": ("store", runtime.maintenance_machine(500, 200, 5, budget=300), lambda e: e.select(F.col("user_id").alias("store"), seq(), choose("stored", "stored", "tick", "busy"), F.col("n").alias("at"), (F.col("v") * 3).alias("bytes"))),
+        "R22_ring": ("ring", runtime.RING, lambda e: e.select(F.col("user_id").alias("ring"), seq(), choose("submit", "submit", "complete", "claim", "release", "abandon"), (F.col("v") % 4).alias("context"), (F.col("v") % 3).cast("int").alias("slot"))),
+    }
+
+    def put(name, key, machine, make):
+        @query(name)
+        def _(spark, d):
+            return replay.replay(make(events(spark, d)), key, machine)
+
+    for name, case in cases.items():
+        put(name, *case)
+
+
+_machines()

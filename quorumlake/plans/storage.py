@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions import hashing
 from ..operators import storage as S
+from ..session import cut
 from ..sources import model as M
-from .catalogue import INDEXED, _events, _indexed, query
+from .catalogue import INDEXED, PREFIXES, _events, _indexed, _prefixes, query
 
 
 @query("S07_chunk_round_trip", "select doc_id, octet_length(encode(text))::bigint as text_bytes, octet_length(encode(source))::bigint as source_bytes, true as intact, false as damaged_intact from documents")
@@ -63,7 +64,7 @@ def _files(spark, d):
     return M.table(spark, d, "documents").select("doc_id", "source", F.concat(F.lit("f"), F.lpad(F.col("doc_id").cast("string"), 8, "0")).alias("path"), F.octet_length("text").cast("long").alias("bytes"), F.sha2("text", 256).alias("sha256"))
 
 
-@query("S20_tree_digest", f"with {FILES} select source, count(*) as files, sum(bytes)::bigint as bytes, sha256(string_agg(path || ':' || sha256, chr(10) order by path)) as tree from f group by source")
+@query("S20_tree_digest", f"with {FILES}, b as (select source, md5(path)[1:3] as block, count(*) as files, sum(bytes)::bigint as bytes, sha256(string_agg(path || ':' || sha256, chr(10) order by path)) as digest from f group by 1, 2) select source, sum(files)::bigint as files, sum(bytes)::bigint as bytes, sha256(string_agg(block || ':' || digest, chr(10) order by block)) as tree from b group by source")
 def _(spark, d):
     return S.tree_digest(_files(spark, d), "source")
 
@@ -81,17 +82,9 @@ def _(spark, d):
     return S.clear_once(requests, requests.where("token % 3 = 0").select("token").distinct())
 
 
-SHARE = "rq as (select doc_id as request, unnest([32, 64, 128, 256]) as span, text from documents), p as (select request, span, md5(text[1:span]) as digest from rq), fl as (select span, digest, min(request) as flight from p where request % 4 = 0 group by span, digest)"
-
-
-def _prefix_rows(spark, d):
-    docs = M.table(spark, d, "documents").select(F.col("doc_id").alias("request"), "text", F.explode(F.array(*map(F.lit, (32, 64, 128, 256)))).alias("span"))
-    return docs.select("request", "span", F.md5(F.substring("text", F.lit(1), F.col("span")).cast("binary")).alias("digest"))
-
-
-@query("J02_shareable_flight", f"with {SHARE} select request, max(span) as span, max_by(flight, span::bigint * 1000000000 + flight) as flight from p join fl using (span, digest) where request % 4 <> 0 group by request")
+@query("J02_shareable_flight", f"with {PREFIXES}, fl as (select span, digest, min(request) as flight from p where request % 4 = 0 group by span, digest) select request, max(span) as span, max_by(flight, span::bigint * 1000000000 + flight) as flight from p join fl using (span, digest) where request % 4 <> 0 group by request")
 def _(spark, d):
-    rows = _prefix_rows(spark, d)
+    rows = cut(_prefixes(spark, d))  # every boundary of the whole texts
     flights = rows.where("request % 4 = 0").groupBy("span", "digest").agg(F.min("request").alias("flight"))
     return S.shareable_flight(rows.where("request % 4 <> 0"), flights)
 
@@ -202,7 +195,9 @@ def _machine(name: str, key: str):
         def run(spark, d):
             from ..streaming import replay
 
-            events, machine = f(_events(spark, d))
+            # each user is a key of its own, whose events count from 0
+            n = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")) - 1
+            events, machine = f(_events(spark, d).withColumn("event_id", n.cast("long")))
             return replay.replay(events, key, machine)
 
         query(name)(run)
@@ -216,7 +211,7 @@ def _(events):
     from ..streaming import machines
 
     chunks = F.array(F.col("v") % 20, F.col("user_id") % 7 + 100)
-    return events.select((F.col("user_id") % 4).alias("store"), F.col("event_id").alias("seq"), F.when(F.col("event_id") % 4 == 0, "remove").otherwise("publish").alias("event"), F.floor(F.col("event_id") / 8).cast("long").alias("context"), chunks.alias("chunks"), F.transform(chunks, lambda c: c * 10 + 1).alias("bytes")), machines.LEDGER
+    return events.select(F.col("user_id").alias("store"), F.col("event_id").alias("seq"), F.when(F.col("event_id") % 4 == 0, "remove").otherwise("publish").alias("event"), F.floor(F.col("event_id") / 8).cast("long").alias("context"), chunks.alias("chunks"), F.transform(chunks, lambda c: c * 10 + 1).alias("bytes")), machines.LEDGER
 
 
 @_machine("R12_replica_receiver", "peer")
@@ -225,21 +220,21 @@ def _(events):
 
     k = F.col("event_id") % 4
     what = F.when(k == 0, "begin").when(k == 3, "commit").otherwise("put")
-    return events.select((F.col("user_id") % 4).alias("peer"), F.col("event_id").alias("seq"), what.alias("event"), F.floor(F.col("event_id") / 4).cast("long").alias("transaction"), F.lit(1).cast("long").alias("generation"), F.col("event_id").alias("at"), F.when(k == 3, 2).otherwise(k - 1).cast("long").alias("frame"), F.col("event_type").alias("digest"), (F.col("v") % 9 != 0).alias("intact")), machines.RECEIVER
+    return events.select(F.col("user_id").alias("peer"), F.col("event_id").alias("seq"), what.alias("event"), F.floor(F.col("event_id") / 4).cast("long").alias("transaction"), F.lit(1).cast("long").alias("generation"), F.col("event_id").alias("at"), F.when(k == 3, 2).otherwise(k - 1).cast("long").alias("frame"), F.col("event_type").alias("digest"), (F.col("v") % 9 != 0).alias("intact")), machines.RECEIVER
 
 
 @_machine("W07_cohort_admission", "host")
 def _(events):
     from ..streaming import machines
 
-    return events.select((F.col("user_id") % 2).alias("host"), F.col("event_id").alias("seq"), F.when(F.col("event_id") % 5 == 0, "finish").otherwise("load").alias("event"), F.col("event_id").alias("load"), (F.col("user_id") % 12).cast("string").alias("evidence"), (F.col("v") % 50).alias("bytes")), machines.cohort_machine(4, 4, 120)
+    return events.select(F.col("user_id").alias("host"), F.col("event_id").alias("seq"), F.when(F.col("event_id") % 5 == 0, "finish").otherwise("load").alias("event"), F.col("event_id").alias("load"), (F.col("v") % 12).cast("string").alias("evidence"), (F.col("v") % 50).alias("bytes")), machines.cohort_machine(4, 4, 120)
 
 
-@query("A11_probe_cells", "with r as (select l_returnflag as mode, l_linenumber as depth, l_suppkey % 4 as rank, (l_partkey % 50)::bigint as blocks, l_quantity as p95 from lineitem where l_orderkey % 500 = 1) select mode, depth, count(*) as records, sum(blocks)::bigint as blocks, max(p95) as p95, count(distinct rank) = 4 and count(*) = 4 as complete from r group by mode, depth")
+@query("A11_probe_cells", "with r as (select l_returnflag as mode, l_linenumber as depth, l_suppkey % 4 as rank, (l_partkey % 50)::bigint as blocks, l_quantity as p95 from lineitem) select mode, depth, count(*) as records, sum(blocks)::bigint as blocks, max(p95) as p95, count(distinct rank) = 4 and count(*) = 4 as complete from r group by mode, depth")
 def _(spark, d):
     from ..operators import gates
 
-    records = M.table(spark, d, "lineitem").where("l_orderkey % 500 = 1").select(F.col("l_returnflag").alias("mode"), F.col("l_linenumber").alias("depth"), (F.col("l_suppkey") % 4).alias("rank"), (F.col("l_partkey") % 50).alias("blocks"), F.col("l_quantity").alias("p95"))
+    records = M.table(spark, d, "lineitem").select(F.col("l_returnflag").alias("mode"), F.col("l_linenumber").alias("depth"), (F.col("l_suppkey") % 4).alias("rank"), (F.col("l_partkey") % 50).alias("blocks"), F.col("l_quantity").alias("p95"))
     return gates.probe_cells(records)
 
 
@@ -263,7 +258,7 @@ def _(events):
     from ..streaming import machines
 
     kind = F.element_at(F.array(*map(F.lit, ("union", "union", "difference", "symmetric"))), (F.col("event_id") % 4 + 1).cast("int"))
-    return events.select((F.col("user_id") % 4).alias("owner"), F.col("event_id").alias("seq"), kind.alias("event"), F.array(F.col("v") % 30, F.col("user_id") % 30).alias("items")), machines.REVISIONS
+    return events.select(F.col("user_id").alias("owner"), F.col("event_id").alias("seq"), kind.alias("event"), F.array(F.col("v") % 30, F.col("user_id") % 30).alias("items")), machines.REVISIONS
 
 
 @_machine("R13_replica_sender", "peer")
@@ -271,14 +266,14 @@ def _(events):
     from ..streaming import machines
 
     kind = F.when(F.col("event_id") % 97 == 0, "lost").when(F.col("event_id") % 97 == 5, "joined").when(F.col("event_id") % 3 == 0, "credit").otherwise("send")
-    return events.select((F.col("user_id") % 4).alias("peer"), F.col("event_id").alias("seq"), kind.alias("event"), F.when(kind == "credit", F.floor(F.col("event_id") / 6)).otherwise(F.col("v") * 1000).cast("long").alias("n")), machines.SENDER
+    return events.select(F.col("user_id").alias("peer"), F.col("event_id").alias("seq"), kind.alias("event"), F.when(kind == "credit", F.floor(F.col("event_id") / 6)).otherwise(F.col("v") * 1000).cast("long").alias("n")), machines.SENDER
 
 
 @_machine("R14_timed_leases", "host")
 def _(events):
     from ..streaming import machines
 
-    return events.select((F.col("user_id") % 2).alias("host"), F.col("event_id").alias("seq"), F.col("event_id").alias("at"), F.when(F.col("event_id") % 9 == 0, "release").otherwise("request").alias("event"), (F.col("user_id") % 20).alias("digest")), machines.lease_machine(25)
+    return events.select(F.col("user_id").alias("host"), F.col("event_id").alias("seq"), F.col("event_id").alias("at"), F.when(F.col("event_id") % 9 == 0, "release").otherwise("request").alias("event"), (F.col("v") % 20).alias("digest")), machines.lease_machine(25)
 
 
 @query("H15_packed_positions", "with p as (select o_orderkey, range(o_orderkey % 4, o_orderkey % 23, 4) as p from orders) select o_orderkey, array_to_string(list_transform(p, lambda x: printf('%02x%02x0000', x & 255, x >> 8)), '') as packed, true as same from p")
@@ -317,10 +312,10 @@ def _(spark, d):
     return layers.withColumn("offset", F.sum("bytes").over(over) - F.col("bytes"))
 
 
-@query("T14_prompt_cohort", "select i as prompt, sha256(repeat('token ' || i || ' ', 64)) as digest, length(repeat('token ' || i || ' ', 64)) as chars from range(1000) t(i)")
+@query("T14_prompt_cohort", "select c_custkey as prompt, sha256(repeat('token ' || c_custkey || ' ', 64)) as digest, length(repeat('token ' || c_custkey || ' ', 64)) as chars from customer")
 def _(spark, d):
-    text = F.expr("repeat(concat('token ', id, ' '), 64)")
-    return spark.range(1000).select(F.col("id").alias("prompt"), F.sha2(text.cast("binary"), 256).alias("digest"), F.length(text).cast("long").alias("chars"))
+    text = F.expr("repeat(concat('token ', c_custkey, ' '), 64)")
+    return M.table(spark, d, "customer").select(F.col("c_custkey").alias("prompt"), F.sha2(text.cast("binary"), 256).alias("digest"), F.length(text).cast("long").alias("chars"))
 
 
 @query("E05_finished_unleased", "select distinct l_orderkey as request from lineitem where l_linestatus = 'F' except select l_orderkey from lineitem where l_linestatus = 'O'")
@@ -345,16 +340,16 @@ def _(events):
     frame = hashing.encode_frame(F.struct(F.col("event_id").alias("id")), F.repeat(F.lit("x"), (F.col("v") % 20).cast("int")).cast("binary"))
     text = F.lower(F.hex(frame))
     halves = F.array(F.substring(text, 1, 14), F.substring(text, F.lit(15), F.length(text)))
-    pieces = events.select((F.col("user_id") % 4).alias("link"), "event_id", F.posexplode(halves).alias("half", "piece"))
+    pieces = events.select(F.col("user_id").alias("link"), "event_id", F.posexplode(halves).alias("half", "piece"))
     return pieces.select("link", (F.col("event_id") * 2 + F.col("half")).alias("seq"), "piece"), machines.FRAMES
 
 
-@query("S12_materialise_snapshot", "with s as (select root, layer, stage, \"start\" as a, least(\"end\", coalesce(min(\"start\") over (partition by root, layer order by stage rows between 1 following and unbounded following), \"end\")) as live, \"end\" as e from st), p as (select *, unnest(range(a, e)) as page from s) select root, layer, page, stage * 1000 + page as payload from p where page < live".replace("with s as", "with st as (select l_orderkey as root, l_suppkey % 3 as layer, row_number() over (partition by l_orderkey, l_suppkey % 3 order by l_partkey, l_suppkey, l_linenumber, l_extendedprice, l_discount, l_tax, l_shipdate) as stage, (l_partkey % 40)::bigint as \"start\", (l_partkey % 40 + l_quantity % 8)::bigint as \"end\" from lineitem), s as"))
+@query("S12_materialise_snapshot", "with s as (select root, layer, stage, \"start\" as a, least(\"end\", coalesce(min(\"start\") over (partition by root, layer order by stage rows between 1 following and unbounded following), \"end\")) as live, \"end\" as e from st), p as (select *, unnest(range(a, e)) as page from s) select root, layer, page, stage * 1000 + page as payload from p where page < live".replace("with s as", "with st as (select l_orderkey as root, l_suppkey % 3 as layer, row_number() over (partition by l_orderkey, l_suppkey % 3 order by l_partkey, l_suppkey, l_linenumber, l_extendedprice, l_discount, l_tax, l_shipdate) as stage, (l_partkey % 40)::bigint as \"start\", (l_partkey % 40 + l_quantity)::bigint as \"end\" from lineitem), s as"))
 def _(spark, d):
     from ..operators import structures
     from .catalogue import _stages
 
-    stages = _stages(spark, d).withColumn("end", F.col("start") + (F.col("end") - F.col("start")) % 8)
+    stages = _stages(spark, d)
     pieces = stages.where("`end` > start").select("root", "layer", "stage", F.explode(F.sequence("start", F.col("end") - 1)).alias("page")).withColumn("payload", F.col("stage") * 1000 + F.col("page"))
     return S.materialise(structures.overlay(stages), pieces)
 

@@ -38,3 +38,11 @@ def cut(df):
             raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="quorumlake-"))
     return df.checkpoint(eager=True)
+
+
+def new_folder(spark: SparkSession) -> str:
+    """A new path in the folder that the cluster shares."""
+    import uuid
+
+    cut(spark.range(0))  # sees to it that there is a shared folder
+    return f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/t-{uuid.uuid4().hex}"

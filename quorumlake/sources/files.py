@@ -22,9 +22,14 @@ def read_chunks(spark: SparkSession, path: str, wanted: DataFrame | None = None)
 
 def read_strict_json(spark: SparkSession, path: str, schema: str | T.StructType) -> DataFrame:
     """JSON lines of a closed schema; a malformed line or an unknown or missing field fails the read."""
+    return strict_json(spark.read.text(path), schema)
+
+
+def strict_json(lines: DataFrame, schema: str | T.StructType) -> DataFrame:
+    """The same of a table of lines (value)."""
     want = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
     names = [f.name for f in want]
-    lines = spark.read.text(path).where(F.length(F.trim("value")) > 0)
+    lines = lines.where(F.length(F.trim("value")) > 0)
     keys = F.array_sort(F.json_object_keys("value"))
     checked = lines.withColumn("value", F.when(keys == F.array(*map(F.lit, sorted(names))), F.col("value")).otherwise(F.raise_error(F.concat(F.lit("fields differ: "), F.col("value")))))
     return checked.select(F.from_json("value", want, {"mode": "FAILFAST"}).alias("x")).select("x.*")

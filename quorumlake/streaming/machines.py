@@ -206,19 +206,22 @@ def chunk_ledger(state: dict, event: dict) -> list[dict]:
     Emits after each accepted event the bytes that only this context holds, and the ledger's total.
     """
     sizes, users, contexts = (state.setdefault(x, {}) for x in ("sizes", "users", "contexts"))
-    name, say = event["context"], lambda what, own=None: [{"seq": event["seq"], "context": event["context"], "what": what, "marginal_bytes": own, "total_bytes": sum(sizes.values())}]
+    state.setdefault("total", 0)
+    name, say = str(event["context"]), lambda what, own=None: [{"seq": event["seq"], "context": event["context"], "what": what, "marginal_bytes": own, "total_bytes": state["total"]}]
     if event["event"] == "remove":
         for chunk in contexts.pop(name, []):
             users[chunk] -= 1
             if not users[chunk]:
-                del users[chunk], sizes[chunk]
+                state["total"] -= sizes.pop(chunk)
+                del users[chunk]
         return say("removed")
-    given = list(zip(event["chunks"], event["bytes"], strict=True))
+    given = list(zip(map(str, event["chunks"]), event["bytes"], strict=True))
     named = dict(given)
     if name in contexts or any(named[c] != b or sizes.get(c, b) != b for c, b in given):
         return say("rejected")
     contexts[name] = sorted(named)
     for chunk, size in named.items():
+        state["total"] += 0 if chunk in sizes else size
         sizes[chunk] = size
         users[chunk] = users.get(chunk, 0) + 1
     return say("published", sum(b for c, b in named.items() if users[c] == 1))
@@ -230,12 +233,12 @@ def receiver(state: dict, event: dict) -> list[dict]:
     Events carry their time, so a replay expires what a timer would. A repeated frame with the same digest is inert.
     """
     open_, last = state.setdefault("open", {}), state.setdefault("generations", {})
-    say = lambda what, name=None: {"seq": event["seq"], "transaction": name or event["transaction"], "what": what}
+    say = lambda what, name=None: {"seq": event["seq"], "transaction": event["transaction"] if name is None else name, "what": what}
     out = []
-    for name in [n for n, t in open_.items() if event["at"] - t["at"] >= WINDOW_SECONDS]:
-        del open_[name]
-        out.append(say("expired", name))
-    name, generation = event["transaction"], event["generation"]
+    while open_ and event["at"] - open_[first := next(iter(open_))]["at"] >= WINDOW_SECONDS:  # in the order of their last event
+        del open_[first]
+        out.append(say("expired", int(first)))
+    name, generation = str(event["transaction"]), event["generation"]
     if generation < last.get(name, 0):
         return [*out, say("stale")]
     now = open_.get(name)
@@ -243,11 +246,13 @@ def receiver(state: dict, event: dict) -> list[dict]:
         if now and now["generation"] == generation:
             return [*out, say("duplicate")]
         last[name] = generation
+        open_.pop(name, None)
         open_[name] = {"generation": generation, "at": event["at"], "frames": {}}
         return [*out, say("ok")]
     if not now or now["generation"] != generation:
         return [*out, say("rejected")]
-    now["at"] = event["at"]
+    open_[name] = open_.pop(name) | {"at": event["at"]}
+    now = open_[name]
     if event["event"] == "put":
         known = now["frames"].get(str(event["frame"]))
         if known is None and event["intact"]:
@@ -270,11 +275,15 @@ def cohort_admission(flights: int, members: int, cap_bytes: int):
         say = lambda what: [{"seq": event["seq"], "load": event["load"], "what": what}]
         one = open_.get(name)
         if event["event"] == "finish":
-            return say("finished") if open_.pop(name, None) else say("unknown")
+            if one is None:
+                return say("unknown")
+            state["bytes"] -= open_.pop(name)["bytes"]
+            return say("finished")
         if one is None:
-            if len(open_) >= flights or sum(x["bytes"] for x in open_.values()) + event["bytes"] > cap_bytes:
+            if len(open_) >= flights or state.get("bytes", 0) + event["bytes"] > cap_bytes:
                 return say("independent")
             open_[name] = {"members": 1, "bytes": event["bytes"]}
+            state["bytes"] = state.get("bytes", 0) + event["bytes"]
             return say("leader")
         if one["members"] >= members:
             return say("independent")
@@ -294,12 +303,14 @@ def cohort_machine(flights: int = 8, members: int = 16, cap_bytes: int = 1 << 30
 
 def revisions(state: dict, event: dict) -> list[dict]:
     """A set whose revision grows only with a real change; adding and removing sets at a time."""
-    held = set(state.setdefault("held", []))
-    items = set(event["items"])
-    new = {"union": held | items, "difference": held - items, "intersection": held & items, "symmetric": held ^ items}[event["event"]]
-    if new != held:
-        state.update(held=sorted(new), revision=state.get("revision", 0) + 1)
-    return [{"seq": event["seq"], "revision": state.get("revision", 0), "n_held": len(new)}]
+    held, items = state.setdefault("held", {}), {str(x) for x in event["items"]}
+    gone = {"union": set(), "difference": items & held.keys(), "intersection": held.keys() - items, "symmetric": items & held.keys()}[event["event"]]
+    new = items - held.keys() if event["event"] in ("union", "symmetric") else set()
+    for x in gone:
+        del held[x]
+    held.update(dict.fromkeys(sorted(new), 1))
+    state["revision"] = state.get("revision", 0) + bool(gone or new)
+    return [{"seq": event["seq"], "revision": state["revision"], "n_held": len(held)}]
 
 
 def sender(window: int = 32, window_bytes: int = 64 << 20):
@@ -337,12 +348,13 @@ def timed_leases(ttl: int):
 
     def step(state: dict, event: dict) -> list[dict]:
         leases, name = state.setdefault("leases", {}), str(event["digest"])
-        for k in [k for k, at in leases.items() if event["at"] - at >= ttl]:
-            del leases[k]
+        while leases and event["at"] - leases[first := next(iter(leases))] >= ttl:  # in the order of their renewal
+            del leases[first]
         known = name in leases
         if event["event"] == "release":
             leases.pop(name, None)
             return [{"seq": event["seq"], "digest": event["digest"], "role": "released" if known else "unknown"}]
+        leases.pop(name, None)
         leases[name] = event["at"]
         return [{"seq": event["seq"], "digest": event["digest"], "role": "follower" if known else "leader"}]
 

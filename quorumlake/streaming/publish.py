@@ -13,10 +13,12 @@ def publish_stream(events: DataFrame, folder: str, checkpoint: str) -> Streaming
     what it left before; its roots become visible only after its objects.
     """
 
-    def write(batch: DataFrame, number: int) -> None:
-        batch.persist()
-        batch.select("chunk", "bytes").distinct().write.mode("overwrite").parquet(f"{folder}/objects/batch={number}")
-        batch.select("digest", "manifest_bytes").distinct().write.mode("overwrite").parquet(f"{folder}/roots/batch={number}")
-        batch.unpersist()
+    return events.writeStream.foreachBatch(lambda batch, number: write_batch(batch, folder, number)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
-    return events.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+def write_batch(batch: DataFrame, folder: str, number: int) -> None:
+    """One batch's objects, then its roots, in folders of its number."""
+    batch.persist()
+    batch.select("chunk", "bytes").distinct().write.mode("overwrite").parquet(f"{folder}/objects/batch={number}")
+    batch.select("digest", "manifest_bytes").distinct().write.mode("overwrite").parquet(f"{folder}/roots/batch={number}")
+    batch.unpersist()

@@ -78,3 +78,60 @@ def test_receiver_handles_duplicates_staleness_and_expiry():
 def test_cohorts_respect_their_caps():
     events = [{"event": "load", "load": i, "evidence": e, "bytes": 10} for i, e in enumerate("aabca")] + [{"event": "finish", "load": 9, "evidence": "a"}, {"event": "load", "load": 10, "evidence": "c", "bytes": 10}]
     assert [x["what"] for x in play(machines.cohort_admission(2, 2, 100), events)] == ["leader", "member", "leader", "independent", "independent", "finished", "leader"]
+
+
+def test_runtime_hands_batches_over_in_order():
+    from quorumlake.streaming import runtime
+
+    event = lambda e, batch=None: {"event": e, "batch": batch}
+    found = play(runtime.snapshot_runtime, [event("begin", 2), event("accept", 1), event("accept", 0), event("accept", 1), event("written", 1), event("commit"), event("written", 0), event("commit")])
+    assert [(x["what"], x["batch"]) for x in found] == [("begun", None), ("out_of_order", 1), ("accepted", 0), ("accepted", 1), ("not_ready", None), ("handed", 0), ("handed", 1), ("committed", None)]
+    found = play(runtime.snapshot_runtime, [event("begin", 3), event("accept", 0), event("accept", 1), event("failed", 0), event("accept", 2), event("written", 1), event("begin", 1)])
+    assert [x["what"] for x in found] == ["begun", "accepted", "accepted", "aborted", "aborted", "drained", "begun"]
+
+
+def test_journal_is_contiguous_and_bounded():
+    from quorumlake.streaming import runtime
+
+    event = lambda e, start=None, end=None: {"event": e, "start": start, "end": end}
+    found = play(runtime.journal, [event("append", 0, 4), event("append", 8, 9), event("append", 0, 4), event("finish"), event("flushed"), event("finish"), event("append", 4, 5)])
+    assert [x["what"] for x in found] == ["pending", "gap", "duplicate", "unfinished", "object", "manifest", "closed"]
+    found = play(runtime.journal, [event("append", i, i + 1) for i in range(9)])
+    assert [x["what"] for x in found] == ["pending"] * 8 + ["wait"]
+
+
+def test_reports_take_turns():
+    from quorumlake.streaming import runtime
+
+    change = lambda added, removed=(): {"event": "change", "added": list(added), "removed": list(removed)}
+    report = {"event": "report", "added": [], "removed": []}
+    found = play(runtime.report_builder, [change(range(60)), change(range(60, 130)), change([], [1]), report, report, report, report])
+    assert [(x["page"], x["pages"], x["n_held"], x["on_page"], x["delta"]) for x in found] == [(0, 3, 129, 64, 1), (1, 3, 129, 64, 3), (2, 3, 129, 1, 1), (0, 3, 129, 64, 3)]
+
+
+def test_maintenance_waits_and_tries_again():
+    from quorumlake.streaming import runtime
+
+    step = runtime.maintenance(100, 40, 10, retries=1, budget=50)
+    stored, at = lambda n: {"event": "stored", "bytes": n, "at": 0}, lambda e, t: {"event": e, "at": t, "bytes": 0}
+    found = play(step, [at("tick", 0), stored(150), at("busy", 1), at("tick", 2), at("tick", 3), at("tick", 4), at("tick", 5), stored(200), at("tick", 6), at("busy", 20), at("busy", 21), at("tick", 22)])
+    assert [(x["what"], x["freed"]) for x in found] == [("idle", 0), ("retry", 0), ("pending", 50), ("pending", 50), ("satisfied", 10), ("idle", 0), ("cooldown", 0), ("retry", 0), ("gave_up", 0), ("cooldown", 0)]
+
+
+def test_ring_drops_instead_of_waiting():
+    from quorumlake.streaming import runtime
+
+    event = lambda e, context=None, slot=0: {"event": e, "context": context, "slot": slot}
+    found = play(runtime.ring, [event("submit", c) for c in (1, 2, 3, 4)] + [event("claim"), event("complete"), event("claim"), event("abandon", 1), event("release"), event("abandon", 2), event("complete", slot=1), event("submit", 5)])
+    assert [x["what"] for x in found] == ["submitted"] * 3 + ["would_block", "refused", "ready", "claimed", "abandoned", "released", "abandoned", "dropped", "submitted"]
+
+
+def test_revisions_grow_only_with_a_change():
+    events = [{"event": "union", "items": [1, 2]}, {"event": "union", "items": [2]}, {"event": "difference", "items": [3]}, {"event": "symmetric", "items": [2, 5]}, {"event": "intersection", "items": [5]}]
+    assert [(x["revision"], x["n_held"]) for x in play(machines.revisions, events)] == [(1, 2), (1, 2), (1, 2), (2, 2), (3, 1)]
+
+
+def test_timed_leases_expire_in_order():
+    at = lambda t, d, e="request": {"event": e, "at": t, "digest": d}
+    found = play(machines.timed_leases(10), [at(0, 1), at(5, 2), at(6, 1), at(12, 1), at(15, 2), at(16, 2, "release"), at(17, 2, "release")])
+    assert [x["role"] for x in found] == ["leader", "leader", "follower", "follower", "leader", "released", "unknown"]
