@@ -171,6 +171,12 @@ def finish_stores(results: DataFrame, held: DataFrame) -> DataFrame:
     return held.select("digest").union(results.where("outcome = 'committed'").select("digest")).distinct().join(gone, "digest", "left_anti")
 
 
+def handed_off(receipts: DataFrame) -> DataFrame:
+    """Receipts (outcome, allocated_bytes) that a commit hands over: negative or missing sizes are rejected, only committed bytes count."""
+    ok = F.coalesce(F.col("allocated_bytes") >= 0, F.lit(False))
+    return receipts.groupBy("outcome").agg(F.count_if(ok).alias("accepted"), F.count_if(~ok).alias("rejected"), F.coalesce(F.sum(F.when(ok & (F.col("outcome") == "committed"), F.col("allocated_bytes"))), F.lit(0)).alias("allocated_bytes"))
+
+
 def startup_quorum(reports: DataFrame, ranks: int) -> DataFrame:
     """Handshake rows (transport, rank, digest) that count: the transport's rank is the reported one and is in range."""
     return reports.where((F.col("transport") == F.col("rank")) & F.col("rank").between(0, ranks - 1)).select("rank", "digest").distinct()

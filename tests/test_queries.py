@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from quorumlake.plans import catalogue, deltas, storage  # noqa: F401  the others register their queries
+from quorumlake.plans import catalogue, deltas, details, storage  # noqa: F401  the others register their queries
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
