@@ -5,7 +5,8 @@ A suffix array over all bytes would move every text many times. So each task fir
 stand. The windows in a row that pick one place make a context of up to 2 * length - k bytes. Hashes only bring
 together what may be equal: contexts that look alike are linked to the first of them, within each task before anything is
 shuffled, and the links in a row make extents of two texts; contexts that share the picked string but look different meet
-under it. The bytes of both kinds go into suffix arrays: the suffixes smaller than their successors are sorted directly,
+under it. The bytes of both kinds are brought together; pieces that are the same byte for byte are merged, and all
+others go into suffix arrays: the suffixes smaller than their successors are sorted directly,
 scanning the buckets induces the rest, and adjacent common prefixes of ``length`` bytes tell which
 windows are equal. What meets in more bytes than one array takes is sorted in parts; of what each part leaves,
 equal windows meet again in further arrays, until one array holds them.
@@ -411,32 +412,53 @@ def repeated_spans(docs: DataFrame, length: int = 100, id_col: str = "doc_id", t
                 h = hashes[0].of(hashes[0].prefix(data), at, at + length).view(np.int64)
                 yield out(1, h, row[which], begin[which] + offset, begin[which] + offset + length)
 
-        ready, ready_bytes, group, group_bytes, now, crowded = [], 0, [], 0, None, False
+        gone: list = []  # places of pieces that are, byte for byte, copies of an earlier piece
+
+        def merge(held, blob, place) -> int:
+            """Keeps of equal pieces the earliest, all of whose copies go; the bytes that ``held`` grows by."""
+            first = held.setdefault(blob, place)
+            if first[1:] != place[1:]:
+                held[blob] = min(first, place)
+                gone.append((*max(first, place)[1:], len(blob)))
+                return 0
+            return len(blob) if first is place else 0
+
+        def copies():
+            row, begin, size = (np.array([x[i] for x in gone], np.int64) for i in range(3))
+            gone.clear()
+            return out(0, row * 0, row, begin, begin + size)
+
+        ready, ready_bytes, group, group_bytes, now, crowded = {}, 0, {}, 0, None, False
+        rows_of = lambda held: [(*place, blob) for blob, place in held.items()]
         for batch in pieces(batches, 4 << 20):
             keys, docs_, rows, begins = (batch.column(i) for i in range(4))
             for key, doc, row, begin, blob in zip(keys.to_pylist(), docs_.fill_null(NO_ID).to_pylist(), rows.to_pylist(), begins.to_pylist(), batch.column(4).to_pylist(), strict=True):
                 if key != now:
                     if crowded:
-                        yield from arrays(group, True)
+                        yield from arrays(rows_of(group), True)
                     else:
                         if ready and ready_bytes + group_bytes > ARRAY_BYTES:
-                            yield from arrays(ready)
-                            ready, ready_bytes = [], 0
-                        ready += group
-                        ready_bytes += group_bytes
-                    group, group_bytes, now, crowded = [], 0, key, False
-                if group and group_bytes + len(blob) > ARRAY_BYTES:
-                    yield from arrays(group, True)
-                    group, group_bytes, crowded = [], 0, True
-                group.append((doc, row, begin, blob))
-                group_bytes += len(blob)
+                            yield from arrays(rows_of(ready))
+                            ready, ready_bytes = {}, 0
+                        for piece, place in group.items():
+                            ready_bytes += merge(ready, piece, place)
+                    group, group_bytes, now, crowded = {}, 0, key, False
+                if group and group_bytes + len(blob) > ARRAY_BYTES and blob not in group:
+                    yield from arrays(rows_of(group), True)
+                    group, group_bytes, crowded = {}, 0, True
+                group_bytes += merge(group, blob, (doc, row, begin))
+            yield copies()
         if ready and (crowded or ready_bytes + group_bytes > ARRAY_BYTES):
-            yield from arrays(ready)
-            ready = []
+            yield from arrays(rows_of(ready))
+            ready = {}
         if crowded:
-            yield from arrays(group, True)
-        elif ready or group:
-            yield from arrays(ready + group)
+            yield from arrays(rows_of(group), True)
+        else:
+            for piece, place in group.items():
+                merge(ready, piece, place)
+            if ready:
+                yield from arrays(rows_of(ready))
+        yield copies()
 
     def decided(requests: DataFrame) -> DataFrame:
         """kind, key, row, begin, end from requests for bytes (row, slot, key, begin, size)."""

@@ -46,3 +46,63 @@ def test_line_dedup_keeps_what_documents_alone_hold(spark):
     assert found[3].text == "five words of its own" and found[3].n_chars == 21
     assert found[6].text.split("\n") == docs[6][4:] and found[7].text.split("\n") == docs[7][4:]
     assert (found[7].dedup__, found[7].runs__) == (5, 6)
+
+
+def test_pipeline_equals_brute_force(spark, sf_dir):
+    """Each stage by plain Python over all documents of the small tables; the classifier's weights are the stage's own."""
+    import hashlib
+    import re
+
+    import public_tokenizers
+    import tiktoken
+    import xxhash
+
+    from quorumlake.llm import bpe, toxicity
+    from quorumlake.llm.queries import vocabulary
+
+    tables = {n: spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in ("documents", "labels", "benchmark")}
+    score = toxicity.scorer(toxicity.fit(tables["documents"], tables["labels"]))
+    docs = {r.doc_id: r.text for r in tables["documents"].collect()}
+    docs = {i: t for i, t in sorted(docs.items()) if score(t or "") < 0.5}
+
+    seen, left = set(), {}
+    for i, text in docs.items():
+        lines, gone = text.split("\n"), set()
+        for a in range(len(lines)):
+            n = 0
+            for b in range(a, len(lines)):
+                n += len(lines[b].split())
+                if n >= 10:
+                    run = tuple(lines[a : b + 1])
+                    if run in seen:
+                        gone |= set(range(a, b + 1))
+                    seen.add(run)
+                    break
+        text = "\n".join(x for k, x in enumerate(lines) if k not in gone)
+        if not gone or text.strip():
+            left[i] = text
+
+    def fingerprint(text):
+        words = re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text))
+        if not words:
+            return 0
+        hashes = [xxhash.xxh64_intdigest(" ".join(words[k : k + 3]).encode(), 42) for k in range(max(1, len(words) - 2))]
+        return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+    prints, component = {i: fingerprint(t) for i, t in left.items()}, {i: i for i in left}
+    near = {i: [j for j in left if (prints[i] ^ prints[j]).bit_count() <= 3] for i in left}
+    while (new := {i: min(component[j] for j in near[i]) for i in left}) != component:
+        component = new
+    left = {i: t for i, t in left.items() if component[i] == i}
+
+    def shingles(text):
+        w = [x for x in re.split(r"[\W_]+", text.lower()) if x]
+        return {tuple(w[k : k + 5]) for k in range(len(w) - 4)}
+
+    items = [shingles(r.text) for r in tables["benchmark"].collect()]
+    clean = {i: t for i, t in left.items() if not any(len(x & shingles(t)) >= 0.8 * len(x) for x in items if x)}
+    assert len(docs) > len(left) > len(clean) > 50
+
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.parse_ranks(bpe.read_ranks(vocabulary("byte_bpe_50k.tiktoken"))), special_tokens={})
+    found = {r.doc_id: (r.ids, r.decoded_sha256) for r in corpus_pipeline.run(spark, sf_dir).collect()}
+    assert found == {i: (library.encode_ordinary(t), hashlib.sha256(t.encode()).hexdigest()) for i, t in clean.items()}
