@@ -14,6 +14,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql.streaming import StatefulProcessor
 
 Step = Callable[[dict, dict], list[dict]]
 
@@ -60,17 +61,31 @@ def replay(events: DataFrame, key: str, machine: Machine) -> DataFrame:
     return events.repartition(width, key).sortWithinPartitions(key, machine.order).mapInPandas(run, schema)
 
 
+class Keeper(StatefulProcessor):
+    """Runs a step function on a stream; each field of a key's state is an entry of a map state, written only when it changed."""
+
+    def __init__(self, step: Step, order: str, key: str, names: list[str]):
+        self.step, self.order, self.key, self.names = step, order, key, names
+
+    def init(self, handle) -> None:
+        self.entries = handle.getMapState("entries", "name string", "value string")
+
+    def handleInputRows(self, key, rows, timer_values) -> Iterator[pd.DataFrame]:  # noqa: N802  the interface's name
+        before = {name[0]: value[0] for name, value in self.entries.iterator()}
+        state = {name: json.loads(value) for name, value in before.items()}
+        events = pd.concat(list(rows)).sort_values(self.order)
+        out = [{self.key: key[0], **x} for event in map(_plain, events.to_dict("records")) for x in self.step(state, event)]
+        now = {name: json.dumps(value) for name, value in state.items()}
+        for name, value in now.items():
+            if before.get(name) != value:
+                self.entries.updateValue((name,), (value,))
+        for name in before.keys() - now.keys():
+            self.entries.removeKey((name,))
+        yield pd.DataFrame(out, columns=self.names)
+
+
 def stream(events: DataFrame, key: str, machine: Machine) -> DataFrame:
-    """The same on a streaming table. A micro-batch's events are ordered; a later batch's must come after."""
+    """The same on a streaming table. A micro-batch's events are ordered; a later batch's must come after. Needs the RocksDB state store."""
     schema = f"{key} {dict(events.dtypes)[key]}, {machine.output}"
     names = [x.strip().split()[0] for x in schema.split(",")]
-    step, order = machine.step, machine.order
-
-    def run(found: tuple, parts: Iterator[pd.DataFrame], held) -> Iterator[pd.DataFrame]:
-        state = json.loads(held.get[0]) if held.exists else {}
-        rows = pd.concat(list(parts)).sort_values(order)
-        out = [{key: found[0], **x} for event in map(_plain, rows.to_dict("records")) for x in step(state, event)]
-        held.update((json.dumps(state),))
-        yield pd.DataFrame(out, columns=names)
-
-    return events.groupBy(key).applyInPandasWithState(run, schema, "state string", "append", "NoTimeout")
+    return events.groupBy(key).transformWithStateInPandas(Keeper(machine.step, machine.order, key, names), schema, "Append", "None")

@@ -1,6 +1,8 @@
 """State machines: known scenarios, and a stream gives what the batch replay gives."""
 
-from quorumlake.streaming import machines
+import pytest
+
+from quorumlake.streaming import machines, runtime
 from quorumlake.streaming.replay import replay, stream
 
 
@@ -39,20 +41,47 @@ def test_leases_never_overlap():
     assert [x["what"] for x in play(machines.block_leases, events)] == ["reserved", "overlap", "released", "reserved"]
 
 
-def test_stream_equals_replay(spark, tmp_path):
+def _leases(rnd, i):
+    return i % 3, i, "reserve" if rnd.random() < 0.7 else "release", rnd.randrange(9), [rnd.randrange(20)]
+
+
+def _ledger(rnd, i):
+    chunks = rnd.sample(range(8), 2)
+    return i % 3, i, "publish" if rnd.random() < 0.7 else "remove", rnd.randrange(9), chunks, [10 * c + rnd.randrange(5) // 4 for c in chunks]
+
+
+def _receiver(rnd, i):
+    return i % 3, i, rnd.choice(["begin", "put", "put", "commit"]), rnd.randrange(4), i // 40, 2 * i, rnd.randrange(2), "x", rnd.random() < 0.9
+
+
+def _reports(rnd, i):
+    return i % 3, i, rnd.choice(["change", "report"]), [rnd.randrange(300) for _ in range(40)], [rnd.randrange(300) for _ in range(9)]
+
+
+STREAMS = {
+    "leases": (machines.LEASES, "seq long, event string, lease long, blocks array<long>", _leases),
+    "ledger": (machines.LEDGER, "seq long, event string, context long, chunks array<long>, bytes array<long>", _ledger),
+    "receiver": (machines.RECEIVER, "seq long, event string, transaction long, generation long, at long, frame long, digest string, intact boolean", _receiver),
+    "reports": (runtime.BUILDER, "seq long, event string, added array<long>, removed array<long>", _reports),
+    "timed": (machines.lease_machine(9), "seq long, event string, at long, digest long", lambda rnd, i: (i % 3, i, rnd.choice(["request", "request", "release"]), i, rnd.randrange(4))),
+}
+
+
+@pytest.mark.parametrize("name", STREAMS)
+def test_stream_equals_replay(spark, tmp_path, name):
     import random
 
-    rnd = random.Random(3)
-    data = [(i % 3, i, "reserve" if rnd.random() < 0.7 else "release", rnd.randrange(9), [rnd.randrange(20)]) for i in range(120)]
-    schema = "pool long, seq long, event string, lease long, blocks array<long>"
+    machine, schema, make = STREAMS[name]
+    rnd, schema = random.Random(3), f"pool long, {schema}"
+    data = [make(rnd, i) for i in range(120)]
     for part in range(3):
         spark.createDataFrame(data[part * 40 : part * 40 + 40], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     table = spark.read.schema(schema).parquet(str(tmp_path / "in"))
-    want = sorted(map(tuple, replay(table, "pool", machines.LEASES).collect()))
+    want = sorted(map(str, replay(table, "pool", machine).collect()))
     source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    query = stream(source, "pool", machines.LEASES).writeStream.format("memory").queryName("leases").outputMode("append").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
+    query = stream(source, "pool", machine).writeStream.format("memory").queryName(name).outputMode("append").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
     query.awaitTermination(120)
-    assert sorted(map(tuple, spark.table("leases").collect())) == want
+    assert sorted(map(str, spark.table(name).collect())) == want
 
 
 def test_ledger_rejects_a_conflict_as_a_whole():
@@ -81,8 +110,6 @@ def test_cohorts_respect_their_caps():
 
 
 def test_runtime_hands_batches_over_in_order():
-    from quorumlake.streaming import runtime
-
     event = lambda e, batch=None: {"event": e, "batch": batch}
     found = play(runtime.snapshot_runtime, [event("begin", 2), event("accept", 1), event("accept", 0), event("accept", 1), event("written", 1), event("commit"), event("written", 0), event("commit")])
     assert [(x["what"], x["batch"]) for x in found] == [("begun", None), ("out_of_order", 1), ("accepted", 0), ("accepted", 1), ("not_ready", None), ("handed", 0), ("handed", 1), ("committed", None)]
@@ -91,8 +118,6 @@ def test_runtime_hands_batches_over_in_order():
 
 
 def test_journal_is_contiguous_and_bounded():
-    from quorumlake.streaming import runtime
-
     event = lambda e, start=None, end=None: {"event": e, "start": start, "end": end}
     found = play(runtime.journal, [event("append", 0, 4), event("append", 8, 9), event("append", 0, 4), event("finish"), event("flushed"), event("finish"), event("append", 4, 5)])
     assert [x["what"] for x in found] == ["pending", "gap", "duplicate", "unfinished", "object", "manifest", "closed"]
@@ -101,8 +126,6 @@ def test_journal_is_contiguous_and_bounded():
 
 
 def test_reports_take_turns():
-    from quorumlake.streaming import runtime
-
     change = lambda added, removed=(): {"event": "change", "added": list(added), "removed": list(removed)}
     report = {"event": "report", "added": [], "removed": []}
     found = play(runtime.report_builder, [change(range(60)), change(range(60, 130)), change([], [1]), report, report, report, report])
@@ -110,8 +133,6 @@ def test_reports_take_turns():
 
 
 def test_maintenance_waits_and_tries_again():
-    from quorumlake.streaming import runtime
-
     step = runtime.maintenance(100, 40, 10, retries=1, budget=50)
     stored, at = lambda n: {"event": "stored", "bytes": n, "at": 0}, lambda e, t: {"event": e, "at": t, "bytes": 0}
     found = play(step, [at("tick", 0), stored(150), at("busy", 1), at("tick", 2), at("tick", 3), at("tick", 4), at("tick", 5), stored(200), at("tick", 6), at("busy", 20), at("busy", 21), at("tick", 22)])
@@ -119,8 +140,6 @@ def test_maintenance_waits_and_tries_again():
 
 
 def test_ring_drops_instead_of_waiting():
-    from quorumlake.streaming import runtime
-
     event = lambda e, context=None, slot=0: {"event": e, "context": context, "slot": slot}
     found = play(runtime.ring, [event("submit", c) for c in (1, 2, 3, 4)] + [event("claim"), event("complete"), event("claim"), event("abandon", 1), event("release"), event("abandon", 2), event("complete", slot=1), event("submit", 5)])
     assert [x["what"] for x in found] == ["submitted"] * 3 + ["would_block", "refused", "ready", "claimed", "abandoned", "released", "abandoned", "dropped", "submitted"]
