@@ -216,6 +216,13 @@ def environment(values: Column) -> Column:
     return F.when(good, F.map_from_arrays(names, F.transform(values, lambda x: F.regexp_replace(x, r"^[^=]*=", ""))))
 
 
+def single_inspection(document: Column) -> Column:
+    """The one object of an inspection, which may stand in a list of one and after a byte order mark; null otherwise."""
+    text = F.regexp_replace(document, "^\ufeff", "")
+    listed = F.json_array_length(text)
+    return F.when(listed == 1, F.get_json_object(text, "$[0]")).when(listed.isNull() & F.json_object_keys(text).isNotNull(), text)
+
+
 def completion(document: Column) -> Column:
     """(body, content, finish_reason) of a chat response: reasoning before the answer, outer white space cut; null without a message."""
     at = lambda name: F.get_json_object(document, f"$.choices[0].message.{name}")

@@ -7,10 +7,13 @@ from pyspark.sql import functions as F
 
 from ..functions import hashing
 from ..operators import catalogue as C
+from ..operators import deltas as D
 from ..operators import eviction, gates, ledger, pages, quorum, structures, timeseries
 from ..operators import storage as S
+from ..operators import validators as V
 from ..sources import model as M
 from .catalogue import ALIASES, ATTEMPTS, BASE_TAIL, EVICT, INDEXED, NOW_NS, PAGES, STAGES, YEAR_NS, _aliases, _indexed, _limits, _pages, _receipts, _stages, query
+from .deltas import LAYERS, _layouts
 
 # lookups and publication
 
@@ -356,3 +359,44 @@ def _(spark, d):
     first = S.clear_once(good.select("token", "seq"), good.select("token").where("false")).select(F.conv("token", 16, 10).cast("long").alias("token"), "seq")
     malformed = rows.groupBy(F.col("user_id").alias("token")).agg(F.count_if(F.col("event_id") % 4 == 0).alias("malformed"))
     return first.join(malformed, "token")
+
+
+# snapshots read back
+
+
+@query("S13_decoded_snapshots", f"with {LAYERS} select root, layer::varchar as name, grp, pages * page_bytes as bytes, sha256(repeat(chr((65 + layer % 26)::int), (pages * page_bytes)::int)) as sha256 from ly join g using (root, grp)")
+def _(spark, d):
+    layouts = _layouts(spark, d)
+    counts = F.transform(F.array_sort(F.map_entries("result_counts")), lambda e: e["value"])
+    payload = F.array_join(F.transform("layers", lambda v: F.repeat(F.chr(65 + v["name"].cast("long") % 26), (F.element_at("result_counts", v["grp"]) * v["page_bytes"]).cast("int"))), "").cast("binary")
+    x = layouts.withColumn("head", D.snapshot_header(F.col("layout_sha256"), counts)).withColumn("file", F.concat("head", payload))
+    x = x.withColumn("prefix", D.header_prefix(F.col("file"), D.SNAPSHOT_MAGIC)).withColumn("e", F.explode(D.extents(F.col("layers"), F.col("result_counts"), F.octet_length("prefix"))))
+    part = F.substring("file", (F.col("e.source_start") + 1).cast("int"), (F.col("e.source_end") - F.col("e.source_start")).cast("int"))
+    return x.select("root", "e.name", "e.grp", (F.col("e.source_end") - F.col("e.source_start")).alias("bytes"), F.sha2(part, 256).alias("sha256"))
+
+
+@query("S10_object_batches", "select doc_id as digest, greatest((octet_length(encode(text)) + 99) // 100, 0)::bigint as objects, sha256(text) as payload from documents where octet_length(encode(text)) > 0")
+def _(spark, d):
+    docs = M.table(spark, d, "documents").select(F.col("doc_id").alias("digest"), F.col("text").cast("binary").alias("content"))
+    cuts = pages.split_extents(docs.select("digest", F.octet_length("content").cast("long").alias("bytes")), 100).join(docs, "digest")
+    part = F.substring("content", (F.col("begin") + 1).cast("int"), (F.col("end") - F.col("begin")).cast("int"))
+    objects = cuts.select("digest", "idx", part.alias("content"), F.sha2(part, 256).alias("chunk"))
+    back = S.restore(objects.select("digest", "idx", "chunk"), objects.select("chunk", "content").distinct())
+    return back.where("ok").select("digest", F.col("chunks").alias("objects"), F.sha2("payload", 256).alias("payload"))
+
+
+@query("S12_every_root_kind", f'with {STAGES}, a as (select root, layer, 0 as stage, 0::bigint as "start", 10 + root % 50 as "end" from (select distinct root, layer from st) union all select * from st where root % 2 = 0), x as (select *, least("end", coalesce(min("start") over (partition by root, layer order by stage rows between 1 following and unbounded following), "end")) as live from a), p as (select root, layer, stage, unnest(range("start", live)) as page from x where live > "start") select root, layer, page, stage * 1000 + page as payload from p')
+def _(spark, d):
+    stages = _stages(spark, d)
+    base = stages.select("root", "layer").distinct().select("root", "layer", F.lit(0).alias("stage"), F.lit(0).cast("long").alias("start"), (10 + F.col("root") % 50).alias("end"))
+    every = base.unionByName(stages.where("root % 2 = 0"))  # odd roots are snapshots, even ones deltas over theirs
+    pieces = every.select("root", "layer", "stage", F.explode(F.sequence("start", F.col("end") - 1)).alias("page")).withColumn("payload", F.col("stage") * 1000 + F.col("page"))
+    return S.materialise(structures.overlay(every), pieces)
+
+
+@query("S21_inspections", "select c_custkey, case when c_custkey % 3 <> 2 then c_name end as name from customer")
+def _(spark, d):
+    one = F.struct(F.col("c_name").alias("Name"))
+    k = F.col("c_custkey") % 3
+    document = F.when(k == 0, F.to_json(one)).when(k == 1, F.to_json(F.array(one))).otherwise(F.to_json(F.array(one, one)))
+    return M.table(spark, d, "customer").select("c_custkey", F.get_json_object(V.single_inspection(F.concat(F.when(k == 0, F.lit("\ufeff")).otherwise(F.lit("")), document)), "$.Name").alias("name"))
