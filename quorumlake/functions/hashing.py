@@ -106,9 +106,12 @@ def packed_media(features: Column, tokens: Column, domain: bytes) -> Column:
 
 
 def self_checksum_ok(document: Column, field: str = "checksum") -> Column:
-    """Whether a JSON object's checksum, its last field, is the SHA-256 of the object without it."""
-    rest = F.regexp_replace(document, rf',"{field}":"[0-9a-f]{{64}}"\}}$', "}")
-    return F.coalesce(F.sha2(rest.cast("binary"), 256) == F.get_json_object(document, f"$.{field}"), F.lit(False))
+    """Whether a JSON object's checksum, wherever it stands among the fields, is the SHA-256 of the object without it."""
+    told = F.get_json_object(document, f"$.{field}")
+    pair = F.concat(F.lit(f'"{field}":"'), told, F.lit('"'))
+    middle = F.replace(document, F.concat(F.lit(","), pair), F.lit(""))
+    rest = F.when(middle != document, middle).otherwise(F.replace(document, F.concat(pair, F.lit(",")), F.lit("")))
+    return F.coalesce(told.rlike("^[0-9a-f]{64}$") & (F.sha2(rest.cast("binary"), 256) == told), F.lit(False))
 
 
 def media_identity(features: Column, tokens: Column) -> Column:

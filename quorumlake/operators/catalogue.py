@@ -107,3 +107,15 @@ def alias_boundaries(contexts: DataFrame, chunk_tokens: int = 256, every: int =
     n = F.floor((F.col("tokens") - 1) / stride).cast("long")
     steps = F.when(n >= 1, F.sequence(F.greatest(n - most + 1, F.lit(1)), n)).otherwise(F.array().cast("array<bigint>"))
     return contexts.select("digest", F.explode(steps).alias("k")).select("digest", (F.col("k") * stride).alias("boundary"), (F.col("k") * every).alias("chunk_count"))
+
+
+def inventory(files: DataFrame) -> DataFrame:
+    """Kind of each stored file (path, bytes) by its folder and name: root, alias, segment, chunk, or debris that a stopped writer left."""
+    name = lambda folder, suffix: F.col("path").rlike(rf"(^|/){folder}/[^/]*\.{suffix}$")
+    kind = F.when(F.col("path").rlike(r"\.tmp$"), "debris").when(name("roots/[^/]+", "json"), "root").when(name("aliases/[^/]+", "json"), "alias").when(name("segments", "json"), "segment").when(name("chunks", "chunk"), "chunk").otherwise("debris")
+    return files.withColumn("kind", kind)
+
+
+def inventory_totals(files: DataFrame) -> DataFrame:
+    """Files and bytes of each kind."""
+    return inventory(files).groupBy("kind").agg(F.count("*").alias("files"), F.sum("bytes").alias("bytes"))

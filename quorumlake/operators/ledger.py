@@ -43,3 +43,11 @@ def write_amplification(totals: DataFrame) -> DataFrame:
 def rank_statistics(stats: DataFrame) -> DataFrame:
     """One row over all ranks' reports: sums, maxima, agreement, and alerts that aren't zero."""
     return stats.agg(F.count("*").alias("ranks"), F.sum("entries").alias("entries"), F.max("bytes").alias("most_bytes"), F.bool_and("healthy").alias("healthy"), F.when(F.sum("alerts") > 0, F.sum("alerts")).alias("alerts"))
+
+
+def reduce_ranks(stats: DataFrame, sums: list[str], maxima: list[str], flags: list[str], alerts: list[str], sizes: list[str] = ()) -> DataFrame:
+    """One row over all ranks' reports: sums, maxima, whether all ranks agree to a flag, how many raise an alert (null for none), and sizes in GiB with one digit."""
+    return stats.agg(
+        F.count("*").alias("ranks"), *(F.sum(c).alias(c) for c in sums), *(F.max(c).alias(f"most_{c}") for c in maxima), *(F.bool_and(c).alias(f"all_{c}") for c in flags),
+        *(F.when(F.count_if(F.col(c) > 0) > 0, F.count_if(F.col(c) > 0)).alias(f"ranks_{c}") for c in alerts), *(F.bround(F.sum(c) / float(1 << 30), 1).alias(f"{c}_gib") for c in sizes),
+    )

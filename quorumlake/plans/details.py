@@ -400,3 +400,16 @@ def _(spark, d):
     k = F.col("c_custkey") % 3
     document = F.when(k == 0, F.to_json(one)).when(k == 1, F.to_json(F.array(one))).otherwise(F.to_json(F.array(one, one)))
     return M.table(spark, d, "customer").select("c_custkey", F.get_json_object(V.single_inspection(F.concat(F.when(k == 0, F.lit("\ufeff")).otherwise(F.lit("")), document)), "$.Name").alias("name"))
+
+
+@query("S02_inventory", "with f as (select o_orderkey as k, 'store/' || case o_orderkey % 6 when 0 then 'roots/k1/a.json' when 1 then 'aliases/k1/a.json' when 2 then 'segments/a.json' when 3 then 'chunks/a.chunk' when 4 then 'chunks/a.chunk.tmp' else 'other/x' end as path, 100 + o_orderkey % 13 as bytes from orders) select case k % 6 when 0 then 'root' when 1 then 'alias' when 2 then 'segment' when 3 then 'chunk' else 'debris' end as kind, count(*) as files, sum(bytes)::bigint as bytes from f group by 1")
+def _(spark, d):
+    k = F.col("o_orderkey")
+    path = F.element_at(F.array(*map(F.lit, ("roots/k1/a.json", "aliases/k1/a.json", "segments/a.json", "chunks/a.chunk", "chunks/a.chunk.tmp", "other/x"))), (k % 6 + 1).cast("int"))
+    return C.inventory_totals(M.table(spark, d, "orders").select(F.concat(F.lit("store/"), path).alias("path"), (100 + k % 13).alias("bytes")))
+
+
+@query("A04_reduced_ranks", "with r as (select user_id % 16 as rank, count(*) as hits, sum(event_id % 5)::bigint as misses, max(floor(value)::bigint) as oldest, count(*) > 3 as enabled, count(*) filter (event_type = 'error' and event_id % 7 = 0) as failures, sum(event_id * 100000)::bigint as stored from events group by 1) select count(*) as ranks, sum(hits)::bigint as hits, sum(misses)::bigint as misses, max(oldest) as most_oldest, bool_and(enabled) as all_enabled, nullif(count(*) filter (failures > 0), 0) as ranks_failures, round_even(sum(stored) / 1073741824.0::double, 1) as stored_gib from r")
+def _(spark, d):
+    stats = M.table(spark, d, "events").groupBy((F.col("user_id") % 16).alias("rank")).agg(F.count("*").alias("hits"), F.sum(F.col("event_id") % 5).alias("misses"), F.max(F.floor("value")).alias("oldest"), (F.count("*") > 3).alias("enabled"), F.count_if((F.col("event_type") == "error") & (F.col("event_id") % 7 == 0)).alias("failures"), F.sum(F.col("event_id") * 100_000).alias("stored"))
+    return ledger.reduce_ranks(stats, ["hits", "misses"], ["oldest"], ["enabled"], ["failures"], ["stored"])
