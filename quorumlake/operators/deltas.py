@@ -14,6 +14,9 @@ SNAPSHOT_MAGIC, DELTA_MAGIC = b"QLSNP1", b"QLDLT1"
 PREFIX_BYTES = 10
 OBJECT_BYTES = 4 << 20
 STAGE_LIMIT, CHAIN_LIMIT = 64, 8
+#: Fixed values of the deterministic sources: a byte's steps by kind, layer, row and place, and a slot's start, steps and prime.
+BYTE_STEPS = (71, 43, 17, 29)
+SLOT_START, SLOT_RANK, SLOT_ROW, SLOT_PRIME = 11, 53, 37, 2039
 
 
 def le32(n: Column) -> Column:
@@ -167,9 +170,9 @@ def gather_records(sources: DataFrame, slots: DataFrame, align: int = 256) -> Da
 
 def source_byte(kind: Column, layer: Column, row: Column, at: Column) -> Column:
     """Byte of a deterministic source row: neighbouring kinds, layers, rows and places differ."""
-    return F.pmod(kind * 71 + layer * 43 + row * 17 + at * 29, F.lit(256))
+    return F.pmod(sum((x * step for x, step in zip((kind, layer, row, at), BYTE_STEPS, strict=True)), F.lit(0)), F.lit(256))
 
 
 def source_slot(rank: Column, row: Column) -> Column:
     """A rank's permutation of the rows below a prime."""
-    return F.pmod(11 + rank * 53 + row * 37, F.lit(2039))
+    return F.pmod(SLOT_START + rank * SLOT_RANK + row * SLOT_ROW, F.lit(SLOT_PRIME))

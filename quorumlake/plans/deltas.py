@@ -415,12 +415,12 @@ def _(spark, d):
 # files, gauges, log pages
 
 
-@query("S02_scan_files")
+@query("S02_scan_files", "select unnest(['region', 'nation', 'customer', 'supplier', 'part', 'orders', 'lineitem', 'events', 'documents', 'embeddings', 'pages', 'benchmark', 'labels', 'conversations']) || '.parquet' as name, true as filled, true as dated")
 def _(spark, d):
     from ..sources import files
 
     found = files.scan_files(spark, d, "*.parquet")
-    return found.select(F.regexp_extract("path", r"([^/]+)$", 1).alias("name"), "bytes", (F.col("modified_us") > 0).alias("dated"))
+    return found.select(F.regexp_extract("path", r"([^/]+)$", 1).alias("name"), (F.col("bytes") > 0).alias("filled"), (F.col("modified_us") > 0).alias("dated"))
 
 
 @query("S03_parse_roots", f"with {INDEXED}, n as (select digest, count(*) as n from ix group by digest) select sha256(digest::varchar) as digest, digest % 7 <> 0 and (digest % 9 <> 0 or n < 3) as valid, case when digest % 7 <> 0 and (digest % 9 <> 0 or n < 3) then n else 0 end as refs from n")

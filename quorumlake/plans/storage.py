@@ -189,8 +189,8 @@ def _(spark, d):
     return last.agg(F.count("*").alias("requests"), F.sum("x.local_reused").alias("local_reused"), F.sum("x.external_reused").alias("external_reused"), F.sum("x.computed").alias("computed"), F.count_if("x.complete").alias("complete"))
 
 
-def _machine(name: str, key: str):
-    """Registers a replayed machine over the events that the function makes; such state has no plain SQL."""
+def _machine(name: str, key: str, sql: str | None = None):
+    """Registers a replayed machine over the events that the function makes; most such state has no plain SQL."""
 
     def put(f):
         def run(spark, d):
@@ -201,7 +201,7 @@ def _machine(name: str, key: str):
             events, machine = f(_events(spark, d).withColumn("event_id", n.cast("long")))
             return replay.replay(events, key, machine)
 
-        query(name)(run)
+        query(name, sql)(run)
         return f
 
     return put
@@ -270,7 +270,7 @@ def _(events):
     return events.select(F.col("user_id").alias("peer"), F.col("event_id").alias("seq"), kind.alias("event"), F.when(kind == "credit", F.floor(F.col("event_id") / 6)).otherwise(F.col("v") * 1000).cast("long").alias("n")), machines.SENDER
 
 
-@_machine("R14_timed_leases", "host")
+@_machine("R14_timed_leases", "host", "with e as (select user_id as host, row_number() over (partition by user_id order by event_id) - 1 as seq, floor(value)::bigint % 20 as digest from events), x as (select *, seq % 9 = 0 as release, lag(seq) over w as before, lag(seq % 9 = 0) over w as released from e window w as (partition by host, digest order by seq)), k as (select *, coalesce(not released and seq - before < 25, false) as known from x) select host, seq, digest, case when release then case when known then 'released' else 'unknown' end when known then 'follower' else 'leader' end as role from k")
 def _(events):
     from ..streaming import machines
 
@@ -336,7 +336,7 @@ def _(spark, d):
     return M.table(spark, d, "orders").select(key.alias("request"), F.array_join(pages.range_blocks(table, start, start + 256, 64).cast("array<string>"), ",").alias("blocks"))
 
 
-@_machine("S15_frame_decoder", "link")
+@_machine("S15_frame_decoder", "link", "with e as (select user_id as link, row_number() over (partition by user_id order by event_id) - 1 as n, floor(value)::bigint % 20 as size from events) select link, n * 2 + 1 as seq, '{\"id\":' || n || '}' as header, size as payload_bytes from e")
 def _(events):
     from ..streaming import machines
 
