@@ -43,7 +43,7 @@ def shingles(text: Column, make, sizes: list[int]) -> Column:
     The words are the variable of an outer lambda: so they are split once for each text, even
     where the optimizer copies this expression into a filter.
     """
-    each = lambda w: F.concat(*(windows(w, make, n) for n in sizes))
+    each = lambda w: windows(w, make, sizes[0]) if len(sizes) == 1 else F.concat(*(windows(w, make, n) for n in sizes))
     return F.coalesce(F.transform(F.array(words(text)), each)[0], F.array())
 
 
@@ -86,7 +86,8 @@ def leaks(docs: DataFrame, items: DataFrame, threshold: float = 0.8, id_col: str
     # a text has no more words, and so no more shingles, than half its characters
     most = F.floor(F.log2(F.greatest((F.length("text") + 1) / 2 * len(sizes) / threshold, F.lit(1.0)))).cast("int")
     # outer: a plain explode would have the array computed once more, to filter by its size
-    searched = docs.select("doc_id", most.alias("most"), F.explode_outer(shingles(F.col("text"), F.xxhash64, sizes)).alias("h"))
+    # most: below the explode, which would otherwise carry the text along with each of its shingles
+    searched = docs.select("doc_id", "text", most.alias("most")).select("doc_id", "most", F.explode_outer(shingles(F.col("text"), F.xxhash64, sizes)).alias("h"))
     n_sketch = sketches.count()
     if n_sketch <= BROADCAST_ROWS:
         met = searched.join(F.broadcast(sketches), "h")

@@ -7,7 +7,8 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from quorumlake.llm import bpe, decontaminate, exact, linededup, quality, secrets, simhash, suffix, toxicity, wordpiece
+from quorumlake.llm import bpe, common, decontaminate, exact, linededup, quality, secrets, simhash, suffix, toxicity, wordpiece
+from quorumlake.llm.components import components
 from quorumlake.llm.queries import vocabulary
 
 SCHEMA = "doc_id long, text string, lang string, source string, row long, fp long, h long, row__ long, runs__ long, run_row__ long, stays__ long"
@@ -484,3 +485,27 @@ def test_token_count_query_equals_brute_force(spark, sf_dir):
                 at = next(e for e in range(min(len(word), at + longest), at, -1) if word[at:e] in vocabulary_)
                 n += 1
         assert r.n_tokens == n
+
+
+def test_hot_keys_are_dealt_and_joined_whole(spark):
+    rows = spark.range(3000).select(F.when(F.col("id") < 2000, 7).otherwise(F.col("id") % 50).alias("k"), "id")
+    counts = common.cut(rows.groupBy("k").agg(F.count("*").alias("n"), F.min("id").alias("least")))
+    found = common.join_hot(rows, counts, ["k"], ["id"])
+    assert sorted(map(tuple, found.select("id", "k", "least").collect())) == sorted(map(tuple, rows.join(counts.drop("n"), "k").select("id", "k", "least").collect()))
+    assert found.columns == ["k", "id", "least"]
+
+
+def test_components_of_a_star_and_a_chain(spark):
+    links = [(5, 1000 + i) for i in range(1500)] + [(i, i + 1) for i in range(3000, 3040)] + [(4000, 4000), (None, 1)]
+    found = {r.node: r.component for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
+    want = {5: 5, **{1000 + i: 5 for i in range(1500)}, **{i: 3000 for i in range(3000, 3041)}}
+    assert found == want
+
+
+def test_tables_are_numbered_once_and_names_stay_free(spark):
+    docs = spark.range(100).repartition(5).select("id", F.rand().alias("row__"), F.lit("x").alias("ROW___"))
+    table_, name = common.numbered(docs)
+    assert name not in ("row__", "ROW___") and table_.columns == ["id", "row__", "ROW___", name]
+    again = {r.id: r[name] for r in table_.collect()}
+    assert again == {r.id: r[name] for r in table_.repartition(3).collect()} and len(set(again.values())) == 100
+    common.discard(spark)

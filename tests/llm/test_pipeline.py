@@ -25,7 +25,7 @@ def test_copies_and_leaks_go_and_clean_documents_stay(spark, tmp_path):
     text = lambda n: " ".join("".join(rnd.choice("abcdefghij") for _ in range(rnd.randrange(2, 7))) for _ in range(n))
     item, base = text(40), "\n".join(text(60) for _ in range(4))
     docs = [(0, base), (1, base), (2, base.replace(" ", "  ", 1)), (3, text(200) + " " + item), (4, text(200)), (5, text(200) + "\n" + base.split("\n")[0]), (6, ""), (7, None)]
-    spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in docs], "doc_id long, text string, lang string, source string, n_chars long").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, t, "en", "s", len(t or ""), 1, 2) for i, t in docs], "doc_id long, text string, lang string, source string, n_chars long, leaked__ long, row__ long").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     found = {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
