@@ -163,8 +163,10 @@ class Encoder:
         push(np.arange(n), pending[:n])
         while (rank := queue.lowest()) >= 0:
             taken = queue.take(rank)
-            at = taken[0] if len(taken) == 1 else np.unique(np.concatenate(taken))
+            at = taken[0] if len(taken) == 1 else np.concatenate(taken)
             at = at[pending[at] == rank]  # the others are stale
+            if len(at) > 1 and (at[1:] <= at[:-1]).any():
+                at = np.unique(at)
             if not len(at):
                 continue
             if one_by_one and len(at) > 1:
@@ -177,10 +179,11 @@ class Encoder:
                 keep = (place - begin) % 2 == 0
                 at, right = at[keep], right[keep]
             next_ = after[right]
-            if not one_by_one and len(at) > 1:  # one after the other, a merge would meet its right neighbour as it is now
-                meets = np.where(next_ < n, self.pair_ranks(np.full(len(at), rank, np.int32), ids[next_]), np.int32(-1))
-                if (early := (meets >= 0) & (meets < rank)).any():
-                    odd.update(np.searchsorted(stops, at[early], "right").tolist())
+            if not one_by_one and len(at) > 1 and len(meets := np.flatnonzero(next_[:-1] == at[1:])):
+                # one after the other, a merge would meet its right neighbour as it is now
+                made = self.pair_ranks(np.full(len(meets), rank, np.int32), ids[next_[meets]])
+                if (early := (made >= 0) & (made < rank)).any():
+                    odd.update(np.searchsorted(stops, at[meets[early]], "right").tolist())
             ids[at], ids[right], pending[right] = rank, -1, -1
             after[at], before[next_] = next_, at
             previous = before[at]
