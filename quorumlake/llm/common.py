@@ -65,7 +65,6 @@ def cut(df: DataFrame) -> DataFrame:
 def stored(df: DataFrame) -> DataFrame:
     """The same rows from Parquet files in the shared folder: columns that a reader doesn't need aren't read."""
     df.write.parquet(path := shared_folder(df.sparkSession))
-    df.sparkSession.sparkContext._jvm.System.gc()  # lets Spark's cleaner delete the shuffle files behind the table, which nothing reads any more
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
