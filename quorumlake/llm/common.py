@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -115,6 +116,24 @@ def pieces(batches, size: int = BATCH_BYTES):
             yield batch.slice(at, step)
 
 
+@contextmanager
+def small_batches(spark: SparkSession, size: int = 4 << 20):
+    """What is run meanwhile gets Arrow batches of about ``size`` bytes, not 64 MB, which the executor and its Python workers would hold at once.
+
+    A single longer row is a batch of its own. The session's own setting comes back.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, str(size))
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
+
+
 def column_bytes(batch, name: str) -> list[bytes]:
     """The values of a string column as UTF-8 bytes; null is empty."""
     import pyarrow as pa

@@ -19,13 +19,13 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import numbered, pieces, shuffle_width, stored
+from .common import numbered, pieces, shuffle_width, small_batches, stored
 
 K = 32
 #: Bytes that one suffix array takes: places and ranks must fit 21 bits.
 ARRAY_BYTES = 1 << 20
 #: Bytes of texts that are hashed together, and of the texts of one such part: places must fit 24 bits.
-TOGETHER, PART_BYTES = 1 << 20, 8 << 20
+TOGETHER, PART_BYTES = 1 << 20, 1 << 20
 #: Contexts of a task that are merged at once.
 MERGED = 1_000_000
 #: Bytes of copies, and of their source, that are compared in one block.
@@ -49,7 +49,11 @@ class Hashes:
     def prefix(self, data):
         import numpy as np
 
-        return np.concatenate((np.zeros(1, np.uint64), np.cumsum((data.astype(np.uint64) + np.uint64(1)) * self.up[: len(data)])))
+        out, terms = np.zeros(len(data) + 1, np.uint64), data.astype(np.uint64)
+        terms += np.uint64(1)
+        terms *= self.up[: len(data)]
+        np.cumsum(terms, out=out[1:])
+        return out
 
     def of(self, prefix, begin, end):
         import numpy as np
@@ -69,15 +73,17 @@ def contexts(data, stops, length: int, k: int, hashes):
     n = len(data)
     width = length - k + 1  # k-byte strings of a window
     prefix = [h.prefix(data) for h in hashes]
-    grams = hashes[0].of(prefix[0], np.arange(n - k + 1), np.arange(k, n + 1))
-    least = (grams & ~np.uint64(0xFFFFFF)) | np.arange(n - k + 1, dtype=np.uint64)  # of equal ones the first
+    grams = hashes[0].of(prefix[0], slice(0, n - k + 1), slice(k, n + 1))
+    least = grams & ~np.uint64(0xFFFFFF)
+    least |= np.arange(n - k + 1, dtype=np.uint64)  # of equal ones the first
     span = 1
     while span * 2 <= width:
         least = np.minimum(least[:-span], least[span:])
         span *= 2
     if width > span:
         least = np.minimum(least[: len(least) - (width - span)], least[width - span :])
-    picked = (least & np.uint64(0xFFFFFF)).astype(np.int64)  # of the window at each place
+    picked = (least & np.uint64(0xFFFFFF)).astype(np.int32)  # of the window at each place
+    del least
     begins = np.concatenate(([0], stops[:-1]))
     inside = np.zeros(n + 1, np.int32)
     long = stops - begins >= length
@@ -100,8 +106,10 @@ def _named(keys, bits: int):
 
     order = np.sort(keys << np.uint64(bits) | np.arange(len(keys), dtype=np.uint64))
     key = order >> np.uint64(bits)
-    rank = np.empty(len(keys), np.uint64)
-    rank[(order & np.uint64((1 << bits) - 1)).astype(np.int64)] = np.cumsum(np.concatenate(([False], key[1:] != key[:-1]))).astype(np.uint64)
+    rank, new = np.empty(len(keys), np.uint32), np.concatenate(([False], key[1:] != key[:-1]))
+    del key
+    order &= np.uint64((1 << bits) - 1)
+    rank[order.view(np.int64)] = np.cumsum(new, dtype=np.uint32)
     return rank
 
 
@@ -110,16 +118,18 @@ def names(data, depth: int):
     import numpy as np
 
     n = len(data)
-    padded = np.concatenate((data, np.zeros(5, np.uint8))).astype(np.uint64)
+    padded = np.concatenate((data, np.zeros(5, np.uint8)))
     keys = np.zeros(n, np.uint64)
     for i in range(5):
-        keys = keys << np.uint64(8) | padded[i : i + n]
+        keys <<= np.uint64(8)
+        keys |= padded[i : i + n]
     rank = _named(keys, 21)
     for span in (5, 10):
-        after = np.zeros(n, np.uint64)
-        after[: max(0, n - span)] = rank[span:] + np.uint64(1)
-        rank = _named(rank << np.uint64(21) | after, 21)
-    return np.concatenate((rank, np.zeros(depth, np.uint64)))
+        keys[:] = rank
+        keys <<= np.uint64(21)
+        keys[: max(0, n - span)] |= rank[span:] + np.uint32(1)
+        rank = _named(keys, 21)
+    return np.concatenate((rank, np.zeros(depth, np.uint32)))
 
 
 def suffix_array(data, depth: int, name):
@@ -132,28 +142,33 @@ def suffix_array(data, depth: int, name):
     import numpy as np
 
     n = len(data)
-    runs = np.flatnonzero(np.append(data[1:] != data[:-1], True))  # ends of runs of one byte
-    which = np.searchsorted(runs, np.arange(n))
-    end = runs[which]
-    begin = np.concatenate(([0], runs[:-1] + 1))[which]
-    smaller = (data[end] < data[np.minimum(end + 1, n - 1)]) | (data == 0)  # byte 0 ends a piece
+    runs = np.flatnonzero(np.append(data[1:] != data[:-1], True)).astype(np.int32)  # ends of runs of one byte
+    sizes = np.diff(runs, prepend=np.int32(-1))
+    begin = np.repeat(runs - sizes + np.int32(1), sizes)
+    smaller = np.repeat(data[runs] < data[np.minimum(runs + 1, n - 1)], sizes) | (data == 0)  # byte 0 ends a piece
+    del runs, sizes
 
     place = np.uint64((1 << 21) - 1)
-    direct = np.flatnonzero(smaller).astype(np.uint64)
-    order = np.sort(name[direct.astype(np.int64)] << np.uint64(21) | direct)
-    key, direct = order >> np.uint64(21), (order & place).astype(np.int64)
+    direct = np.flatnonzero(smaller)
+    order = name[direct].astype(np.uint64)
+    order <<= np.uint64(21)
+    order |= direct.view(np.uint64)
+    order.sort()
+    key, direct = order >> np.uint64(21), (order & place).astype(np.int32)
+    del order
     for at in range(20, depth, 20):
         first = np.concatenate(([True], key[1:] != key[:-1]))
         tied = np.flatnonzero(~(first & np.append(first[1:], True)))
         if not len(tied):
             break
         group = (np.cumsum(first) - 1)[tied].astype(np.uint64)
-        part = np.sort(group << np.uint64(42) | name[direct[tied] + at] << np.uint64(21) | direct[tied].astype(np.uint64))
-        direct[tied] = (part & place).astype(np.int64)
+        part = np.sort(group << np.uint64(42) | name[direct[tied] + at].astype(np.uint64) << np.uint64(21) | direct[tied].astype(np.uint64))
+        direct[tied] = (part & place).astype(np.int32)
         key = np.arange(n, n + len(direct), dtype=np.uint64) << np.uint64(1)  # others stay apart
         head = np.concatenate(([True], part[1:] >> np.uint64(21) != part[:-1] >> np.uint64(21)))
         key[tied] = (tied[np.flatnonzero(head)[np.cumsum(head) - 1]].astype(np.uint64) << np.uint64(1)) | np.uint64(1)
 
+    key = None
     cuts = np.searchsorted(data[direct], np.arange(257))
     waiting: list[list] = [[] for _ in range(256)]
     out = []
@@ -165,7 +180,7 @@ def suffix_array(data, depth: int, name):
         left = kind_a - begin[kind_a]  # each is followed by its predecessors in its run, nearest first, those of all in turn
         if left.any():
             back = np.arange(left.sum()) - np.repeat(np.cumsum(left) - left, left) + 1
-            before = np.repeat(kind_a, left) - back
+            before = np.repeat(kind_a, left) - back.astype(np.int32)
             kind_a = np.concatenate((kind_a, before[np.argsort(back, kind="stable")]))
         bucket = np.concatenate((kind_a, kind_b))
         out.append(bucket)
@@ -189,29 +204,39 @@ def repeated_windows(blobs: list[bytes], length: int):
     stops = np.cumsum(sizes)
     name = names(data, length)
     order = suffix_array(data, length, name)
-    piece = np.searchsorted(stops, order, "right")
-    keep = stops[piece] - 1 - order >= length  # suffixes that hold a window; others don't stand between equal windows
-    order, piece = order[keep], piece[keep]
+    order = order[(np.arange(len(data), dtype=np.int32) < np.repeat((stops - length).astype(np.int32), sizes))[order]]  # suffixes that hold a window; others don't stand between equal windows
     same = np.zeros(len(order), bool)  # whether the common prefix with the one before reaches the length
-    maybe = np.arange(1, len(order))
+    maybe = np.arange(1, len(order), dtype=np.int32)
     for at in [*range(0, length - 20, 20), length - 20]:
         maybe = maybe[name[order[maybe] + at] == name[order[maybe - 1] + at]]
     same[maybe] = True
-    group = np.cumsum(~same)
     several = same | np.append(same[1:], False)
-    order, piece, group = order[several], piece[several], group[several]
+    order, group = order[several], np.cumsum(~same, dtype=np.int32)[several]
+    piece = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)[order]
     return piece, order - (stops - sizes)[piece], group
 
 
-def _spans(row, start, length: int):
-    """Runs of consecutive starts in a row, as (row, begin, end)."""
+def _line(rows, length: int):
+    """Pieces (doc, row, begin, bytes) on one line in order of doc, row, begin: each one's place there, and the row, begin and place of each run of overlapping pieces.
+
+    Windows of different runs are never next to each other on the line.
+    """
     import numpy as np
 
-    order = np.lexsort((start, row))
-    row, start = row[order], start[order]
-    first = np.flatnonzero(np.concatenate(([True], (row[1:] != row[:-1]) | (start[1:] > start[:-1] + 1)))) if len(row) else np.zeros(0, np.int64)
-    last = np.append(first[1:], len(row)) - 1 if len(row) else first
-    return row[first], start[first], start[last] + length
+    doc, row, begin = (np.array([x[i] for x in rows], np.int64) for i in range(3))
+    order = np.lexsort((begin, row, doc))
+    doc, row, begin = doc[order], row[order], begin[order]
+    end = begin + np.array([len(x[3]) for x in rows], np.int64)[order]
+    first = np.flatnonzero(np.concatenate(([True], (row[1:] != row[:-1]) | (doc[1:] != doc[:-1]))))
+    text = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(row))))
+    far = int(end.max()) + 1
+    reach = np.maximum.accumulate(end + text * far) - text * far  # of the pieces of the text so far
+    starts = np.flatnonzero(np.concatenate(([True], (text[1:] != text[:-1]) | (begin[1:] >= reach[:-1]))))
+    sizes = np.maximum.reduceat(end, starts) - begin[starts]
+    at = np.cumsum(sizes) - sizes
+    place = np.empty(len(rows), np.int64)
+    place[order] = begin + np.repeat(at - begin[starts], np.diff(np.append(starts, len(row))))
+    return place, row[starts], begin[starts], at
 
 
 def linked(row, begin, size, source, source_begin):
@@ -236,18 +261,26 @@ def repeated_spans(docs: DataFrame, length: int = 100, id_col: str = "doc_id", t
         import numpy as np
         import pyarrow as pa
 
+        def batch_of(kind, *columns):
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(columns[0]), kind, np.int32)), *(pa.array(x) for x in columns)], names=["kind", "gram", "whole", "doc_id", "row", "at", "size"])
+
         def merged(parts):
             gram, whole, doc, row, at = (np.concatenate([x[i] for x in parts]) for i in range(5))
+            parts.clear()
             order = np.lexsort((at, row, doc, whole, gram))
             gram, whole, doc, row, at = (x[order] for x in (gram, whole, doc, row, at))
             first = np.concatenate(([True], (gram[1:] != gram[:-1]) | (whole[1:] != whole[:-1])))
             rep, rest = np.flatnonzero(first)[np.cumsum(first) - 1][~first], ~first
             by = np.lexsort((at[rest], row[rep], row[rest]))
             r, b, e, src, src_b = linked(row[rest][by], (at[rest] >> 8)[by], ((at[rest] & 255) + length)[by], row[rep][by], (at[rep] >> 8)[by])
-            n, m = int(first.sum()), len(r)
-            columns = [np.repeat(np.array([1, 0], np.int32), [n, m]), *(np.concatenate((x[first], y)) for x, y in ((gram, r * 0x9E3779B97F4A7C1 + b), (whole, src), (doc, src_b), (row, r), (at, b), (at * 0, e - b)))]
-            for i in range(0, n + m, 100_000):
-                yield pa.RecordBatch.from_arrays([pa.array(x[i : i + 100_000]) for x in columns], names=["kind", "gram", "whole", "doc_id", "row", "at", "size"])
+            del order, rep, rest, by
+            first = np.flatnonzero(first)
+            for i in range(0, len(first), 100_000):
+                part = first[i : i + 100_000]
+                yield batch_of(1, gram[part], whole[part], doc[part], row[part], at[part], part * 0)
+            for i in range(0, len(r), 100_000):
+                x, y, z = (v[i : i + 100_000] for v in (r, b, e))
+                yield batch_of(0, x * 0x9E3779B97F4A7C1 + y, src[i : i + 100_000], src_b[i : i + 100_000], x, y, z - y)
 
         size, hashes, held, n_held = 0, None, [], 0
         for batch in pieces(batches, TOGETHER):
@@ -276,7 +309,7 @@ def repeated_spans(docs: DataFrame, length: int = 100, id_col: str = "doc_id", t
                     n_held += len(low)
                     if n_held >= MERGED:
                         yield from merged(held)
-                        held, n_held = [], 0
+                        n_held = 0
         if n_held:
             yield from merged(held)
 
@@ -387,16 +420,21 @@ def repeated_spans(docs: DataFrame, length: int = 100, id_col: str = "doc_id", t
         def arrays(rows, part: bool = False):
             """rows: (doc, row, begin, bytes). Windows that an earlier one in the array equals go."""
             piece, offset, group = repeated_windows([x[3] for x in rows], length)
-            doc, row, begin = (np.array([x[i] for x in rows], np.int64) for i in range(3))
-            d, r, s = doc[piece], row[piece], begin[piece] + offset
-            order = np.lexsort((s, r, d, group))
-            group, r, s, piece, offset = group[order], r[order], s[order], piece[order], offset[order]
+            place, row_of, begin_of, starts = _line(rows, length)
+            order = group.astype(np.uint64) << np.uint64(42) | (place[piece] + offset).astype(np.uint64) << np.uint64(21) | np.arange(len(piece), dtype=np.uint64)
+            order.sort()
+            low = np.uint64((1 << 21) - 1)
+            group, at, order = order >> np.uint64(42), (order >> np.uint64(21) & low).astype(np.int32), (order & low).astype(np.int32)
             same = np.concatenate(([False], group[1:] == group[:-1])) if len(group) else np.zeros(0, bool)
-            twice = same & np.concatenate(([False], (r[1:] == r[:-1]) & (s[1:] == s[:-1]))) if len(group) else same  # one place may be in two pieces
+            twice = same & np.concatenate(([False], at[1:] == at[:-1])) if len(group) else same  # one place may be in two pieces
             head = np.maximum.accumulate(np.where(same, 0, np.arange(len(same)))) if len(group) else same  # the class's first place
-            later = same & ~((r == r[head]) & (s == s[head])) if len(group) else same
-            a, b, e = _spans(r[later], s[later], length)
-            yield out(0, a * 0, a, b, e)
+            later = same & (at != at[head]) if len(group) else same
+            run = np.unique(at[later])
+            first = np.flatnonzero(np.diff(run, prepend=np.int32(-2)) > 1)
+            last = np.append(first[1:], len(run))[: len(first)] - 1
+            which = np.searchsorted(starts, run[first], "right") - 1
+            a, b = row_of[which], begin_of[which] + run[first] - starts[which]
+            yield out(0, a * 0, a, b, b + run[last] - run[first] + length)
             if part:
                 if not hashes:
                     hashes.append(Hashes(BASES[0], 2 * ARRAY_BYTES))
@@ -404,13 +442,14 @@ def repeated_spans(docs: DataFrame, length: int = 100, id_col: str = "doc_id", t
                 sizes = np.array([len(x[3]) for x in rows], np.int64)
                 n = sizes - length + 1
                 stays = np.ones(int(n.sum()), bool)
-                gone = later | twice
+                gone = order[later | twice]
                 stays[(np.cumsum(n) - n)[piece[gone]] + offset[gone]] = False
                 which = np.repeat(np.arange(len(rows)), n)[stays]
                 offset = (np.arange(len(stays)) - np.repeat(np.cumsum(n) - n, n))[stays]
                 at = (np.cumsum(sizes) - sizes)[which] + offset
                 h = hashes[0].of(hashes[0].prefix(data), at, at + length).view(np.int64)
-                yield out(1, h, row[which], begin[which] + offset, begin[which] + offset + length)
+                row, begin = (np.array([x[i] for x in rows], np.int64)[which] for i in (1, 2))
+                yield out(1, h, row, begin + offset, begin + offset + length)
 
         gone: list = []  # places of pieces that are, byte for byte, copies of an earlier piece
 
@@ -465,11 +504,13 @@ def repeated_spans(docs: DataFrame, length: int = 100, id_col: str = "doc_id", t
         by_row = requests.groupBy("row", "slot").agg(F.collect_list(F.struct("key", "begin", "size")).alias("x")).select("row", "x")
         joined = table.join(by_row.hint("shuffle_hash"), "row").select("row", "doc_id", "text", "x.key", "x.begin", "x.size")
         fetched = joined.mapInArrow(fetch, "key long, doc_id long, row long, begin long, bytes binary")
-        return stored(fetched.repartition(width, "key").sortWithinPartitions("key").mapInArrow(sort, "kind int, key long, row long, begin long, end long"))
+        with small_batches(spark):
+            return stored(fetched.repartition(width, "key").sortWithinPartitions("key").mapInArrow(sort, "kind int, key long, row long, begin long, end long"))
 
     picked = table.mapInArrow(pick, "kind int, gram long, whole long, doc_id long, row long, at long, size long")
     order = ["kind", "gram", "whole", "doc_id", "row", "at"]
-    met = stored(picked.repartition(width, "gram").sortWithinPartitions(*order).mapInArrow(meet, "kind int, row long, begin long, size long, key long, source_begin long"))
+    with small_batches(spark):
+        met = stored(picked.repartition(width, "gram").sortWithinPartitions(*order).mapInArrow(meet, "kind int, row long, begin long, size long, key long, source_begin long"))
     links = met.where("kind = 0").select("row", "begin", "size", F.col("key").alias("source"), "source_begin")
     blocks = links.repartition(width, "row").sortWithinPartitions("row", "source", "begin").mapInArrow(block, "row long, slot long, key long, begin long, size long")
     blocks = blocks.withColumn("slot", F.floor(F.col("slot") / 64).cast("long"))  # one source's requests of many blocks are fetched in several rows

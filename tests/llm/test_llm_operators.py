@@ -245,6 +245,53 @@ def test_repeated_bytes_equal_brute_force(spark, monkeypatch, array_bytes):
     assert sorted((r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in found) == sorted(want)
 
 
+def test_crowded_passage_equals_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(suffix, "ARRAY_BYTES", 4000)
+    rnd = random.Random(4)
+    noise = lambda n: "".join(rnd.choice("abcdefgh") for _ in range(n))
+    hot = noise(110)  # more bytes of unlike surroundings than one array takes
+    docs = [(i, noise(rnd.randrange(90)) + hot + noise(rnd.randrange(90)) + (hot[:99] if i % 3 else "")) for i in range(60)]
+    seen, want = set(), []
+    for i, text in docs:
+        raw = text.encode()
+        gone = [False] * len(raw)
+        for at in range(len(raw) - 99):
+            if raw[at : at + 100] in seen:
+                gone[at : at + 100] = [True] * 100
+            seen.add(raw[at : at + 100])
+        want.append((i, sum(gone), bytes(x for x, g in zip(raw, gone, strict=True) if not g)))
+    found = suffix.remove_repeats(table(spark, docs)).collect()
+    assert sorted((r.doc_id, r.n_removed, bytes(r.kept)) for r in found) == want
+
+
+def test_suffix_sort_keeps_within_an_executors_memory(spark):
+    import tracemalloc
+
+    rnd = random.Random(5)
+    blobs = [bytes(rnd.choices(b"abcdefgh ", k=168)) for _ in range(6000)] + [b"abcdefgh " * 18] * 200
+    suffix.repeated_windows(blobs[:10], 100)
+    tracemalloc.start()
+    try:
+        suffix.repeated_windows(blobs, 100)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 60 * sum(map(len, blobs))
+
+    def sizes(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes], pa.int64())], names=["bytes"])
+
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    with common.small_batches(spark):
+        rows = spark.range(2000, numPartitions=1).selectExpr("repeat('x', 10000) AS x").mapInArrow(sizes, "bytes long").collect()
+    assert max(r.bytes for r in rows) < 5 << 20 and sum(r.bytes for r in rows) >= 20_000_000
+    assert spark.conf.get(key) == before
+
+
 def test_fingerprints_and_components_equal_brute_force(spark):
     import xxhash
 
