@@ -41,3 +41,9 @@ def test_entry(spark):
     import __spark_entry__
 
     assert __spark_entry__.entry(spark).columns == ["request", "span", "digest"]
+
+
+def test_packed_records_encode_once(spark, sf_dir):
+    plan = catalogue.QUERIES["H16_packed_records"](spark, sf_dir)._jdf.queryExecution()
+    assert plan.analyzed().toString().count("to_json") <= 2
+    assert plan.optimizedPlan().toString().count("to_json") <= 2
