@@ -265,10 +265,12 @@ def repeated_spans(docs: DataFrame, length: int = 100, id_col: str = "doc_id", t
             return pa.RecordBatch.from_arrays([pa.array(np.full(len(columns[0]), kind, np.int32)), *(pa.array(x) for x in columns)], names=["kind", "gram", "whole", "doc_id", "row", "at", "size"])
 
         def merged(parts):
-            gram, whole, doc, row, at = (np.concatenate([x[i] for x in parts]) for i in range(5))
+            columns = [np.concatenate([x[i] for x in parts]) for i in range(5)]
             parts.clear()
-            order = np.lexsort((at, row, doc, whole, gram))
-            gram, whole, doc, row, at = (x[order] for x in (gram, whole, doc, row, at))
+            order = np.lexsort(columns[::-1])
+            for i in range(5):  # one at a time: the unsorted one goes
+                columns[i] = columns[i][order]
+            gram, whole, doc, row, at = columns
             first = np.concatenate(([True], (gram[1:] != gram[:-1]) | (whole[1:] != whole[:-1])))
             rep, rest = np.flatnonzero(first)[np.cumsum(first) - 1][~first], ~first
             by = np.lexsort((at[rest], row[rep], row[rest]))
@@ -448,8 +450,10 @@ def repeated_spans(docs: DataFrame, length: int = 100, id_col: str = "doc_id", t
                 offset = (np.arange(len(stays)) - np.repeat(np.cumsum(n) - n, n))[stays]
                 at = (np.cumsum(sizes) - sizes)[which] + offset
                 h = hashes[0].of(hashes[0].prefix(data), at, at + length).view(np.int64)
-                row, begin = (np.array([x[i] for x in rows], np.int64)[which] for i in (1, 2))
-                yield out(1, h, row, begin + offset, begin + offset + length)
+                row, begin = (np.array([x[i] for x in rows], np.int64) for i in (1, 2))
+                for i in range(0, len(h), 100_000):
+                    r, b = row[which[i : i + 100_000]], begin[which[i : i + 100_000]] + offset[i : i + 100_000]
+                    yield out(1, h[i : i + 100_000], r, b, b + length)
 
         gone: list = []  # places of pieces that are, byte for byte, copies of an earlier piece
 
