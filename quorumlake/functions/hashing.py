@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -30,12 +32,15 @@ def payload_matches(content: Column, sha256: Column, crc32: Column) -> Column:
 
 
 def little_endian(content: Column, at: int, size: int) -> Column:
-    """An unsigned little-endian integer of up to 16 bytes, as a decimal of 38 digits; larger values are null."""
-    byte = lambda i: F.conv(F.hex(F.substring(content, at + i + 1, 1)), 16, 10).cast("decimal(38,0)")
-    total = byte(size - 1)
-    for i in reversed(range(size - 1)):
-        total = F.try_add(F.try_multiply(total, F.lit(256).cast("decimal(38,0)")).cast("decimal(38,0)"), byte(i)).cast("decimal(38,0)")
-    return total
+    """An unsigned little-endian integer of up to 16 bytes, as a decimal of 38 digits; larger values and missing bytes are null.
+
+    The bytes are turned as hex digits and read in halves of 8. ``content`` stands once for each byte, so it should be a plain column.
+    """
+    half = lambda a, b: F.conv(F.concat(*(F.hex(F.substring(content, at + i + 1, 1)) for i in reversed(range(a, b)))), 16, 10).cast("decimal(20,0)")
+    whole = half(0, min(size, 8))
+    if size > 8:
+        whole = F.try_add(F.try_multiply(half(8, size), F.lit(Decimal(1 << 64))), whole)
+    return F.when(F.octet_length(content) >= at + size, whole.cast("decimal(38,0)"))
 
 
 def smart_page(page: Column) -> Column:

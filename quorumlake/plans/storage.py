@@ -47,7 +47,8 @@ def _(spark, d):
 def _(spark, d):
     n = F.lpad(F.hex(F.col("event_id") * 1_000_003 + 7), 32, "0")
     page = F.unhex(F.concat(*(F.substring(n, 31 - 2 * i, 2) for i in range(16))))
-    return M.table(spark, d, "events").select("event_id", hashing.little_endian(page, 0, 16).cast("string").alias("units"))
+    pages = M.table(spark, d, "events").select("event_id", page.alias("page"))
+    return pages.select("event_id", hashing.little_endian(F.col("page"), 0, 16).cast("string").alias("units"))
 
 
 @query("S17_metric_sums", "select 'hits' as name, (sum(event_id) filter (event_type = 'click'))::double as value from events")
