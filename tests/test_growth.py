@@ -22,3 +22,12 @@ def test_little_endian_integers(spark):
     assert [None if r.v is None else int(r.v) for r in found] == [*values[:6], None, None, None]
     assert [int(r.two) for r in found[:8]] == [v & 0xFFFF for v in values]
     assert [int(r.eight) for r in found[:8]] == [v & (1 << 64) - 1 for v in values]
+
+
+def test_a_table_in_parts_is_one_entry(spark, tmp_path):
+    spark.range(10).repartition(3).write.parquet(str(tmp_path / "all" / "parts.parquet"))
+    spark.range(10).coalesce(1).write.parquet(str(tmp_path / "one"))
+    next((tmp_path / "one").glob("part-*")).rename(tmp_path / "all" / "single.parquet")
+    for path in (tmp_path / "all", f"file:{tmp_path}/all/"):
+        found = catalogue.QUERIES["S02_scan_files"](spark, str(path)).orderBy("name").collect()
+        assert [tuple(r) for r in found] == [("parts.parquet", True, True), ("single.parquet", True, True)]
