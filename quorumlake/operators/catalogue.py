@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import deal, parts
+
 
 def live_refs(roots: DataFrame, refs: DataFrame) -> DataFrame:
     """Distinct (digest, chunk) of valid roots: a chunk listed twice by a root counts once, an invalid root has none."""
-    return refs.join(roots.where("valid").select("digest"), "digest", "left_semi").select("digest", "chunk").distinct()
+    n = parts(refs)
+    # no semi-join: the optimizer would move it below the repartition, and the rows would be shuffled twice
+    return deal(refs.select("digest", "chunk"), n, "digest").join(deal(roots.where("valid").select("digest"), n, "digest").distinct(), "digest").distinct()
 
 
 def reference_counts(roots: DataFrame, refs: DataFrame) -> DataFrame:
@@ -24,7 +28,8 @@ def store_bytes(roots: DataFrame, objects: DataFrame, block: int = 4096) -> Data
 
 def orphans(roots: DataFrame, refs: DataFrame, objects: DataFrame) -> DataFrame:
     """Objects that no valid root refers to."""
-    return objects.join(live_refs(roots, refs).select("chunk"), "chunk", "left_anti")
+    n = parts(refs)
+    return objects.join(deal(live_refs(roots, refs).select("chunk"), n, "chunk"), "chunk", "left_anti")
 
 
 def unshadowed(aliases: DataFrame, roots: DataFrame) -> DataFrame:
@@ -72,7 +77,7 @@ def extent_offsets(refs: DataFrame, root: str = "digest", order: str = "idx") ->
     """Where each object begins and ends in its root's concatenation."""
     over = Window.partitionBy(root).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     end = F.sum("bytes").over(over)
-    return refs.withColumn("encoded_end", end).withColumn("encoded_start", F.col("encoded_end") - F.col("bytes"))
+    return deal(refs, parts(refs), root).withColumn("encoded_end", end).withColumn("encoded_start", F.col("encoded_end") - F.col("bytes"))
 
 
 def publish(objects: DataFrame, incoming: DataFrame) -> DataFrame:

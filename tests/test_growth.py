@@ -1,5 +1,8 @@
 """What grows faster than the input, or costs more than it need: plans that repeat a step, tasks that hold more as tables grow."""
 
+import re
+from pathlib import Path
+
 from pyspark.sql import functions as F
 
 from quorumlake.functions import hashing
@@ -31,3 +34,23 @@ def test_a_table_in_parts_is_one_entry(spark, tmp_path):
     for path in (tmp_path / "all", f"file:{tmp_path}/all/"):
         found = catalogue.QUERIES["S02_scan_files"](spark, str(path)).orderBy("name").collect()
         assert [tuple(r) for r in found] == [("parts.parquet", True, True), ("single.parquet", True, True)]
+
+
+def test_shuffles_grow_with_the_tables(spark, sf_dir, monkeypatch):
+    from quorumlake import session
+
+    by = lambda name: [int(x) for x in re.findall(r"RepartitionByExpression \[[^\]]*\], (\d+)", optimized(catalogue.QUERIES[name](spark, sf_dir)))]
+    names = ["A02_reference_counts", "J06_orphans", "A07_shared_bytes", "Z32_split_ranges", "S12_materialise_snapshot", "J11_zipped_tails"]
+    size = Path(f"{sf_dir}/lineitem.parquet").stat().st_size
+    monkeypatch.setattr(session, "PART_BYTES", size // 40)
+    for name in names:
+        assert by(name) and min(by(name)) >= 40, name
+    monkeypatch.setattr(session, "PART_BYTES", size)
+    for name in names:
+        assert not by(name), name  # small tables leave the number to the session
+
+
+def test_pages_are_not_sorted(spark, sf_dir):
+    for name in ("S12_materialise_snapshot", "S12_every_root_kind", "J11_zipped_tails"):
+        plan = catalogue.QUERIES[name](spark, sf_dir)._jdf.queryExecution().sparkPlan().toString()
+        assert "ShuffledHashJoin" in plan and "SortMergeJoin" not in plan, name
