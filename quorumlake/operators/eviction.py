@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import deal, parts
 from .catalogue import expired, live_refs
 from .ordering import ordered
 
@@ -28,10 +29,11 @@ def maintain(roots: DataFrame, refs: DataFrame, objects: DataFrame, *, now_ns: i
     """
     order = removal_order(roots, now_ns, ttl_ns)
     live = live_refs(roots, refs)
-    placed = live.join(order.select("digest", "ord"), "digest", "left")
+    n = parts(refs)
+    placed = live.join(deal(order.select("digest", "ord"), n, "digest"), "digest", "left")
     freeing = placed.groupBy("chunk").agg(F.max("ord").alias("ord"), F.bool_or(F.col("ord").isNull()).alias("kept"))
     chunk_bytes = freeing.where(~F.col("kept")).join(objects, "chunk").groupBy("ord").agg(F.sum("bytes").alias("chunk_bytes"))
-    freed = order.join(chunk_bytes, "ord", "left").withColumn("freed", F.col("manifest_bytes") + F.coalesce("chunk_bytes", F.lit(0)))
+    freed = deal(order, n, "ord").join(deal(chunk_bytes, n, "ord"), "ord", "left").withColumn("freed", F.col("manifest_bytes") + F.coalesce("chunk_bytes", F.lit(0)))
     totals = roots.agg(F.sum("manifest_bytes").alias("m")).crossJoin(objects.agg(F.sum("bytes").alias("o")))
     orphan = objects.join(live.select("chunk").distinct(), "chunk", "left_anti").agg(F.coalesce(F.sum("bytes"), F.lit(0)).alias("orphan_bytes"), F.count("*").alias("n_orphans"))
     state = totals.crossJoin(orphan).select((F.coalesce("m", F.lit(0)) + F.coalesce("o", F.lit(0))).alias("bytes_before"), "orphan_bytes", "n_orphans")

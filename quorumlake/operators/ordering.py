@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import cut
+from ..session import cut, parts
 
 
 def ordered(df: DataFrame, *order) -> DataFrame:
@@ -15,7 +15,7 @@ def ordered(df: DataFrame, *order) -> DataFrame:
     and adds the sizes of the ranges before, of which there are as many as partitions.
     """
     spark = df.sparkSession
-    width = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    width = max(int(spark.conf.get("spark.sql.shuffle.partitions")), parts(df))
     ranged = cut(df.repartitionByRange(width, *order).sortWithinPartitions(*order).select("*", F.spark_partition_id().alias("part__"), F.monotonically_increasing_id().alias("at__")))
     sizes = ranged.groupBy("part__").agg(F.count("*").alias("n__"), F.min("at__").alias("first__"))
     before = sizes.withColumn("before__", F.coalesce(F.sum("n__").over(Window.orderBy("part__").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
