@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import deal, parts
 from .ordering import in_group
 
 MAGIC = b"QLC1"
@@ -162,7 +163,8 @@ def cohorts(loads: DataFrame, members: int = 16) -> DataFrame:
 
 def materialise(live: DataFrame, pieces: DataFrame) -> DataFrame:
     """Pages of a snapshot from the live ranges of its stages; rows (root, layer, stage, page, payload)."""
-    return pieces.join(live, ["root", "layer", "stage"]).where((F.col("page") >= F.col("start")) & (F.col("page") < F.col("live_end"))).select("root", "layer", "page", "payload")
+    # the ranges are hashed and the pages streamed: a sort would hold, and spill, every page
+    return pieces.join(live.hint("shuffle_hash"), ["root", "layer", "stage"]).where((F.col("page") >= F.col("start")) & (F.col("page") < F.col("live_end"))).select("root", "layer", "page", "payload")
 
 
 def finish_stores(results: DataFrame, held: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from ..operators import deltas as D
 from ..operators import eviction, gates, ledger, pages, quorum, structures, timeseries
 from ..operators import storage as S
 from ..operators import validators as V
+from ..session import deal, parts
 from ..sources import model as M
 from .catalogue import ALIASES, ATTEMPTS, BASE_TAIL, EVICT, INDEXED, NOW_NS, PAGES, STAGES, YEAR_NS, _aliases, _indexed, _limits, _pages, _receipts, _stages, query
 from .deltas import LAYERS, _layouts
@@ -179,8 +180,8 @@ def _(spark, d):
 @query("J11_zipped_tails", f'with {STAGES}, x as (select *, least("end", coalesce(min("start") over (partition by root, layer order by stage rows between 1 following and unbounded following), "end")) as live_end from st) select root, layer, sum(live_end - "start")::bigint as pages from x where live_end > "start" group by root, layer')
 def _(spark, d):
     stages = _stages(spark, d)
-    pieces = stages.select("root", "layer", "stage", F.explode(F.sequence("start", F.col("end") - 1)).alias("page")).withColumn("payload", F.col("page"))
-    return S.materialise(structures.overlay(stages), pieces).groupBy("root", "layer").agg(F.count("*").alias("pages"))
+    pieces = deal(stages, parts(stages), "root", "layer", "stage").select("root", "layer", "stage", F.explode(F.sequence("start", F.col("end") - 1)).alias("page")).withColumn("payload", F.col("page"))
+    return S.materialise(deal(structures.overlay(stages), parts(stages), "root", "layer", "stage"), pieces).groupBy("root", "layer").agg(F.count("*").alias("pages"))
 
 
 @query("J12_overlapping_extents", f'with {INDEXED}, ex as (select digest, idx, (sum(bytes) over w - bytes)::bigint as s, (sum(bytes) over w)::bigint as e from ix join objects using (chunk) window w as (partition by digest order by idx)) select o_orderkey as request, count(*) as pieces, sum(least(30000, e) - greatest(10000, s))::bigint as bytes from orders join ex on digest = o_orderkey where s < 30000 and e > 10000 group by o_orderkey', "objects")
@@ -392,8 +393,8 @@ def _(spark, d):
     stages = _stages(spark, d)
     base = stages.select("root", "layer").distinct().select("root", "layer", F.lit(0).alias("stage"), F.lit(0).cast("long").alias("start"), (10 + F.col("root") % 50).alias("end"))
     every = base.unionByName(stages.where("root % 2 = 0"))  # odd roots are snapshots, even ones deltas over theirs
-    pieces = every.select("root", "layer", "stage", F.explode(F.sequence("start", F.col("end") - 1)).alias("page")).withColumn("payload", F.col("stage") * 1000 + F.col("page"))
-    return S.materialise(structures.overlay(every), pieces)
+    pieces = deal(every, parts(every), "root", "layer", "stage").select("root", "layer", "stage", F.explode(F.sequence("start", F.col("end") - 1)).alias("page")).withColumn("payload", F.col("stage") * 1000 + F.col("page"))
+    return S.materialise(deal(structures.overlay(every), parts(every), "root", "layer", "stage"), pieces)
 
 
 @query("S21_inspections", "select c_custkey, case when c_custkey % 3 <> 2 then c_name end as name from customer")

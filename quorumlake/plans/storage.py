@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import hashing
 from ..operators import storage as S
-from ..session import cut
+from ..session import cut, deal, parts
 from ..sources import model as M
 from .catalogue import INDEXED, PREFIXES, _events, _indexed, _prefixes, query
 
@@ -354,8 +354,9 @@ def _(spark, d):
     from .catalogue import _stages
 
     stages = _stages(spark, d)
-    pieces = stages.where("`end` > start").select("root", "layer", "stage", F.explode(F.sequence("start", F.col("end") - 1)).alias("page")).withColumn("payload", F.col("stage") * 1000 + F.col("page"))
-    return S.materialise(structures.overlay(stages), pieces)
+    # dealt by stage before the pages are made, which then stay where they are
+    pieces = deal(stages.where("`end` > start"), parts(stages), "root", "layer", "stage").select("root", "layer", "stage", F.explode(F.sequence("start", F.col("end") - 1)).alias("page")).withColumn("payload", F.col("stage") * 1000 + F.col("page"))
+    return S.materialise(deal(structures.overlay(stages), parts(stages), "root", "layer", "stage"), pieces)
 
 
 @query("Z12_finish_stores", "with r as (select event_id as digest, case event_id % 3 when 0 then 'committed' when 1 then 'evicted' else 'error' end as outcome from events), h as (select o_orderkey as digest from orders) select digest from (select digest from h union select digest from r where outcome = 'committed') where digest not in (select digest from r where outcome <> 'committed')")
