@@ -9,6 +9,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def let(value: Column, f) -> Column:
+    """``f`` of a value that is made once, however often ``f`` names it."""
+    return F.get(F.transform(F.array(value), f), 0)
+
+
 def canonical_digest(struct: Column) -> Column:
     """SHA-256 of a struct's compact JSON; its fields must be in sorted order and set."""
     return F.sha2(F.to_json(struct).cast("binary"), 256)
@@ -65,19 +70,23 @@ def human_bytes(n: Column) -> Column:
     return out
 
 
+def swapped32(x: Column) -> Column:
+    """An unsigned 32-bit integer with its bytes turned; ``x`` should be a plain column or variable."""
+    byte = lambda at: F.shiftright(x, at).bitwiseAND(255)
+    return F.shiftleft(byte(0), 24) + F.shiftleft(byte(8), 16) + F.shiftleft(byte(16), 8) + byte(24)
+
+
 def packed_positions(positions: Column) -> Column:
     """Positions as unsigned 32-bit little-endian integers; null if one is out of range."""
-    swap = lambda h: F.concat(F.substring(h, 7, 2), F.substring(h, 5, 2), F.substring(h, 3, 2), F.substring(h, 1, 2))
     fits = F.forall(positions, lambda x: (x >= 0) & (x < 1 << 32))
-    return F.when(fits, F.unhex(F.array_join(F.transform(positions, lambda x: swap(F.lpad(F.hex(x), 8, "0"))), "")))
+    return F.when(fits, F.unhex(F.array_join(F.transform(positions, lambda x: F.lpad(F.hex(swapped32(x.cast("long"))), 8, "0")), "")))
 
 
 def unpacked_positions(content: Column) -> Column:
     """The inverse of ``packed_positions``; null unless the bytes are whole integers."""
     n = F.octet_length(content)
-    byte = lambda at: F.conv(F.hex(F.substring(content, at, F.lit(1))), 16, 10).cast("long")
-    one = lambda i: byte(4 * i + 1) + byte(4 * i + 2) * 256 + byte(4 * i + 3) * 65536 + byte(4 * i + 4) * 16777216
-    whole = F.when(n > 0, F.transform(F.sequence(F.lit(0), F.floor(n / 4).cast("int") - 1), one)).otherwise(F.array().cast("array<bigint>"))
+    read = F.transform(F.sequence(F.lit(0), F.floor(n / 4).cast("int") - 1), lambda i: F.conv(F.hex(F.substring(content, 4 * i + 1, F.lit(4))), 16, 10).cast("long"))
+    whole = F.when(n > 0, F.transform(read, swapped32)).otherwise(F.array().cast("array<bigint>"))
     return F.when(n % 4 == 0, whole)
 
 

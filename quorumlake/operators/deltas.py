@@ -9,6 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.hashing import let
+from ..session import deal, parts
+
 #: Fixed values of the stored format.
 SNAPSHOT_MAGIC, DELTA_MAGIC = b"QLSNP1", b"QLDLT1"
 PREFIX_BYTES = 10
@@ -26,14 +29,12 @@ def le32(n: Column) -> Column:
 
 
 def read_le32(content: Column, at: int) -> Column:
-    byte = lambda i: F.conv(F.hex(F.substring(content, at + i, 1)), 16, 10).cast("long")
-    return byte(1) + byte(2) * 256 + byte(3) * 65536 + byte(4) * 16777216
+    return F.conv(F.concat(*(F.hex(F.substring(content, at + i, 1)) for i in (4, 3, 2, 1))), 16, 10).cast("long")
 
 
 def header(magic: bytes, document: Column) -> Column:
     """Magic, the document's length, the JSON document."""
-    body = F.to_json(document).cast("binary")
-    return F.concat(F.lit(magic), le32(F.octet_length(body)), body)
+    return let(F.to_json(document).cast("binary"), lambda body: F.concat(F.lit(magic), le32(F.octet_length(body)), body))
 
 
 def snapshot_header(layout_sha256: Column, counts: Column) -> Column:
@@ -51,9 +52,9 @@ def header_prefix(content: Column, magic: bytes = DELTA_MAGIC) -> Column:
 
 def authenticated_header(content: Column, header_sha256: Column, object_sha256: Column) -> Column:
     """(header, reason) of a delta's first object: bound by the header's own digest if the root names one, else by the object's."""
-    found = header_prefix(content)
-    bad = F.when(content.isNull(), "unavailable").when(found.isNull(), "truncated").when(F.when(header_sha256.isNotNull(), F.sha2(found, 256) != header_sha256).otherwise(F.sha2(content, 256) != object_sha256), "digest")
-    return F.struct(F.when(bad.isNull(), found).alias("header"), bad.alias("reason"))
+    wrong = lambda found: F.when(header_sha256.isNotNull(), F.sha2(found, 256) != header_sha256).otherwise(F.sha2(content, 256) != object_sha256)
+    bad = lambda found: F.when(content.isNull(), "unavailable").when(found.isNull(), "truncated").when(wrong(found), "digest")
+    return let(header_prefix(content), lambda found: let(bad(found), lambda reason: F.struct(F.when(reason.isNull(), found).alias("header"), reason.alias("reason"))))
 
 
 def payload_ok(integrity: Column, content: Column, sha256: Column, crc32: Column) -> Column:
@@ -83,13 +84,15 @@ def plan_delta(deltas: DataFrame) -> DataFrame:
     by_group = lambda m: F.map_from_entries(F.transform(F.map_entries(m), lambda e: F.struct(e["key"].cast("long").alias("key"), e["value"].alias("value"))))  # noqa: E731  JSON names are text
     x = x.withColumn("h", F.when(F.col("h").isNotNull(), F.struct(F.col("h.layout_sha256").alias("layout_sha256"), *(by_group(F.col(f"h.{n}")).alias(n) for n in ("base_counts", "result_counts", "reused")), F.col("h.base_tokens").alias("base_tokens"), F.col("h.result_tokens").alias("result_tokens"), F.col("h.tails").alias("tails"))))
     x = x.withColumn("header_bytes", F.octet_length("head").cast("long"))
-    groups = F.array_sort(F.array_distinct(F.transform("layers", lambda v: v["grp"])))
-    same = lambda a, b: F.array_sort(F.map_entries(a)) == F.array_sort(F.map_entries(b))
+    x = x.withColumn("groups", F.sort_array(F.array_distinct(F.transform("layers", lambda v: v["grp"]))))
+    groups = F.col("groups")
+    same = lambda a, b: F.sort_array(F.map_entries(a)) == F.sort_array(F.map_entries(b))
     grows = F.forall(groups, lambda g: (F.element_at("base_counts", g) > 0) & (F.element_at("result_counts", g) >= F.element_at("base_counts", g)))
     bound = (F.col("h.layout_sha256") == F.col("layout_sha256")) & same(F.col("h.base_counts"), F.col("base_counts")) & same(F.col("h.result_counts"), F.col("result_counts")) & (F.col("h.base_tokens") == F.col("base_tokens")) & (F.col("h.result_tokens") == F.col("result_tokens"))
     reuse = F.forall(groups, lambda g: F.element_at("h.reused", g).between(0, F.element_at("base_counts", g)))
     stored = F.map_from_arrays(groups, F.transform(groups, lambda g: F.element_at("result_counts", g) - F.element_at("h.reused", g)))
-    x = x.withColumn("tails", extents(F.col("layers"), stored, F.col("header_bytes")))
+    x = x.withColumn("stored", stored)  # a column: inside the fold it would be made again for each layer
+    x = x.withColumn("tails", extents(F.col("layers"), F.col("stored"), F.col("header_bytes")))
     listed = F.transform("h.tails", lambda t: F.struct(t["name"].alias("name"), t["bytes"].alias("bytes")))
     wanted = F.transform("tails", lambda t: F.struct(t["name"].alias("name"), (t["source_end"] - t["source_start"]).alias("bytes")))
     end = F.element_at("tails", -1)["source_end"]
@@ -98,7 +101,7 @@ def plan_delta(deltas: DataFrame) -> DataFrame:
     x = x.withColumn("reason", reason)
     destination = lambda t: F.element_at("h.reused", t["grp"]) * F.filter("layers", lambda v: v["name"] == t["name"])[0]["page_bytes"]
     tails = F.transform("tails", lambda t: F.struct(t["grp"].alias("grp"), t["name"].alias("name"), t["source_start"].alias("source_start"), t["source_end"].alias("source_end"), destination(t).alias("destination")))
-    return x.withColumn("tails", F.when(F.col("reason").isNull(), tails)).drop("head", "h")
+    return x.withColumn("tails", F.when(F.col("reason").isNull(), tails)).drop("head", "h", "groups", "stored")
 
 
 def publish_extension(extensions: DataFrame, roots: DataFrame, stage_limit: int = STAGE_LIMIT, chain_limit: int = CHAIN_LIMIT) -> DataFrame:
@@ -145,7 +148,7 @@ def split_range(ranges: DataFrame, objects: DataFrame) -> DataFrame:
     x = ranges.join(objects, "source").where((F.col("encoded_start") < F.col("end")) & (F.col("encoded_end") > F.col("start")))
     begin, end = F.greatest("start", "encoded_start"), F.least("end", "encoded_end")
     cut = x.select("range", "object", (begin - F.col("encoded_start")).alias("object_offset"), (F.col("destination") + begin - F.col("start")).alias("destination"), (end - begin).alias("bytes"), (F.col("end") - F.col("start")).alias("asked"))
-    return cut.withColumn("covered", F.sum("bytes").over(Window.partitionBy("range")) == F.col("asked")).drop("asked")
+    return deal(cut, parts(cut), "range").withColumn("covered", F.sum("bytes").over(Window.partitionBy("range")) == F.col("asked")).drop("asked")
 
 
 def base_evidence(roots: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.hashing import let
 from ..session import deal, parts
 from .ordering import in_group
 
@@ -18,22 +19,27 @@ def encode_chunk(records: Column) -> Column:
 
     ``records`` is a map from name to bytes. The header lists name, offset, size and digest in the order of names.
     """
-    entries = F.array_sort(F.map_entries(records))
+    entries = F.sort_array(F.map_entries(records))
     zero = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<name:string,offset:bigint,size:bigint,sha256:string>>").alias("h"), F.lit(b"").alias("b"))
     size = lambda x: F.octet_length(x["value"]).cast("long")
     item = lambda a, x: F.struct(x["key"].alias("name"), a["at"].alias("offset"), size(x).alias("size"), F.sha2(x["value"], 256).alias("sha256"))
     folded = F.aggregate(entries, zero, lambda a, x: F.struct((a["at"] + size(x)).alias("at"), F.concat(a["h"], F.array(item(a, x))).alias("h"), F.concat(a["b"], x["value"]).alias("b")))
-    header = F.to_json(folded["h"]).cast("binary")
-    return F.concat(F.lit(MAGIC), F.lower(F.lpad(F.hex(F.octet_length(header)), 8, "0")).cast("binary"), header, folded["b"])
+    whole = lambda header, body: F.concat(F.lit(MAGIC), F.lower(F.lpad(F.hex(F.octet_length(header)), 8, "0")).cast("binary"), header, body)
+    return let(folded, lambda f: let(F.to_json(f["h"]).cast("binary"), lambda header: whole(header, f["b"])))
 
 
 def decode_chunk(content: Column) -> Column:
     """Map from name to bytes of a chunk file; null where the magic, the header or a record's digest is wrong."""
+    # each step is the variable of a lambda, so that it is read once and not again for each record
+    kind = "array<struct<name:string,offset:bigint,size:bigint,sha256:string>>"
+
+    def records(n: Column) -> Column:
+        header = F.from_json(F.substring(content, F.lit(13), n).cast("string"), kind)
+        cut = F.transform(header, lambda x: F.struct(x["name"].alias("name"), F.substring(content, (n + 13 + x["offset"]).cast("int"), x["size"].cast("int")).alias("value"), x["sha256"].alias("sha256")))
+        return let(cut, lambda found: F.when(F.forall(found, lambda x: F.sha2(x["value"], 256) == x["sha256"]), F.map_from_entries(F.transform(found, lambda x: F.struct(x["name"], x["value"])))))
+
     n = F.conv(F.substring(content, 5, 8).cast("string"), 16, 10).cast("int")
-    header = F.from_json(F.substring(content, F.lit(13), n).cast("string"), "array<struct<name:string,offset:bigint,size:bigint,sha256:string>>")
-    cut = lambda x: F.substring(content, (n + 13 + x["offset"]).cast("int"), x["size"].cast("int"))
-    good = (F.substring(content, 1, 4) == F.lit(MAGIC)) & F.forall(header, lambda x: F.sha2(cut(x), 256) == x["sha256"])
-    return F.when(good, F.map_from_entries(F.transform(header, lambda x: F.struct(x["name"], cut(x)))))
+    return F.when(F.substring(content, 1, 4) == F.lit(MAGIC), let(n, records))
 
 
 def restore(refs: DataFrame, payloads: DataFrame) -> DataFrame:
@@ -41,8 +47,12 @@ def restore(refs: DataFrame, payloads: DataFrame) -> DataFrame:
 
     refs (digest, idx, chunk), payloads (chunk, content), where a chunk's name is its content's SHA-256.
     """
-    checked = payloads.withColumn("content", F.when(F.sha2("content", 256) == F.col("chunk"), F.col("content")))
-    rows = refs.join(checked, "chunk", "left").groupBy("digest").agg(F.bool_and(F.col("content").isNotNull()).alias("ok"), F.count("*").alias("chunks"), F.array_sort(F.collect_list(F.struct("idx", "content"))).alias("c"))
+    # names go as bytes, half their size; what isn't a digest in hex is the name of no content
+    n = parts(refs, payloads)
+    key = F.when(F.col("chunk").rlike("^[0-9a-f]{64}$"), F.unhex("chunk")).alias("key")
+    checked = payloads.select(key, F.when(F.sha2("content", 256) == F.col("chunk"), F.col("content")).alias("content"))
+    found = deal(refs.select("digest", "idx", key), n, "key").join(deal(checked, n, "key"), "key", "left").select("digest", "idx", "content")
+    rows = deal(found, n, "digest").groupBy("digest").agg(F.bool_and(F.col("content").isNotNull()).alias("ok"), F.count("*").alias("chunks"), F.array_sort(F.collect_list(F.struct("idx", "content"))).alias("c"))
     whole = F.aggregate("c", F.lit(b""), lambda a, x: F.concat(a, x["content"]))
     return rows.select("digest", "ok", "chunks", F.when(F.col("ok"), whole).alias("payload"))
 

@@ -54,3 +54,21 @@ def test_pages_are_not_sorted(spark, sf_dir):
     for name in ("S12_materialise_snapshot", "S12_every_root_kind", "J11_zipped_tails"):
         plan = catalogue.QUERIES[name](spark, sf_dir)._jdf.queryExecution().sparkPlan().toString()
         assert "ShuffledHashJoin" in plan and "SortMergeJoin" not in plan, name
+
+
+def test_headers_and_records_are_read_once(spark, sf_dir):
+    for name, step, most in (("S14_delta_headers", "conv(", 8), ("T03_delta_plans", "conv(", 8), ("T03_delta_plans", "StructsToJsonEvaluator", 1), ("H16_packed_records", "from_json", 1), ("H16_packed_records", "conv(", 4)):
+        assert 1 <= optimized(catalogue.QUERIES[name](spark, sf_dir)).count(step) <= most, (name, step)
+
+
+def test_restore_joins_by_bytes_and_misses_what_is_no_digest(spark):
+    from hashlib import sha256
+
+    from quorumlake.operators import storage as S
+
+    good, bad = sha256(b"a").hexdigest(), sha256(b"b").hexdigest()
+    refs = spark.createDataFrame([(1, 0, good), (1, 1, good), (2, 0, good.upper()), (3, 0, "x"), (4, 0, bad), (5, 0, "0" * 64)], "digest int, idx int, chunk string")
+    payloads = spark.createDataFrame([(good, bytearray(b"a")), (bad, bytearray(b"c")), ("x", bytearray(b"x"))], "chunk string, content binary")
+    found = S.restore(refs, payloads)
+    assert [(r.digest, r.ok, r.chunks, r.payload and bytes(r.payload)) for r in found.orderBy("digest").collect()] == [(1, True, 2, b"aa"), (2, False, 1, None), (3, False, 1, None), (4, False, 1, None), (5, False, 1, None)]
+    assert "unhex" in optimized(found)
