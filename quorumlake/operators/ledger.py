@@ -5,15 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import deal, parts
 from .catalogue import live_refs, reference_counts
 
 
 def shared_bytes(roots: DataFrame, refs: DataFrame, objects: DataFrame) -> DataFrame:
     """Chunks and bytes that each valid root shares with others, and what removing it alone would free."""
     counts = reference_counts(roots, refs)
-    rows = live_refs(roots, refs).join(counts, "chunk").join(objects, "chunk")
+    n = parts(refs)
+    rows = deal(live_refs(roots, refs), n, "chunk").join(deal(counts, n, "chunk"), "chunk").join(deal(objects, n, "chunk"), "chunk")
     shared = F.col("refcount") > 1
-    per = rows.groupBy("digest").agg(F.count("*").alias("chunks"), F.count_if(shared).alias("shared_chunks"), F.sum(F.when(shared, F.col("bytes")).otherwise(0)).alias("shared_bytes"), F.sum(F.when(shared, 0).otherwise(F.col("bytes"))).alias("own_bytes"))
+    per = deal(rows, n, "digest").groupBy("digest").agg(F.count("*").alias("chunks"), F.count_if(shared).alias("shared_chunks"), F.sum(F.when(shared, F.col("bytes")).otherwise(0)).alias("shared_bytes"), F.sum(F.when(shared, 0).otherwise(F.col("bytes"))).alias("own_bytes"))
     own = F.col("own_bytes") + F.col("manifest_bytes")
     return per.join(roots.select("digest", "manifest_bytes"), "digest").select("digest", "chunks", "shared_chunks", "shared_bytes", own.alias("marginal_bytes"), (own + F.col("shared_bytes")).alias("encoded_bytes"))
 
